@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbtable.functions.vec import direction, named
+from orbtable.session import dimension
 
 # sphere field from events
 E_NLAT, E_NPHI, E_LMAX = 12, 32, 5
 # radial meshes from lineitem: one mesh per supplier
-L_NLAT, L_NPHI, L_WARP = 8, 13, 1.6
+L_NLAT, L_NPHI, L_WARP = 8, 13, 1.5707
 
 
 @dataclass
@@ -101,7 +102,7 @@ def latlong_vertices(meshes: DataFrame, nlat: int, nphi: int) -> DataFrame:
     )
 
 
-def lineitem_meshes(spark: SparkSession, sf_dir: str) -> Meshes:
+def build_lineitem_meshes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """One lat-long mesh per supplier: discounts give the radius, taxes and discounts warp the chart."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_discount", "l_tax")
     hundredths = lambda c: F.sum(F.round(F.col(c) * 100).cast("bigint"))
@@ -126,9 +127,29 @@ def lineitem_meshes(spark: SparkSession, sf_dir: str) -> Meshes:
         *named(direction(F.col("theta"), F.col("phi")), "s"),
         *named(direction(theta_w, phi_w), "t"),
     )
+    return wide, latlong_faces(ids, L_NLAT, L_NPHI)
+
+
+def lineitem_meshes(spark: SparkSession, sf_dir: str) -> Meshes:
+    """The supplier meshes as stored tables: derived from lineitem once per session and folder.
+
+    Surface jobs start from vertex and face tables, as they would from a catalogue; the
+    derivation itself is one scan, one aggregation and one join (build_lineitem_meshes).
+    """
+    built = []
+
+    def part(k):
+        def build():
+            if not built:
+                built.extend(build_lineitem_meshes(spark, sf_dir))
+            return built[k]
+        return build
+
+    wide = dimension(spark, ("vertices", sf_dir), part(0))
+    faces = dimension(spark, ("faces", sf_dir), part(1))
     return Meshes(
         vertices=wide.select("mesh_id", "v", "x", "y", "z"),
-        faces=latlong_faces(ids, L_NLAT, L_NPHI),
+        faces=faces,
         chart=wide.select("mesh_id", "v", "sx", "sy", "sz"),
         warped=wide.select("mesh_id", "v", *[F.col("t" + k).alias("s" + k) for k in "xyz"]),
     )

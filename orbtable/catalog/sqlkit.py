@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 
@@ -127,3 +128,122 @@ gains AS (
   FROM specs, (SELECT CAST(range AS INTEGER) AS l FROM range({lmax + 1})) WHERE kind <> 'gaussian'
   UNION ALL
   SELECT a.spec_id, a.l, a.q / z.q FROM gauss_raw a JOIN gauss_raw z ON a.spec_id = z.spec_id AND z.l = 0)"""
+
+
+# ---------------------------------------------------------------- vectors as SQL text
+
+
+def V(prefix: str) -> tuple[str, str, str]:
+    return tuple(f"{prefix}{k}" for k in "xyz")
+
+
+def ssub(p, q):
+    return tuple(f"({a}-{b})" for a, b in zip(p, q))
+
+
+def sadd(*vs):
+    return tuple("(" + "+".join(c) + ")" for c in zip(*vs))
+
+
+def sscale(p, k):
+    return tuple(f"({a}*({k}))" for a in p)
+
+
+def sdot(p, q):
+    return "(" + "+".join(f"{a}*{b}" for a, b in zip(p, q)) + ")"
+
+
+def scross(p, q):
+    return (f"({p[1]}*{q[2]}-{p[2]}*{q[1]})", f"({p[2]}*{q[0]}-{p[0]}*{q[2]})", f"({p[0]}*{q[1]}-{p[1]}*{q[0]})")
+
+
+def snorm(p):
+    return f"sqrt({sdot(p, p)})"
+
+
+def sarea(pre: str = "", names=("a", "b", "c")):
+    a, b, c = (V(k + pre) for k in names)
+    return f"(0.5*{snorm(scross(ssub(b, a), ssub(c, a)))})"
+
+
+def svol(pre: str):
+    a, b, c = (V(k + pre) for k in "abc")
+    return sdot(a, scross(b, c))
+
+
+def slen(p: str, q: str, pre: str = ""):
+    return snorm(ssub(V(p + pre), V(q + pre)))
+
+
+def sreg(pre: str = ""):
+    e = [slen("b", "c", pre), slen("c", "a", pre), slen("a", "b", pre)]
+    s = "(" + "+".join(e) + ")"
+    return "(" + "+".join(f"abs({x}/{s}-1.0/3.0)" for x in e) + ")"
+
+
+def sangle(p, q, r, pre: str = ""):
+    u, w = ssub(V(q + pre), V(p + pre)), ssub(V(r + pre), V(p + pre))
+    return f"acos(greatest(-1.0, least(1.0, {sdot(u, w)}/({snorm(u)}*{snorm(w)}))))"
+
+
+def _corners_cte(name: str, verts: str, cols: list[str], faces: str = "faces") -> str:
+    sel = ", ".join(f"{k}.{c} AS {k}{c}" for k in "abc" for c in cols)
+    return (f"{name} AS (SELECT t.mesh_id, t.f, t.a, t.b, t.c, {sel} FROM {faces} t "
+            + " ".join(f"JOIN {verts} {k} ON {k}.mesh_id = t.mesh_id AND {k}.v = t.{k}" for k in "abc") + ")")
+
+
+def mesh_ctes(corners: bool = True) -> str:
+    """verts (x.. surface, s.. exact chart, t.. warped chart), faces and their corners `fc`."""
+    n, p, w = B.L_NLAT, B.L_NPHI, repr(B.L_WARP)
+    nv = n * p
+    body = 2 * (n - 1) * p
+    out = f"""
+cells AS (
+  SELECT l_suppkey AS sk, CAST(l_partkey % {n} AS BIGINT) AS i, CAST(l_orderkey % {p} AS BIGINT) AS j,
+    CAST(sum(CAST(round(l_discount*100) AS BIGINT)) AS DOUBLE)/count(*)/100 AS d,
+    CAST(sum(CAST(round(l_tax*100) AS BIGINT)) AS DOUBLE)/count(*)/100 AS t
+  FROM lineitem GROUP BY 1, 2, 3),
+ids AS (SELECT DISTINCT sk FROM cells),
+vgrid AS (
+  SELECT sk, range AS v, CASE WHEN range < {nv} THEN range // {p} WHEN range = {nv} THEN -1 ELSE {n} END AS i,
+    CASE WHEN range < {nv} THEN range % {p} ELSE 0 END AS j FROM ids, range({nv + 2})),
+vang AS (
+  SELECT g.sk, g.v, g.i, g.j, {PI}*(g.i+1)/{n + 1} AS th, {TAU}*g.j/{p} AS ph, 1 + 2*coalesce(c.d, 0.0) AS r,
+    CASE WHEN g.v < {nv} THEN (coalesce(c.t, 0.04)-0.04)/0.04 ELSE 0 END AS st_,
+    CASE WHEN g.v < {nv} THEN (coalesce(c.d, 0.05)-0.05)/0.05 ELSE 0 END AS sd_
+  FROM vgrid g LEFT JOIN cells c ON c.sk = g.sk AND c.i = g.i AND c.j = g.j),
+vang2 AS (SELECT *, th + {w}*{PI}/{n + 1}*st_ AS tw, ph + {w}*{TAU}/{p}*sd_ AS pw FROM vang),
+verts AS (
+  SELECT 's' || sk AS mesh_id, v, i, j, r*sin(th)*cos(ph) AS x, r*sin(th)*sin(ph) AS y, r*cos(th) AS z,
+    sin(th)*cos(ph) AS sx, sin(th)*sin(ph) AS sy, cos(th) AS sz,
+    sin(tw)*cos(pw) AS tx, sin(tw)*sin(pw) AS ty, cos(tw) AS tz FROM vang2),
+fnum AS (
+  SELECT sk, range AS f, CASE WHEN range < {body} THEN range // 2 ELSE (range - {body}) // 2 END AS cell
+  FROM ids, range({2 * nv})),
+fij AS (SELECT *, cell // {p} AS i, cell % {p} AS j, (cell % {p} + 1) % {p} AS j2 FROM fnum),
+faces AS (
+  SELECT 's' || sk AS mesh_id, f,
+    CASE WHEN f < {body} THEN CASE WHEN f % 2 = 0 THEN i*{p}+j ELSE i*{p}+j2 END
+         WHEN f % 2 = 0 THEN {nv} ELSE {(n - 1) * p}+j END AS a,
+    CASE WHEN f < {body} THEN (i+1)*{p}+j WHEN f % 2 = 0 THEN j ELSE {nv + 1} END AS b,
+    CASE WHEN f < {body} THEN CASE WHEN f % 2 = 0 THEN i*{p}+j2 ELSE (i+1)*{p}+j2 END
+         WHEN f % 2 = 0 THEN j2 ELSE {(n - 1) * p}+j2 END AS c
+  FROM fij)"""
+    if corners:
+        out += ",\n" + _corners_cte("fc", "verts", [*V(""), *V("s"), *V("t")])
+    return out
+
+
+def mesh_sql(tail: str, corners: bool = True, recursive: bool = False) -> str:
+    text = ("WITH RECURSIVE" if recursive else "WITH") + mesh_ctes(corners) + tail
+    return re.sub(r"\bby\b", '"by"', text)  # the y of corner b; the keyword is written in capitals
+
+
+HALF = """
+he AS (SELECT mesh_id, f, 0 AS k, a AS u, b AS w, c AS opp FROM faces UNION ALL
+       SELECT mesh_id, f, 1, b, c, a FROM faces UNION ALL SELECT mesh_id, f, 2, c, a, b FROM faces),
+edges AS (SELECT mesh_id, least(u,w) AS lo, greatest(u,w) AS hi, count(*) AS n, min(opp) AS opp1, max(opp) AS opp2,
+          min(3*f+k) AS ord, min(f) AS f1, max(f) AS f2 FROM he GROUP BY 1, 2, 3)"""
+ADJ = HALF + """,
+adj AS (SELECT mesh_id, lo AS v, hi AS u FROM edges UNION ALL SELECT mesh_id, hi, lo FROM edges)"""
+CORN = "(SELECT *, unnest([a, b, c]) AS v FROM {t})"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vec = tuple[Column, Column, Column]
@@ -58,3 +58,13 @@ def unit_columns(p: Vec, prefix: str) -> list[Column]:
 def direction(theta: Column, phi: Column, r=None) -> Vec:
     out = (F.sin(theta) * F.cos(phi), F.sin(theta) * F.sin(phi), F.cos(theta))
     return out if r is None else scale(out, r)
+
+
+def fence(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
+    """Select `keep` plus computed columns through a one-element inline().
+
+    Catalyst pushes filters through projections by substituting the computed columns,
+    which multiplies long geometric expressions; it cannot push them through a generator,
+    so every column behind a fence is computed exactly once.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))

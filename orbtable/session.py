@@ -75,7 +75,7 @@ def dimension(spark: SparkSession, key: tuple, build) -> DataFrame:
             return spark.read.parquet(_DIMENSIONS[full])
         except AnalysisException:
             pass
-    path = scratch_path(spark, "-".join(str(k) for k in key))
+    path = scratch_path(spark, "-".join(str(k).strip("/").replace("/", "_").replace(":", "") for k in key))
     build().write.parquet(path)
     _DIMENSIONS[full] = path
     return spark.read.parquet(path)
