@@ -105,9 +105,9 @@ def _(spark, sf):
     return m.vertices.join(mo.genus0_gate(m.vertices, _open_faces(m.faces)), "mesh_id", "leftsemi")
 
 
-@q("weld", f""", cr AS (SELECT mesh_id, f, k, x, y, z, 3*f+k AS ord FROM (
-  SELECT mesh_id, f, 0 AS k, ax AS x, ay AS y, az AS z FROM fr UNION ALL SELECT mesh_id, f, 1, bx, by, bz FROM fr UNION ALL SELECT mesh_id, f, 2, cx, cy, cz FROM fr)),
-fr AS (SELECT mesh_id, f, {', '.join(f'round({c}, 3) + 0.0 AS {c}' for k in 'abc' for c in V(k))} FROM fc)
+@q("weld", f""", fr AS (SELECT mesh_id, f, {', '.join(f'round({c}, 3) + 0.0 AS {c}' for k in 'abc' for c in V(k))} FROM fc),
+cr AS (SELECT mesh_id, f, k, x, y, z, 3*f+k AS ord FROM (
+  SELECT mesh_id, f, 0 AS k, ax AS x, ay AS y, az AS z FROM fr UNION ALL SELECT mesh_id, f, 1, bx, by, bz FROM fr UNION ALL SELECT mesh_id, f, 2, cx, cy, cz FROM fr))
 SELECT mesh_id, row_number() OVER (PARTITION BY mesh_id ORDER BY ord) - 1 AS v, x, y, z
 FROM (SELECT mesh_id, x, y, z, min(ord) AS ord FROM cr GROUP BY 1, 2, 3, 4)""")
 def _(spark, sf):
