@@ -20,7 +20,7 @@ from orbtable.operators.rank import order_statistics
 from orbtable.session import settle
 
 MAX_LEVEL = 20
-CELL = ["cx", "cy", "cz"]
+CELL = ["_cx", "_cy", "_cz"]  # apart from cx, cy, cz, the coordinates of corner c
 
 
 def median_edge(frame: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def _cells(level: Column) -> list[Column]:
     out = []
     for k in "xyz":
         c = F.floor((F.col(k) - F.col("o" + k)) / F.col("span") * n)
-        out.append(F.least(F.greatest(c, F.lit(0)), n.cast("bigint") - 1).cast("bigint").alias("c" + k))
+        out.append(F.least(F.greatest(c, F.lit(0)), n.cast("bigint") - 1).cast("bigint").alias("_c" + k))
     return out
 
 
@@ -202,7 +202,7 @@ def containing_faces(faces: DataFrame, chart: DataFrame, queries: DataFrame) ->
     probe = queries.select("mesh_id", "q", *unit_columns(vec(""), "p")).join(used, "mesh_id").select(
         "mesh_id", "q", "px", "py", "pz", F.explode("levels").alias("level"))
     size = _level_size(F.col("level"))
-    probe = probe.select("*", *[F.floor(F.col("p" + k) / size).cast("bigint").alias("c" + k) for k in "xyz"])
+    probe = probe.select("*", *[F.floor(F.col("p" + k) / size).cast("bigint").alias("_c" + k) for k in "xyz"])
     cand = probe.join(binned, ["mesh_id", "level", *CELL])
     det, w0, w1, w2 = g.barycentric(A, B, C, vec("p"))
     tested = fence(cand, ["mesh_id", "q", "f", "a", "b", "c"], w0.alias("w0"), w1.alias("w1"), w2.alias("w2"))
@@ -285,7 +285,7 @@ def box_pairs(boxed: DataFrame) -> DataFrame:
             df = df.withColumn("i" + k, F.floor((F.col("l" + k) - F.col("tol")) / size).cast("bigint")).withColumn(
                 "j" + k, F.floor((F.col("h" + k) + F.col("tol")) / size).cast("bigint"))
         for k in "xyz":
-            df = df.withColumn("c" + k, F.explode(F.sequence("i" + k, "j" + k)))
+            df = df.withColumn("_c" + k, F.explode(F.sequence("i" + k, "j" + k)))
         return df.drop("jx", "jy", "jz")
 
     levels = own.groupBy("mesh_id").agg(F.collect_set("own").alias("levels"))
@@ -300,7 +300,7 @@ def box_pairs(boxed: DataFrame) -> DataFrame:
     canonical = F.lit(True)
     boxes = F.lit(True)
     for k in "xyz":
-        canonical = canonical & (F.greatest("pi" + k, "qi" + k) == F.col("c" + k))
+        canonical = canonical & (F.greatest("pi" + k, "qi" + k) == F.col("_c" + k))
         boxes = boxes & (F.col("pl" + k) <= F.col("qh" + k) + F.col("tol")) & (F.col("ql" + k) <= F.col("ph" + k) + F.col("tol"))
     return met.where(once & canonical & boxes)
 
