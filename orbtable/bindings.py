@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orbtable.functions.vec import direction, named
 from orbtable.session import dimension
+from orbtable.sources.generate import latlong_faces, latlong_vertices
 
 # sphere field from events
 E_NLAT, E_NPHI, E_LMAX = 12, 32, 5
@@ -55,53 +56,6 @@ def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def latlong_faces(meshes: DataFrame, nlat, nphi) -> DataFrame:
-    """Faces of a lat-long mesh with pole vertices, by arithmetic on the face number.
-
-    `meshes` has one row per mesh_id; nlat and nphi are columns or numbers.
-    """
-    nlat, nphi = (c if not isinstance(c, int) else F.lit(c) for c in (nlat, nphi))
-    nlat, nphi = nlat.cast("bigint"), nphi.cast("bigint")
-    df = meshes.select("mesh_id", nlat.alias("_nlat"), nphi.alias("_nphi")).withColumn(
-        "f", F.explode(F.sequence(F.lit(0).cast("bigint"), 2 * F.col("_nlat") * F.col("_nphi") - 1))
-    )
-    nlat, nphi, f = F.col("_nlat"), F.col("_nphi"), F.col("f")
-    body = 2 * (nlat - 1) * nphi
-    inside = f < body
-    cell = F.when(inside, F.floor(f / 2)).otherwise(F.floor((f - body) / 2))
-    first = f % 2 == 0
-    df = df.withColumn("cell", cell.cast("bigint"))
-    i = F.floor(F.col("cell") / nphi).cast("bigint")
-    j = F.col("cell") % nphi
-    j2 = (j + 1) % nphi
-    a, b = i * nphi + j, i * nphi + j2
-    c, d = a + nphi, b + nphi
-    north, south, last = nlat * nphi, nlat * nphi + 1, (nlat - 1) * nphi
-    pick = lambda in1, in2, cap1, cap2: (
-        F.when(inside & first, in1).when(inside, in2).when(first, cap1).otherwise(cap2).cast("bigint")
-    )
-    return df.select(
-        "mesh_id", "f",
-        pick(a, b, north, last + j).alias("a"),
-        pick(c, c, j, south).alias("b"),
-        pick(b, d, j2, last + j2).alias("c"),
-    )
-
-
-def latlong_vertices(meshes: DataFrame, nlat: int, nphi: int) -> DataFrame:
-    """mesh_id, v, i, j, theta, phi for every vertex incl. the two poles (i = -1 and nlat)."""
-    v = F.col("v")
-    df = meshes.select("mesh_id").withColumn(
-        "v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nlat * nphi + 1).cast("bigint")))
-    )
-    grid = v < nlat * nphi
-    i = F.when(grid, F.floor(v / nphi)).when(v == nlat * nphi, F.lit(-1)).otherwise(F.lit(nlat)).cast("int")
-    df = df.withColumn("i", i).withColumn("j", F.when(grid, v % nphi).otherwise(F.lit(0)).cast("int"))
-    return df.withColumn("theta", F.lit(math.pi) * (F.col("i") + 1) / (nlat + 1)).withColumn(
-        "phi", F.lit(2 * math.pi) * F.col("j") / nphi
-    )
-
-
 def build_lineitem_meshes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """One lat-long mesh per supplier: discounts give the radius, taxes and discounts warp the chart."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_discount", "l_tax")
@@ -115,7 +69,7 @@ def build_lineitem_meshes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
         (hundredths("l_tax") / F.count("*") / 100).alias("t"),
     )
     ids = cells.select("mesh_id").distinct()
-    full = latlong_vertices(ids, L_NLAT, L_NPHI).join(cells, ["mesh_id", "i", "j"], "left")
+    full = latlong_vertices(ids, F.lit(L_NLAT), F.lit(L_NPHI)).join(cells, ["mesh_id", "i", "j"], "left")
     r = 1 + 2 * F.coalesce("d", F.lit(0.0))
     grid = (F.col("i") >= 0) & (F.col("i") < L_NLAT)
     shift = lambda c, mid: F.when(grid, (F.coalesce(c, F.lit(mid)) - mid) / mid).otherwise(F.lit(0.0))
@@ -127,7 +81,7 @@ def build_lineitem_meshes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
         *named(direction(F.col("theta"), F.col("phi")), "s"),
         *named(direction(theta_w, phi_w), "t"),
     )
-    return wide, latlong_faces(ids, L_NLAT, L_NPHI)
+    return wide, latlong_faces(ids, F.lit(L_NLAT), F.lit(L_NPHI))
 
 
 def lineitem_meshes(spark: SparkSession, sf_dir: str) -> Meshes:

@@ -178,3 +178,10 @@ def neighbour_mean(faces: DataFrame, chart: DataFrame) -> DataFrame:
     nb = chart.select("mesh_id", F.col("v").alias("u"), *[F.col("s" + k).alias("m" + k) for k in "xyz"])
     return adjacency(faces).join(nb, ["mesh_id", "u"]).groupBy("mesh_id", "v").agg(
         *[F.sum("m" + k).alias("m" + k) for k in "xyz"], F.count("*").alias("n"))
+
+
+def numbered_edges(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Edges with a new vertex id each: the vertex count of the mesh plus the order of first sight."""
+    nv = vertices.groupBy("mesh_id").agg(F.count("*").alias("nv"))
+    e = number_by_ordinal(edges(faces), ["mesh_id"], "ord", "_place").join(nv, "mesh_id")
+    return e.select("mesh_id", "lo", "hi", "n", "opp1", "opp2", (F.col("nv") + F.col("_place")).alias("id"))
