@@ -235,11 +235,11 @@ def _(spark, sf):
 
 
 @q("loop_subdivide_field", _loop_ctes(("r",)).replace("FROM adj a JOIN verts p", "FROM adj a JOIN vr p").replace("FROM verts JOIN nb", "FROM vr JOIN nb").replace("JOIN verts", "JOIN vr").replace(
-    ", ns AS", ", vr AS (SELECT mesh_id, v, sqrt(x*x+y*y+z*z) AS r FROM verts), ns AS") + f" SELECT mesh_id, v, {rnd('r')} FROM fine", corners=False)
+    ", ns AS", ", vr AS (SELECT mesh_id, v, exp(sqrt(x*x+y*y+z*z)) AS r FROM verts), ns AS") + f" SELECT mesh_id, v, {rnd('r')} FROM fine", corners=False)
 def _(spark, sf):
-    """The radius as a scalar field on the mesh."""
+    """exp(radius) as a scalar field on the mesh."""
     m = L(spark, sf)
-    return su.loop_subdivide_field(m.faces, m.vertices.select("mesh_id", "v", norm(vec("")).alias("r")), ["r"])[0]
+    return su.loop_subdivide_field(m.faces, m.vertices.select("mesh_id", "v", F.exp(norm(vec(""))).alias("r")), ["r"])[0]
 
 
 @q("limit_vertex", _loop_ctes() + f""", lw AS (SELECT *, 1/(n + 3/(8*be)) AS om FROM nb) SELECT mesh_id, v, {', '.join(rnd(f'(1-n*om)*{k} + om*m{k}', k) for k in 'xyz')} FROM verts JOIN lw USING (mesh_id, v)""", corners=False)

@@ -307,8 +307,11 @@ def mobius_objective(frame: DataFrame, params: DataFrame) -> DataFrame:
     total = flat.groupBy("mesh_id").agg(F.sum("pa").alias("pt"))
     each = flat.select("*", F.inline(cand))
     k = [F.col(f"k{i}") for i in range(8)]
-    moved = [g.unstereo(*g.mobius(F.col(c + "u"), F.col(c + "v"), k)) for c in "abc"]
-    each = each.select("mesh_id", "param_id", "pa", *[x.alias(c + "m" + d) for c, m in zip("abc", moved) for x, d in zip(m, "xyz")])
+    # staged, so that each intermediate is one column instead of a repeated subtree
+    flat2 = [c for corner in "abc" for c in g.mobius(F.col(corner + "u"), F.col(corner + "v"), k)]
+    each = fence(each, ["mesh_id", "param_id", "pa"], *[c.alias(n) for c, n in zip(flat2, ("ap", "aq", "bp", "bq", "cp", "cq"))])
+    moved = [g.unstereo(F.col(c + "p"), F.col(c + "q")) for c in "abc"]
+    each = fence(each, ["mesh_id", "param_id", "pa"], *[x.alias(c + "m" + d) for c, m in zip("abc", moved) for x, d in zip(m, "xyz")])
     each = each.select("mesh_id", "param_id", "pa", g.tri_area(vec("am"), vec("bm"), vec("cm")).alias("sa"))
     sums = each.groupBy("mesh_id", "param_id").agg(F.sum("sa").alias("st"))
     q = F.col("sa") / F.col("st") / (F.col("pa") / F.col("pt"))

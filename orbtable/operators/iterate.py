@@ -1,10 +1,336 @@
-"""Superstep jobs."""
-from pyspark.sql import DataFrame
+"""Superstep jobs: all meshes advance together, every round is written, finished meshes drop out.
+
+Small meshes are solved exactly, one mesh per group, behind a check of their size; larger
+ones by conjugate gradients whose every round is a join and two aggregations.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbtable.functions import geometry as g
+from orbtable.functions.vec import add, dot, named, norm, scale, sub, unit_columns, vec
+from orbtable.operators import faces as fo, matrices as mx
+from orbtable.operators.chart import puncture_balance
+from orbtable.operators.mesh import adjacency, charted_corners, face_corners, half_edges
+from orbtable.operators.rank import lowest_share
+from orbtable.operators.spatial import locate, pl_interpolate
+from orbtable.session import settle
+
+S = ["sx", "sy", "sz"]
+# largest system solved inside one task: 1500 unknowns are an 18 MB matrix
+DENSE_LIMIT = 1500
+
+
+def chart_corners(faces: DataFrame, chart: DataFrame) -> DataFrame:
+    return face_corners(faces, chart, S)
+
 
-def fold_grow(bad_faces: DataFrame, adjacency: DataFrame) -> DataFrame:
+def fold_grow(bad_faces: DataFrame, adj: DataFrame) -> DataFrame:
     """Vertices of folded faces plus one ring."""
     touch = bad_faces.select("mesh_id", F.explode(F.array("a", "b", "c")).alias("v")).distinct()
-    ring = adjacency.join(touch, ["mesh_id", "v"], "leftsemi").select("mesh_id", F.col("u").alias("v"))
+    ring = adj.join(touch, ["mesh_id", "v"], "leftsemi").select("mesh_id", F.col("u").alias("v"))
     return touch.unionByName(ring).distinct()
+
+
+def _neighbour_sum(adj: DataFrame, chart: DataFrame) -> DataFrame:
+    nb = chart.select("mesh_id", F.col("v").alias("u"), *[F.col(c).alias("m" + c) for c in S])
+    return adj.join(nb, ["mesh_id", "u"]).groupBy("mesh_id", "v").agg(F.count("*").alias("n"), *[F.sum("m" + c).alias("m" + c) for c in S])
+
+
+def smooth_chart(faces: DataFrame, chart: DataFrame, rounds: int, alpha: float = 0.5) -> DataFrame:
+    """Rounds of (1 - alpha) own + alpha * neighbour mean, back on the sphere after each."""
+    adj = settle(adjacency(faces), "adj")
+    for _ in range(rounds):
+        j = chart.join(_neighbour_sum(adj, chart), ["mesh_id", "v"], "left")
+        mixed = tuple(F.when(F.col("n").isNull(), F.col(c)).otherwise((1 - alpha) * F.col(c) + alpha * F.col("m" + c) / F.col("n")) for c in S)
+        chart = settle(j.select("mesh_id", "v", *unit_columns(mixed, "s")), "smooth")
+    return chart
+
+
+def repair_folds(faces: DataFrame, chart: DataFrame, max_passes: int = 200) -> tuple[DataFrame, int]:
+    """Replace the vertices of folded faces and one ring around by their normalised neighbour sum until no fold is left."""
+    adj = settle(adjacency(faces), "adj")
+    passes = 0
+    while passes < max_passes:
+        bad = settle(fo.folded_faces(chart_corners(faces, chart)), "folded")
+        if bad.limit(1).count() == 0:
+            break
+        grown = fold_grow(bad, adj)
+        sums = _neighbour_sum(adj.join(grown, ["mesh_id", "v"], "leftsemi"), chart)
+        j = chart.join(sums, ["mesh_id", "v"], "left")
+        moved = unit_columns(vec("ms"), "s")
+        chart = settle(j.select("mesh_id", "v", *[F.when(F.col("n").isNull(), F.col(c)).otherwise(m).alias(c) for c, m in zip(S, moved)]), "repair")
+        passes += 1
+    return chart, passes
+
+
+def adaptive_warp(vertices, faces, chart, grid_faces: DataFrame, dirs: DataFrame, rounds: int = 30) -> DataFrame:
+    """Pull a grid mesh dirs(mesh_id, v, x, y, z) toward the vertex density of a charted mesh."""
+    frame = face_corners(faces, chart, S)
+    d0 = settle(fo.vertex_density(vertices, frame), "d0")
+    ring = settle(half_edges(grid_faces).select("mesh_id", "u", "w"), "ring")
+    p = dirs
+    for _ in range(rounds):
+        as_chart = p.select("mesh_id", "v", *[F.col(k).alias("s" + k) for k in "xyz"])
+        d2 = fo.vertex_density(p, face_corners(grid_faces, as_chart, S)).withColumnRenamed("d", "d2")
+        at = pl_interpolate(locate(faces, chart, p.withColumnRenamed("v", "q")), d0, ["d"]).withColumnRenamed("q", "v")
+        r = at.join(d2, ["mesh_id", "v"]).select("mesh_id", "v", (F.col("d") / F.col("d2")).alias("r"))
+        nb = p.join(r, ["mesh_id", "v"]).withColumnRenamed("v", "w")
+        mean = ring.join(nb, ["mesh_id", "w"]).groupBy("mesh_id", F.col("u").alias("v")).agg(
+            *[(F.sum(F.col("r") * F.col(k)) / F.sum("r")).alias(k) for k in "xyz"])
+        p = settle(mean.select("mesh_id", "v", *unit_columns(vec(""), "")), "warp")
+    return p
+
+
+# ------------------------------------------------------------------ linear systems
+
+
+def jacobi_pcg(matrix: DataFrame, rhs: DataFrame, cols: list[str], tol: float, max_rounds: int, start: DataFrame | None = None) -> DataFrame:
+    """Conjugate gradients with the diagonal as preconditioner, for every mesh and right-hand side at once.
+
+    rhs(mesh_id, v, *cols) -> (mesh_id, v, comp, x, residual), residual = |r| / |b| of the system.
+    Systems below `tol` take no further part in the products.
+    """
+    key = ["mesh_id", "comp"]
+    long = lambda df, name: df.select("mesh_id", "v", F.inline(F.array(*[F.struct(F.lit(c).alias("comp"), F.col(c).alias(name)) for c in cols])))
+    matrix = settle(matrix, "matrix")
+    diag = matrix.where("row = col").select("mesh_id", F.col("row").alias("v"), F.col("val").alias("d"))
+    st = long(rhs, "b").join(diag, ["mesh_id", "v"])
+    product = lambda df, c, out: matrix.join(df.select("mesh_id", "comp", F.col("v").alias("col"), c), ["mesh_id", "col"]).groupBy(
+        *key, F.col("row").alias("v")).agg(F.sum(F.col("val") * F.col(c)).alias(out))
+    if start is None:
+        st = st.withColumn("x", F.lit(0.0)).withColumn("r", F.col("b"))
+    else:
+        st = st.join(long(start, "x"), [*key, "v"])
+        st = settle(st, "pcg")
+        st = st.join(product(st, "x", "ax"), [*key, "v"]).withColumn("r", F.col("b") - F.col("ax")).drop("ax")
+    st = settle(st.withColumn("p", F.col("r") / F.col("d")), "pcg")
+    for _ in range(max_rounds):
+        norms = st.groupBy(*key).agg(F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rz"),
+                                     F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("rn"), F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("bn"))
+        live = settle(norms.where((F.col("rn") > tol * F.col("bn")) & (F.col("rz") > 0)).select(*key, "rz"), "live")
+        if live.limit(1).count() == 0:
+            break
+        act = st.join(live, key)
+        act = settle(act.join(product(act, "p", "q"), [*key, "v"]), "pcg")
+        a = act.groupBy(*key).agg((F.max("rz") / F.sum(F.col("p") * F.col("q"))).alias("al"))
+        moved = act.join(a, key).withColumn("x", F.col("x") + F.col("al") * F.col("p")).withColumn("r", F.col("r") - F.col("al") * F.col("q"))
+        beta = moved.groupBy(*key).agg((F.sum(F.col("r") * F.col("r") / F.col("d")) / F.max("rz")).alias("be"))
+        nxt = moved.join(beta, key).withColumn("p", F.col("r") / F.col("d") + F.col("be") * F.col("p"))
+        cols_kept = [*key, "v", "b", "d", "x", "r", "p"]
+        st = settle(nxt.select(*cols_kept).unionByName(st.join(live, key, "leftanti").select(*cols_kept)), "pcg")
+    fin = st.groupBy(*key).agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("rn"), F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("bn"))
+    res = F.when(F.col("bn") > 0, F.col("rn") / F.col("bn")).otherwise(F.lit(0.0))
+    return st.join(fin, key).select("mesh_id", "v", "comp", "x", res.alias("residual"))
+
+
+def _dense_solver(cols: list[str]):
+    def solve(mat: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
+        ids = rhs["v"].to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+        A = np.zeros((len(ids), len(ids)))
+        if len(mat):
+            np.add.at(A, (np.searchsorted(ids, mat["row"]), np.searchsorted(ids, mat["col"])), mat["val"].to_numpy())
+        b = rhs[cols].to_numpy()[order]
+        try:
+            x = np.linalg.solve(A, b)
+        except np.linalg.LinAlgError:
+            x = np.full(b.shape, np.nan)
+        out = pd.DataFrame(x, columns=cols)
+        out.insert(0, "v", ids)
+        out.insert(0, "mesh_id", rhs["mesh_id"].iloc[0] if len(rhs) else None)
+        return out
+
+    return solve
+
+
+def solve_systems(matrix: DataFrame, rhs: DataFrame, cols: list[str], tol: float = 1e-10, max_rounds: int = 500) -> DataFrame:
+    """x(mesh_id, v, *cols) with matrix x = rhs; systems up to DENSE_LIMIT unknowns in one task each, the rest by PCG."""
+    rhs = settle(rhs, "rhs")
+    size = settle(rhs.groupBy("mesh_id").agg(F.count("*").alias("_n")), "size")
+    small, large = size.where(F.col("_n") <= DENSE_LIMIT).select("mesh_id"), size.where(F.col("_n") > DENSE_LIMIT).select("mesh_id")
+    schema = "mesh_id string, v bigint, " + ", ".join(f"{c} double" for c in cols)
+    pick = lambda df, ids: df.join(ids, "mesh_id", "leftsemi")
+    dense = pick(matrix.select("mesh_id", "row", "col", "val"), small).groupBy("mesh_id").cogroup(
+        pick(rhs.select("mesh_id", "v", *cols), small).groupBy("mesh_id")).applyInPandas(_dense_solver(cols), schema)
+    if large.limit(1).count() == 0:
+        return dense
+    it = jacobi_pcg(pick(matrix, large), pick(rhs, large), cols, tol, max_rounds)
+    wide = it.groupBy("mesh_id", "v").agg(*[F.max(F.when(F.col("comp") == c, F.col("x"))).alias(c) for c in cols])
+    return dense.unionByName(wide)
+
+
+def dirichlet_solve(matrix: DataFrame, vertices: DataFrame, fixed: DataFrame, cols: list[str], tol: float = 1e-10, max_rounds: int = 500) -> DataFrame:
+    """matrix x = 0 on the free vertices with fixed(mesh_id, v, *cols) prescribed; returns all vertices."""
+    pin = fixed.select("mesh_id", "v", *cols)
+    free = vertices.select("mesh_id", "v").join(pin.select("mesh_id", "v"), ["mesh_id", "v"], "leftanti")
+    row_free = matrix.join(free.withColumnRenamed("v", "row"), ["mesh_id", "row"], "leftsemi")
+    inner = row_free.join(free.withColumnRenamed("v", "col"), ["mesh_id", "col"], "leftsemi")
+    push = row_free.join(pin.withColumnRenamed("v", "col"), ["mesh_id", "col"]).groupBy("mesh_id", F.col("row").alias("v")).agg(
+        *[(-F.sum(F.col("val") * F.col(c))).alias(c) for c in cols])
+    rhs = free.join(push, ["mesh_id", "v"], "left").select("mesh_id", "v", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in cols])
+    return solve_systems(inner, rhs, cols, tol, max_rounds).unionByName(pin)
+
+
+# ------------------------------------------------------------------ planar maps to the sphere
+
+
+def _negated(m: DataFrame) -> DataFrame:
+    return m.withColumn("val", -F.col("val"))
+
+
+def _pins(faces: DataFrame, big: DataFrame, places: list[tuple[Column, Column]], frame: DataFrame) -> DataFrame:
+    row = lambda k, p: F.struct(F.col(k).alias("v"), p[0].alias("u"), p[1].alias("w"))
+    return frame.join(big.select("mesh_id", "f"), ["mesh_id", "f"]).select(
+        "mesh_id", F.inline(F.array(*[row(k, p) for k, p in zip("abc", places)])))
+
+
+def tutte_map(vertices: DataFrame, faces: DataFrame, big: DataFrame) -> DataFrame:
+    """Harmonic map with uniform weights and the triangle big(mesh_id, f) pinned on the unit circle."""
+    turn = [(F.lit(float(np.cos(2 * np.pi * k / 3))), F.lit(float(np.sin(2 * np.pi * k / 3)))) for k in range(3)]
+    plane = dirichlet_solve(_negated(mx.tutte_laplacian(faces)), vertices, _pins(faces, big, turn, faces), ["u", "w"])
+    return puncture_balance(faces, settle(plane, "plane"), big)
+
+
+def harmonic_map(vertices: DataFrame, faces: DataFrame, big: DataFrame) -> DataFrame:
+    """Cotangent version; the third pin keeps the shape of the puncture. Meshes where it fails get the uniform map."""
+    frame = face_corners(faces, vertices, ["x", "y", "z"])
+    p, q = sub(vec("b"), vec("a")), sub(vec("c"), vec("a"))
+    la, lb = norm(p), norm(q)
+    along = F.abs(dot(p, q)) / (la * la)
+    up = 2 * g.tri_area(vec("a"), vec("b"), vec("c")) / (la * la)
+    places = [(F.lit(0.0), F.lit(0.0)), (F.lit(1.0), F.lit(0.0)), (along, up)]
+    plane = settle(dirichlet_solve(_negated(mx.cot_laplacian(frame)), vertices, _pins(faces, big, places, frame), ["u", "w"]), "plane")
+    out = settle(puncture_balance(faces, plane, big), "harmonic")
+    bad = settle(out.where(F.isnan(F.col("sx") + F.col("sy") + F.col("sz")) | (F.col("sx") + F.col("sy") + F.col("sz")).isNull()).select("mesh_id").distinct(), "failed")
+    if bad.limit(1).count() == 0:
+        return out
+    redo = lambda df: df.join(bad, "mesh_id", "leftsemi")
+    return out.join(bad, "mesh_id", "leftanti").unionByName(tutte_map(redo(vertices), redo(faces), redo(big)))
+
+
+def qc_correct(vertices: DataFrame, faces: DataFrame, chart: DataFrame) -> DataFrame:
+    """Quasi-conformal correction in the south-pole plane with the lowest tenth held.
+
+    Meshes whose solve fails try five times as many landmarks, and keep their map if that fails too.
+    """
+    u, w = g.stereo_south(vec("s"))
+    plane = settle(chart.select("mesh_id", "v", u.alias("u"), w.alias("w")), "plane")
+    frame = settle(face_corners(faces, vertices.join(plane, ["mesh_id", "v"]), ["x", "y", "z", "u", "w"]), "frame")
+    # a face at the projection pole has no place in the plane
+    flat = frame.where(F.abs(F.col("au") + F.col("bu") + F.col("cu")) < float("inf"))
+    mat = settle(mx.beltrami_triplets(flat, mx.beltrami_coeff(flat, "u", "w"), "u", "w"), "mu")
+
+    def attempt(ids: DataFrame | None, times: int) -> DataFrame:
+        pick = (lambda df: df) if ids is None else (lambda df: df.join(ids, "mesh_id", "leftsemi"))
+        k = F.least(F.col("n"), times * F.greatest(F.floor(F.col("n") / 10 + 0.5), F.lit(3)))
+        held = lowest_share(pick(chart), ["mesh_id"], "sz", "v", k).select("mesh_id", "v")
+        top = pick(plane).where(~(F.abs(F.col("u")) < float("inf")))
+        pins = pick(plane).join(held, ["mesh_id", "v"], "leftsemi").join(top.select("mesh_id", "v"), ["mesh_id", "v"], "leftanti")
+        body = pick(vertices).join(top.select("mesh_id", "v"), ["mesh_id", "v"], "leftanti")
+        return settle(dirichlet_solve(pick(mat), body, pins, ["u", "w"]).unionByName(top.select("mesh_id", "v", "u", "w")), "qc")
+
+    # the pole vertex is legitimately infinite: it is no sign of failure
+    failed = lambda df: df.where(F.isnan("u") | F.isnan("w") | F.col("u").isNull()).select("mesh_id").distinct()
+    one = attempt(None, 1)
+    bad1 = settle(failed(one), "failed")
+    good = one.join(bad1, "mesh_id", "leftanti")
+    if bad1.limit(1).count():
+        two = attempt(bad1, 5)
+        bad2 = settle(failed(two), "failed")
+        good = good.unionByName(two.join(bad2, "mesh_id", "leftanti")).unionByName(plane.join(bad2, "mesh_id", "leftsemi"))
+    return good.select("mesh_id", "v", *named(g.unstereo(F.col("u"), F.col("w"), True), "s"))
+
+
+# ------------------------------------------------------------------ density flow
+
+
+def density_equalise(vertices, faces, chart, dt: float = 0.1, eps: float = 1e-3, max_steps: int = 300,
+                     max_rejected: int = 20, window: int = 100, gain: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """Move chart vertices down the gradient of surface area per chart area.
+
+    Each step: repair folds, diffuse the density implicitly, and move by the largest of nine
+    halved steps that folds nothing; all candidates are scored in one job. Where none works
+    every vertex's move is capped by its shortest edge. Returns (chart, log(mesh_id, step,
+    spread, best, rejected, stopped)); a mesh leaves when it converged, stalled or levelled off.
+    """
+    positions = vertices
+    log = None
+    live = settle(chart.select("mesh_id").distinct(), "live")
+    done = []
+    cur = settle(chart.select("mesh_id", "v", *unit_columns(vec("s"), "s")), "flow")
+    state = settle(live.select("mesh_id", F.lit(0).alias("rejected")), "state")
+    for step in range(1, max_steps + 1):
+        f_live = faces.join(live, "mesh_id", "leftsemi")
+        v_live = positions.join(live, "mesh_id", "leftsemi")
+        cur, _ = repair_folds(f_live, cur)
+        frame = settle(charted_corners(f_live, v_live, cur), "frame")
+        rho0 = fo.vertex_population_density(frame)
+        rhs = rho0.join(mx.lumped_mass(frame), ["mesh_id", "v"]).select("mesh_id", "v", (F.col("rho") * F.col("m")).alias("rho"))
+        rho = settle(solve_systems(mx.mass_plus_laplacian(frame, dt), rhs, ["rho"], 1e-6), "rho")
+        vel = settle(fo.density_velocity(frame, rho), "velocity")
+        spread = fo.density_spread(rho)
+        ids = np.arange(9)
+        full = cur.join(vel, ["mesh_id", "v"])
+        steps = F.explode(F.array(*[F.struct(F.lit(int(h)).alias("h"), F.lit(dt / 2**h).alias("t"), F.lit(None).cast("double").alias("cap")) for h in ids]
+                                  + [F.struct(F.lit(9 + h).alias("h"), F.lit(dt).alias("t"), F.lit(0.3 / 2**h).alias("cap")) for h in range(5)])).alias("s")
+        edge = half_edges(frame, [k + c for k in "abc" for c in S])
+        side = lambda p, q: norm(sub(vec(p + "s"), vec(q + "s")))
+        length = F.when(F.col("k") == 0, side("a", "b")).when(F.col("k") == 1, side("b", "c")).otherwise(side("c", "a"))
+        short = edge.select("mesh_id", F.explode(F.array("u", "w")).alias("v"), length.alias("e")).groupBy("mesh_id", "v").agg(F.min("e").alias("e"))
+        tried = full.join(short, ["mesh_id", "v"]).select("mesh_id", "v", *S, "dx", "dy", "dz", "e", steps)
+        far = F.col("s.t") * norm(vec("d"))
+        limit = F.col("s.cap") * F.col("e")
+        shrink = F.when(F.col("s.cap").isNotNull() & (far > limit), limit / F.when(far > 0, far)).otherwise(F.lit(1.0))
+        move = add(vec("s"), scale(vec("d"), F.col("s.t") * shrink))
+        tried = settle(tried.select(F.concat_ws("\u0001", "mesh_id", F.col("s.h").cast("string")).alias("mesh_id"), "v", *unit_columns(move, "s")), "tried")
+        tf = f_live.withColumn("mesh_id", F.explode(F.array(*[F.concat_ws("\u0001", "mesh_id", F.lit(str(h))) for h in range(14)])))
+        part = F.split("mesh_id", "\u0001")
+        score = fo.fold_count(chart_corners(tf, tried)).where("folds = 0").select(part[0].alias("mesh_id"), part[1].cast("int").alias("h"))
+        best = settle(score.groupBy("mesh_id").agg(F.min("h").alias("h")), "best")
+        moved = tried.select(part[0].alias("mesh_id"), part[1].cast("int").alias("h"), "v", *S).join(best, ["mesh_id", "h"], "leftsemi").drop("h")
+        still = cur.join(best, "mesh_id", "leftanti")
+        cur = settle(moved.unionByName(still.select("mesh_id", "v", *S)), "flow")
+        state = settle(state.join(best.withColumn("ok", F.lit(True)), "mesh_id", "left").select(
+            "mesh_id", F.when(F.col("ok"), 0).otherwise(F.col("rejected") + 1).alias("rejected")), "state")
+        row = spread.join(state, "mesh_id").select("mesh_id", F.lit(step).alias("step"), "spread", "rejected")
+        log = settle(row if log is None else log.unionByName(row), "log")
+        judged = step_log(log, eps, max_rejected, window, gain).where(F.col("step") == step)
+        leaving = settle(judged.where("stopped IS NOT NULL").select("mesh_id"), "leaving")
+        if leaving.limit(1).count():
+            done.append(settle(cur.join(leaving, "mesh_id", "leftsemi"), "done"))
+            cur, live = settle(cur.join(leaving, "mesh_id", "leftanti"), "flow"), settle(live.join(leaving, "mesh_id", "leftanti"), "live")
+            state = state.join(leaving, "mesh_id", "leftanti")
+            if live.limit(1).count() == 0:
+                break
+    for d in done:
+        cur = cur.unionByName(d)
+    return cur, step_log(log, eps, max_rejected, window, gain)
+
+
+def running_best(log: DataFrame, window: int = 100, gain: float = 0.9) -> DataFrame:
+    """Step log with the best spread so far and whether it gained too little over the last `window` steps.
+
+    The log of one mesh is as long as its step cap, so its window is bounded by that.
+    """
+    order = Window.partitionBy("mesh_id").orderBy("step")
+    best = log.withColumn("best", F.min("spread").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.lag("best", window).over(order)
+    return best.withColumn("plateau", F.coalesce(F.col("best") > gain * before, F.lit(False)))
+
+
+def step_log(log: DataFrame, eps: float, max_rejected: int, window: int, gain: float) -> DataFrame:
+    """Adds the reason a mesh stops at a step, or NULL."""
+    why = F.when(F.col("spread") < eps, "converged").when(F.col("rejected") >= max_rejected, "stalled").when(F.col("plateau"), "plateau")
+    return running_best(log, window, gain).withColumn("stopped", why)
+
+
+def energy_plateau(log: DataFrame, tol: float, lag: int = 50) -> DataFrame:
+    """log(mesh_id, step, energy): true where the last `lag` steps gained less than tol * |energy|."""
+    before = F.lag("energy", lag).over(Window.partitionBy("mesh_id").orderBy("step"))
+    return log.withColumn("plateau", F.coalesce(before - F.col("energy") < tol * F.abs("energy"), F.lit(False)))
