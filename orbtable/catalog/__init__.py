@@ -48,4 +48,4 @@ def load() -> None:
         importlib.import_module(f"orbtable.catalog.{mod}")
 
 
-MODULES = ["fields", "meshes", "places", "surfaces", "supersteps"]
+MODULES = ["fields", "meshes", "places", "surfaces", "supersteps", "clouds", "ingest", "streams"]
