@@ -85,11 +85,22 @@ def _(spark, sf):
     return spt.locate(m.faces, m.chart, _warped_queries(m)).drop("a", "b", "c")
 
 
-@q("pl_interpolate", _locate_ctes() + f""" SELECT l.mesh_id, l.q, {', '.join(rnd(f'l.w0*p.{k}+l.w1*r.{k}+l.w2*s.{k}', k) for k in 'xyz')} FROM located l
+def _inside_ctes() -> str:
+    """First containing face per query; on this valid chart every containing face gives the same value."""
+    a, b, c, p = V("as"), V("bs"), V("cs"), V("q.t")
+    vol = lambda u, v, w: sdot(u, scross(v, w))
+    return f""", w0 AS (SELECT fc.mesh_id, q.v AS q, f, a, b, c, {vol(a, b, c)} AS det, {vol(p, b, c)} AS n0, {vol(a, p, c)} AS n1, {vol(a, b, p)} AS n2
+ FROM fc JOIN verts q ON q.mesh_id = fc.mesh_id),
+w2 AS MATERIALIZED (SELECT mesh_id, q, f, a, b, c, n0/(n0+n1+n2) AS w0, n1/(n0+n1+n2) AS w1, n2/(n0+n1+n2) AS w2 FROM w0
+ WHERE abs(det) >= 1e-14 AND n0/det >= -1e-12 AND n1/det >= -1e-12 AND n2/det >= -1e-12),
+located AS (SELECT * FROM w2 WHERE (mesh_id, q, f) IN (SELECT (mesh_id, q, min(f)) FROM w2 GROUP BY mesh_id, q))"""
+
+
+@q("pl_interpolate", _inside_ctes() + f""" SELECT l.mesh_id, l.q, {', '.join(rnd(f'l.w0*p.{k}+l.w1*r.{k}+l.w2*s.{k}', k) for k in 'xyz')} FROM located l
 JOIN verts p ON p.mesh_id = l.mesh_id AND p.v = l.a JOIN verts r ON r.mesh_id = l.mesh_id AND r.v = l.b JOIN verts s ON s.mesh_id = l.mesh_id AND s.v = l.c""")
 def _(spark, sf):
     m = L(spark, sf)
-    return spt.pl_interpolate(spt.locate(m.faces, m.chart, _warped_queries(m)), m.vertices, ["x", "y", "z"])
+    return spt.pl_interpolate(spt.locate(m.faces, m.chart, _warped_queries(m), label=False), m.vertices, ["x", "y", "z"])
 
 
 # ---------------------------------------------------------------- self-intersection of the warped spheres

@@ -77,7 +77,7 @@ def adaptive_warp(vertices, faces, chart, grid_faces: DataFrame, dirs: DataFrame
     for _ in range(rounds):
         as_chart = p.select("mesh_id", "v", *[F.col(k).alias("s" + k) for k in "xyz"])
         d2 = fo.vertex_density(p, face_corners(grid_faces, as_chart, S)).withColumnRenamed("d", "d2")
-        at = pl_interpolate(locate(faces, chart, p.withColumnRenamed("v", "q")), d0, ["d"]).withColumnRenamed("q", "v")
+        at = pl_interpolate(locate(faces, chart, p.withColumnRenamed("v", "q"), label=False), d0, ["d"]).withColumnRenamed("q", "v")
         r = at.join(d2, ["mesh_id", "v"]).select("mesh_id", "v", (F.col("d") / F.col("d2")).alias("r"))
         nb = p.join(r, ["mesh_id", "v"]).withColumnRenamed("v", "w")
         mean = ring.join(nb, ["mesh_id", "w"]).groupBy("mesh_id", F.col("u").alias("v")).agg(

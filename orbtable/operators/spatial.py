@@ -191,19 +191,22 @@ def containing_faces(faces: DataFrame, chart: DataFrame, queries: DataFrame) ->
     mid = scale(mean, 1 / F.when(n > 1e-9, n).otherwise(F.lit(1.0)))
     corner_cols = [k + "s" + c for k in "abc" for c in "xyz"]
     boxed = fr.select("mesh_id", "f", "a", "b", "c", *corner_cols, radius.alias("rad"), *named(mid, "m"))
+    boxed = boxed.withColumn("reach2", F.col("rad") * F.col("rad"))
     boxed = boxed.withColumn("level", _level_for(2 * F.col("rad")))
     size = _level_size(F.col("level"))
     seqs = _covered([F.col("m" + k) - F.col("rad") for k in "xyz"], [F.col("m" + k) + F.col("rad") for k in "xyz"], size)
     binned = boxed
     for c, s in zip(CELL, seqs):
         binned = binned.withColumn(c, F.explode(s))
-    binned = binned.drop("rad", "mx", "my", "mz")
+    binned = binned.drop("rad")
     used = boxed.groupBy("mesh_id").agg(F.collect_set("level").alias("levels"))  # a few dozen numbers at most
     probe = queries.select("mesh_id", "q", *unit_columns(vec(""), "p")).join(used, "mesh_id").select(
         "mesh_id", "q", "px", "py", "pz", F.explode("levels").alias("level"))
     size = _level_size(F.col("level"))
     probe = probe.select("*", *[F.floor(F.col("p" + k) / size).cast("bigint").alias("_c" + k) for k in "xyz"])
-    cand = probe.join(binned, ["mesh_id", "level", *CELL])
+    off = sub(vec("m"), vec("p"))
+    # the cap test is a cheap join condition; the determinants run on what is left
+    cand = probe.join(binned, ["mesh_id", "level", *CELL]).where(dot(off, off) <= F.col("reach2"))
     det, w0, w1, w2 = g.barycentric(A, B, C, vec("p"))
     tested = fence(cand, ["mesh_id", "q", "f", "a", "b", "c"], w0.alias("w0"), w1.alias("w1"), w2.alias("w2"))
     hit = tested.where((F.col("w0") >= INSIDE_TOL) & (F.col("w1") >= INSIDE_TOL) & (F.col("w2") >= INSIDE_TOL))
@@ -211,21 +214,30 @@ def containing_faces(faces: DataFrame, chart: DataFrame, queries: DataFrame) ->
     return hit.select("mesh_id", "q", "f", "a", "b", "c", (F.col("w0") / s).alias("w0"), (F.col("w1") / s).alias("w1"), (F.col("w2") / s).alias("w2"))
 
 
-def locate(faces: DataFrame, chart: DataFrame, queries: DataFrame) -> DataFrame:
+def locate(faces: DataFrame, chart: DataFrame, queries: DataFrame, label: bool = True) -> DataFrame:
     """located(mesh_id, q, f, a, b, c, w0, w1, w2, how): one face per query.
 
     Preference: a face of the nearest vertex ('vertex'), a face of one of its neighbours
     ('ring'), any face ('sweep'), else the nearest vertex itself with weight 1 ('nearest').
-    All containing faces come from one hashed join; the preference only ranks them.
+    All containing faces come from one hashed join; the preference only ranks them, so the
+    nearest vertex is needed where a query has none or several. With label=False it is
+    searched for those alone, and `how` is 'only' elsewhere; faces and weights are the same.
     """
-    near = settle(nearest_vertex(chart, queries), "nearest").select("mesh_id", "q", F.col("v").alias("v0"))
-    hits = containing_faces(faces, chart, queries).join(near, ["mesh_id", "q"])
-    touches = F.array_contains(F.array("a", "b", "c"), F.col("v0"))
-    hits = settle(hits.withColumn("own", touches), "hits")
-    ring = hits.where("NOT own").select("mesh_id", "q", "f", "v0", F.explode(F.array("a", "b", "c")).alias("u")).join(
+    hits = settle(containing_faces(faces, chart, queries), "hits")
+    count = hits.groupBy("mesh_id", "q").agg(F.count("*").alias("n"))
+    if label:
+        asked, only = queries, None
+    else:
+        single = settle(count.where("n = 1").select("mesh_id", "q"), "single")
+        asked = queries.join(single, ["mesh_id", "q"], "leftanti")
+        only = hits.join(single, ["mesh_id", "q"], "leftsemi").withColumn("how", F.lit("only"))
+    near = settle(nearest_vertex(chart, asked), "nearest").select("mesh_id", "q", F.col("v").alias("v0"))
+    open_hits = hits.join(near, ["mesh_id", "q"])
+    open_hits = settle(open_hits.withColumn("own", F.array_contains(F.array("a", "b", "c"), F.col("v0"))), "open")
+    ring = open_hits.where("NOT own").select("mesh_id", "q", "f", "v0", F.explode(F.array("a", "b", "c")).alias("u")).join(
         adjacency(faces).withColumnRenamed("v", "v0"), ["mesh_id", "v0", "u"], "leftsemi").select("mesh_id", "q", "f").distinct()
     tier = F.when(F.col("own"), 0).when(F.col("in_ring"), 1).otherwise(2)
-    ranked = hits.join(ring.withColumn("in_ring", F.lit(True)), ["mesh_id", "q", "f"], "left")
+    ranked = open_hits.join(ring.withColumn("in_ring", F.lit(True)), ["mesh_id", "q", "f"], "left")
     pick = ranked.groupBy("mesh_id", "q").agg(
         F.min(F.struct(tier.alias("tier"), "f", "a", "b", "c", "w0", "w1", "w2")).alias("m"))
     how = F.element_at(F.array(F.lit("vertex"), F.lit("ring"), F.lit("sweep")), F.col("m.tier") + 1)
@@ -237,7 +249,8 @@ def locate(faces: DataFrame, chart: DataFrame, queries: DataFrame) -> DataFrame:
     one = lambda c: F.when(F.col("m." + c) == F.col("v0"), F.lit(1.0)).otherwise(F.lit(0.0))
     rest = lost.join(first, ["mesh_id", "v0"]).select(
         "mesh_id", "q", "m.f", "m.a", "m.b", "m.c", one("a").alias("w0"), one("b").alias("w1"), one("c").alias("w2"), F.lit("nearest").alias("how"))
-    return found.unionByName(rest)
+    out = found.unionByName(rest)
+    return out if only is None else out.unionByName(only)
 
 
 def pl_interpolate(located: DataFrame, field: DataFrame, cols: list[str]) -> DataFrame:
@@ -272,6 +285,8 @@ def _boxes(vertices: DataFrame, faces: DataFrame, rel_tol: float) -> DataFrame:
 def box_pairs(boxed: DataFrame) -> DataFrame:
     """Each unordered pair of triangles of a mesh whose boxes overlap within tol, exactly once.
 
+    Returns (mesh_id, pf, pa, pb, pc, qf, qa, qb, qc); only boxes and vertex ids travel.
+
     A triangle is stored in the few cells it covers at the level of its own size, and probes
     the cells it covers at every coarser level in use. A pair meets at the coarser of its two
     levels and is kept only in the first cell both cover, so nothing has to be deduplicated.
@@ -289,7 +304,8 @@ def box_pairs(boxed: DataFrame) -> DataFrame:
         return df.drop("jx", "jy", "jz")
 
     levels = own.groupBy("mesh_id").agg(F.collect_set("own").alias("levels"))
-    slim = [c for c in boxed.columns if c not in ("mesh_id", "tol")]
+    slim = ["f", "a", "b", "c", *["l" + k for k in "xyz"], *["h" + k for k in "xyz"]]
+    own = own.select("mesh_id", "tol", "own", *slim)
     stored = cells(own.withColumnRenamed("own", "level"), "level")
     stored = stored.select("mesh_id", "level", *CELL, *[F.col(c).alias("q" + c) for c in slim], *[F.col("i" + k).alias("qi" + k) for k in "xyz"])
     probing = own.join(levels, "mesh_id").withColumn("level", F.explode(F.filter("levels", lambda t: t <= F.col("own"))))
@@ -302,7 +318,7 @@ def box_pairs(boxed: DataFrame) -> DataFrame:
     for k in "xyz":
         canonical = canonical & (F.greatest("pi" + k, "qi" + k) == F.col("_c" + k))
         boxes = boxes & (F.col("pl" + k) <= F.col("qh" + k) + F.col("tol")) & (F.col("ql" + k) <= F.col("ph" + k) + F.col("tol"))
-    return met.where(once & canonical & boxes)
+    return met.where(once & canonical & boxes).select("mesh_id", *[s + c for s in "pq" for c in ("f", "a", "b", "c")])
 
 
 def not_adjacent() -> Column:
@@ -316,8 +332,11 @@ def self_intersections(vertices: DataFrame, faces: DataFrame, rel_tol: float = 1
     Repeated faces count with their multiplicity; copies of a face share its vertices and so
     never pair with each other.
     """
-    boxed = _boxes(vertices, faces, rel_tol)
-    pairs = box_pairs(boxed.where(F.col("nx").isNotNull())).where(not_adjacent())
+    boxed = settle(_boxes(vertices, faces, rel_tol).where(F.col("nx").isNotNull()), "boxes")
+    pairs = box_pairs(boxed).where(not_adjacent()).select("mesh_id", "pf", "qf")
+    body = ["m", *[k + c for k in "abc" for c in "xyz"], "nx", "ny", "nz", "nd"]
+    side = lambda p, *more: boxed.select("mesh_id", F.col("f").alias(p + "f"), *[F.col(c).alias(p + c) for c in body], *more)
+    pairs = pairs.join(side("p", "tol"), ["mesh_id", "pf"]).join(side("q"), ["mesh_id", "qf"])
     tested = overlapping(pairs, ["mesh_id", "pm", "qm"])
     n = tested.groupBy("mesh_id").agg(F.sum(F.when(F.col("hit"), F.col("pm") * F.col("qm")).otherwise(0)).alias("pairs"))
     return faces.select("mesh_id").distinct().join(n, "mesh_id", "left").select(

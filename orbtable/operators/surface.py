@@ -68,9 +68,9 @@ def limit_sampling(vertices: DataFrame, faces: DataFrame, chart: DataFrame, quer
         both, f = settle(both, "loop"), settle(f, "loop")
     lim = settle(limit_vertex(both, f, cols), "limit")
     smooth_chart = lim.select("mesh_id", "v", *unit_columns(vec("s"), "s"))
-    return pl_interpolate(locate(f, smooth_chart, queries), lim, ["x", "y", "z"])
+    return pl_interpolate(locate(f, smooth_chart, queries, label=False), lim, ["x", "y", "z"])
 
 
 def resample(vertices: DataFrame, faces: DataFrame, chart: DataFrame, queries: DataFrame) -> DataFrame:
     """Piecewise-linear surface points at query directions(mesh_id, q, x, y, z)."""
-    return pl_interpolate(locate(faces, chart, queries), vertices, ["x", "y", "z"])
+    return pl_interpolate(locate(faces, chart, queries, label=False), vertices, ["x", "y", "z"])
