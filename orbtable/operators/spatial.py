@@ -114,8 +114,9 @@ def knn_search(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         rest = active.join(good, ["grp", "qrep"], "leftanti").where(F.col("level") > 0)
         active = settle(rest.withColumn("level", F.col("level") - 1), "active")
 
-    found = done[0]
-    for part in done[1:]:
+    # no query at all still has a schema
+    found = spots.select("grp", F.col("rep").alias("qrep"), "rep", F.lit(0.0).alias("d2")).where(F.lit(False))
+    for part in done:
         found = found.unionByName(part)
     # positions back to ids: k positions of at most k ids each, ranked again by (distance, id)
     named_ids = found.join(spots.select("grp", "rep", "ids"), ["grp", "rep"]).select(
