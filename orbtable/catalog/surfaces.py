@@ -250,7 +250,7 @@ def _(spark, sf):
 
 @register("limit_sampling")
 def _(spark, sf):
-    """Smooth surface at the fit grid after one refinement; checked by convergence in the tests."""
+    """Smooth surface at the fit grid after one refinement; the tests check it on the sphere."""
     m = L(spark, sf)
     return su.limit_sampling(m.vertices, m.faces, m.chart, fp.grid_directions(m.chart, NLAT, NPHI))
 
@@ -343,7 +343,7 @@ def _(spark, sf):
 
 @register("grid_metrics")
 def _(spark, sf):
-    """Fit of degree 1 against the input on the tensor grid; brute-force parity is in the tests."""
+    """Fit of degree 1 against the input on the tensor grid; the tests check its intersection count on triangle soup."""
     hard = region_specs(spark, sf).where("kind = 'hard'")
     e = fp.filter_and_evaluate(mesh_coeffs(spark, sf), sp.gains_for(hard, LMAX), NLAT, NPHI, LMAX)
     return fp.grid_metrics(e.drop("spec_id"), mesh_grid(spark, sf), NLAT, NPHI)
