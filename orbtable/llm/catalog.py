@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from orbtable.llm import bpe, exact_dedup, packing, token_counts
+from orbtable.llm import bpe, exact_dedup, packing, quality_rules, token_counts
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
     "op3_packing": packing.query,
     "op6_token_counts": token_counts.query,
     "op7_bpe": bpe.query,
+    "op8_quality_rules": quality_rules.query,
 }
 ORACLES = {"op2_exact_dedup": exact_dedup.SQL}
