@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbtable.llm import bpe, exact_dedup, packing, quality_classifier, quality_rules, token_counts
+from orbtable.llm import bpe, exact_dedup, lm_scoring, packing, quality_classifier, quality_rules, token_counts
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_token_counts": token_counts.query,
     "op7_bpe": bpe.query,
     "op8_quality_rules": quality_rules.query,
+    "op9_lm_scoring": lm_scoring.query,
     "op10_quality_classifier": quality_classifier.query,
 }
 ORACLES = {"op2_exact_dedup": exact_dedup.SQL}
