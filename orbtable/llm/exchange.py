@@ -2,7 +2,7 @@
 
 A block holds some megabytes of documents. It sends each of its distinct 64-bit keys once, with a number,
 to the shard that the key's top bits name; the shard combines the numbers of all blocks by sum or by
-minimum and answers each block in the order asked. Keys travel packed, many to a row, and a key is
+minimum (or by "others": the minimum, where two blocks or more asked) and answers each block in the order asked. Keys travel packed, many to a row, and a key is
 combined inside a block first, so a frequent key is one entry per block: no shard gathers the rows
 of a hot key, and the number of shards grows with the corpus.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbtable.llm.common import power_of_two
+from orbtable.session import scratch_path
 
 #: Bytes of text of a block, at most (but for one longer document).
 BLOCK_BYTES = 8 << 20
@@ -25,6 +26,10 @@ BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 2 << 20
 
 
+#: Answer to a key that no other block has asked for, with how "others".
+NOBODY = np.uint64(2**64 - 1)
+
+
 def squeeze(a: np.ndarray | bytes) -> bytes:
     return zstandard.compress(a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes(), 1)
 
@@ -65,12 +70,13 @@ def shards_for(total_bytes: int, least: int = 64) -> int:
     return power_of_two(max(least, total_bytes / SHARD_BYTES))
 
 
-def ask(blocks: DataFrame, keys_of: Callable[[pd.Series], tuple[np.ndarray, np.ndarray]], how: str, shards: int) -> DataFrame:
+def ask(blocks: DataFrame, keys_of: Callable[[pd.Series], tuple[np.ndarray, np.ndarray]], how: str, shards: int, width: int = 6) -> DataFrame:
     """(block, answer, fresh): per block what the corpus says of its keys.
 
     `keys_of` gives for a row of `blocks` its distinct keys in rising order and their numbers (unsigned
     integers). `answer` holds the combined numbers in the same order, packed by squeeze_ints per shard;
-    `fresh` counts the keys with a combined number above 0 of which this block is the first asker.
+    `fresh` counts the keys with a combined number above 0 of which this block is the first asker. Of a
+    key, the shard's bits and the `width` bytes below them are compared.
     """
     bits = np.uint64(64 - (shards.bit_length() - 1))
 
@@ -83,22 +89,24 @@ def ask(blocks: DataFrame, keys_of: Callable[[pd.Series], tuple[np.ndarray, np.n
                 for s in range(shards):
                     a, b = cuts[s], cuts[s + 1]
                     if a < b:
-                        # below the shard's bits, 48 more tell keys apart
-                        rows.append((row["block"], s, (keys[a:b] << (np.uint64(64) - bits)).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes(), squeeze_ints(numbers[a:b])))
+                        # the shard's own bits need not travel
+                        rows.append((row["block"], s, (keys[a:b] << (np.uint64(64) - bits)).view(np.uint8).reshape(-1, 8)[:, 8 - width:].tobytes(), squeeze_ints(numbers[a:b])))
                 yield pd.DataFrame(rows, columns=["block", "shard", "keys", "numbers"])
 
     def combine(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("block")
-        sizes = [len(k) // 6 for k in group["keys"]]
+        sizes = [len(k) // width for k in group["keys"]]
         keys = np.zeros((sum(sizes), 8), np.uint8)
-        keys[:, 2:] = np.frombuffer(b"".join(group["keys"]), np.uint8).reshape(-1, 6)
+        keys[:, 8 - width:] = np.frombuffer(b"".join(group["keys"]), np.uint8).reshape(-1, width)
         numbers = np.concatenate([swell_ints(b) for b in group["numbers"]])
         values, first, inverse = np.unique(keys.view("<u8").ravel(), return_index=True, return_inverse=True)
         if how == "sum":
             total = np.bincount(inverse, numbers.astype(np.float64), len(values)).astype(np.uint64)
         else:
-            total = np.full(len(values), np.iinfo(np.uint64).max, np.uint64)
+            total = np.full(len(values), NOBODY, np.uint64)
             np.minimum.at(total, inverse, numbers)
+            if how == "others":
+                total[np.bincount(inverse, minlength=len(values)) < 2] = NOBODY
         new = np.zeros(len(keys), bool)
         new[first[total > 0]] = True
         ends = np.cumsum(sizes)
@@ -113,6 +121,16 @@ def ask(blocks: DataFrame, keys_of: Callable[[pd.Series], tuple[np.ndarray, np.n
         F.transform(F.sort_array(F.collect_list(F.struct("shard", "answer"))), lambda x: x["answer"]).alias("answer"), F.sum("fresh").alias("fresh"))
 
 
+def beside(blocks: DataFrame, label: str) -> DataFrame:
+    """`blocks` written in buckets of their id, so that later joins by block don't move them."""
+    spark = blocks.sparkSession
+    path = scratch_path(spark, label)
+    name = "t_" + path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def answers(column) -> np.ndarray:
     """The numbers of an `answer` column's cell, in the order of the keys asked."""
     if column is None or not len(column):
