@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from orbtable.llm import bpe, exact_dedup, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts
+from orbtable.llm import bpe, exact_dedup, lm_scoring, near_dedup, packing, private_data, quality_classifier, quality_rules, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_packing": packing.query,
     "op4_suffix_dedup": suffix_dedup.query,
+    "op5_private_data": private_data.query,
     "op6_token_counts": token_counts.query,
     "op7_bpe": bpe.query,
     "op8_quality_rules": quality_rules.query,
