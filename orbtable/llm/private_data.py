@@ -90,14 +90,14 @@ def surrogate(kind: Column, canon: Column, gender: Column, attempt: Column, key:
     pad = F.concat_ws("|", F.lit(key), kind, gender, canon, attempt.cast("string"))
     stream = F.concat(*[F.sha2(F.concat(pad, F.lit(f"|{key}|{j}")), 256) for j in range(4)])
     byte = lambda i: F.conv(F.substring(stream, 1, 256).substr((i % 128) * 2 + F.lit(1), F.lit(2)), 16, 10).cast("int")
-    hexed = canon.rlike("^[0-9a-f]+$")
     kept = F.when(kind == "email", F.length(F.regexp_extract(canon, r"\.[^.]*$", 0))).otherwise(0)
 
     def char(c: Column, i: Column) -> Column:
         out = c
         for letters in reversed(ALPHABETS):
             out = F.when(F.instr(F.lit(letters), c) > 0, _pick(letters, byte(i))).otherwise(out)
-        out = F.when(hexed & kind.isin("secret"), _pick("0123456789abcdef", byte(i))).otherwise(out)
+        out = F.when(canon.rlike("^[0-9a-f]+$") & (kind == "secret"), _pick("0123456789abcdef", byte(i))).otherwise(out)
+        out = F.when(canon.rlike("^[0-9A-F]+$") & (kind == "secret"), _pick("0123456789ABCDEF", byte(i))).otherwise(out)
         stay = (i < F.when(kind == "key", 4).when(kind.isin("phone", "card"), 1).when(kind == "iban", 2).otherwise(0)) | (i >= F.length(canon) - kept)
         return F.when(stay, c).otherwise(out)
 
