@@ -59,7 +59,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with their own columns; a repeated document once."""
     lost = mark_copies(docs).where("not kept").select(F.col("doc_id").alias("_lost_id"), F.col("text_sha256").alias("_lost_sha")).distinct()
     sha = F.sha2(F.encode(body(), "UTF-8"), 256)
-    return docs.join(lost, docs.doc_id.eqNullSafe(F.col("_lost_id")) & (sha == F.col("_lost_sha")), "left_anti")
+    return docs.join(lost.hint("shuffle_hash"), docs.doc_id.eqNullSafe(F.col("_lost_id")) & (sha == F.col("_lost_sha")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

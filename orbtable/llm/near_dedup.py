@@ -280,7 +280,7 @@ def near_copies(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` whose document stays, one of each group, with their own columns."""
     lost = near_copies(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_lost_id")).distinct()
-    return docs.join(lost, docs.doc_id.eqNullSafe(F.col("_lost_id")), "left_anti")
+    return docs.join(lost.hint("shuffle_hash"), docs.doc_id.eqNullSafe(F.col("_lost_id")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
