@@ -147,8 +147,9 @@ class AdditiveModel:
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: float = 0.3) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score and predicted.
 
-    Features of every whole text are computed once and written. The model learns from at most
-    `sample` labelled rows, those of the smallest hash of doc_id, whose crc32(doc_id) mod 5 is not 0;
+    Features of every whole text are computed once and written. The model learns from a
+    share of the labelled rows whose crc32(doc_id) mod 5 is not 0, picked by a hash of doc_id so that
+    `sample` are expected, or from all if there are fewer;
     of several labels of a doc_id the largest counts, null labels do not. Inputs are features of the
     text alone. Empty and null texts have all features 0 and are scored like others. Without both
     labels among the learnt rows every score is their smoothed share. A null doc_id is not held out.
@@ -164,7 +165,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, leas
     measured = settle(docs.select("doc_id", body().alias("text")).mapInPandas(measure, "doc_id long, " + ", ".join(f"{c} double" for c in columns)), "features")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
-    learnt = measured.where(~held).dropDuplicates(["doc_id"]).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
+    usable = settle(measured.where(~held).dropDuplicates(["doc_id"]).join(known, "doc_id"), "labelled")
+    share = min(1.0, sample / max(1, usable.count()))
+    learnt = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).toPandas().sort_values("doc_id")
     model = AdditiveModel().fit(learnt[columns].to_numpy(), learnt["label"].to_numpy())
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
