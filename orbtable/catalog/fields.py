@@ -214,7 +214,7 @@ def _(spark, sf):
     path = scratch_path(spark, "coeffs")
     sinks.write_coeffs(coeffs(spark, sf), path, lmax=LMAX, nlat=NLAT, nphi=NPHI, filter_text="off", source="events")
     rows, provenance = sinks.read_coeffs(spark, path)
-    return rows.join(F.broadcast(provenance), "model").select(
+    return rows.join(provenance, "model").select(
         "field_id", "comp", "l", "m", "re", "im", "nlat", "nphi", F.col("filter"))
 
 
@@ -229,28 +229,30 @@ def _(spark, sf):
         "spec_id", filter_label(F.col("kind"), F.col("cutoff"), F.col("ramp"), F.col("sigma")).alias("label"))
 
 
-@register("grid_sizes", f"""SELECT p_partkey, lmax, pdeg,
- CAST(2*ceil(greatest(lmax+1.0, ((pdeg+1)*lmax+1)/2.0)/2) AS INTEGER) AS nlat,
- CAST((SELECT min(1 << CAST(range AS INTEGER)) FROM range(25) WHERE (1 << CAST(range AS INTEGER)) >= (pdeg+1)*lmax+1) AS INTEGER) AS nphi
-FROM (SELECT p_partkey, p_size AS lmax, CAST(1 + p_partkey % 7 AS INTEGER) AS pdeg FROM part)""")
+@register("grid_sizes", """SELECT p_partkey, lmax, pdeg,
+ CAST(2*ceil(greatest(lmax+1.0, ((pdeg+1)*lmax+1)/2.0)/2) AS BIGINT) AS nlat,
+ (SELECT min(CAST(1 AS BIGINT) << CAST(range AS INTEGER)) FROM range(60) WHERE (CAST(1 AS BIGINT) << CAST(range AS INTEGER)) >= (pdeg+1)*lmax+1) AS nphi
+FROM (SELECT p_partkey, CAST(p_size * CASE WHEN p_partkey % 50 = 0 THEN 1000003 ELSE 1 END AS BIGINT) AS lmax, CAST(1 + p_partkey % 7 AS BIGINT) AS pdeg FROM part)""")
 def _(spark, sf):
-    """Grid size per part: lmax from its size, product degree from its key."""
+    """Grid size per part: lmax from its size (some of many millions), product degree from its key."""
     cfg = B.table(spark, sf, "part").select(
-        "p_partkey", F.col("p_size").alias("lmax"), (1 + F.col("p_partkey") % 7).cast("int").alias("pdeg"))
+        "p_partkey", (F.col("p_size") * F.when(F.col("p_partkey") % 50 == 0, 1000003).otherwise(1)).cast("bigint").alias("lmax"),
+        (1 + F.col("p_partkey") % 7).cast("bigint").alias("pdeg"))
     return cfg.select("*", fs.grid_nlat(F.col("lmax"), F.col("pdeg")).alias("nlat"),
                       fs.grid_nphi(F.col("lmax"), F.col("pdeg")).alias("nphi"))
 
 
 @register("validate_grid", """SELECT p_partkey, concat_ws('; ',
-  CASE WHEN mmax > lmax THEN 'mmax exceeds lmax' END, CASE WHEN nlat <= lmax THEN 'nlat must exceed lmax' END,
-  CASE WHEN nlat % 2 = 1 THEN 'nlat must be even' END,
-  CASE WHEN nphi < 2*mmax + 1 THEN 'nphi below 2*mmax+1' END) AS problems
-FROM (SELECT p_partkey, p_size AS lmax, CAST(p_size + p_partkey % 5 - 3 AS INTEGER) AS mmax,
-  CAST(p_size + p_partkey % 7 - 2 AS INTEGER) AS nlat, CAST(2*p_size + p_partkey % 9 - 4 AS INTEGER) AS nphi FROM part)""")
-def _(spark, sf):
-    k, size = F.col("p_partkey"), F.col("p_size")
+  CASE WHEN lmax < 1 THEN 'lmax below 1' END, CASE WHEN mmax NOT BETWEEN 0 AND lmax THEN 'mmax outside 0..lmax' END,
+  CASE WHEN NOT nlat > lmax THEN 'nlat must exceed lmax' END,
+  CASE WHEN nphi <= 2*mmax THEN 'nphi below 2*mmax+1' END) AS problems
+FROM (SELECT p_partkey, CAST(p_size * (p_partkey % 4) AS INTEGER) AS lmax, CAST(p_size * (p_partkey % 4) + p_partkey % 5 - 3 AS INTEGER) AS mmax,
+  CAST(p_size * (p_partkey % 4) + p_partkey % 7 - 2 AS INTEGER) AS nlat, CAST(2*p_size * (p_partkey % 4) + p_partkey % 9 - 4 AS INTEGER) AS nphi FROM part)""")
+def _(spark, sf):
+    """Grids of the parts: odd nlat (fine), lmax 0 and negative mmax (not) among them."""
+    k, size = F.col("p_partkey"), F.col("p_size") * (F.col("p_partkey") % 4)
     cfg = B.table(spark, sf, "part").select(
-        "p_partkey", size.alias("lmax"), (size + k % 5 - 3).cast("int").alias("mmax"),
+        "p_partkey", size.cast("int").alias("lmax"), (size + k % 5 - 3).cast("int").alias("mmax"),
         (size + k % 7 - 2).cast("int").alias("nlat"), (2 * size + k % 9 - 4).cast("int").alias("nphi"))
     return cfg.select("p_partkey", grids.grid_problems().alias("problems"))
 
@@ -284,7 +286,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Basis values at the ring of every event."""
     ev = B.event_cells(spark, sf).select("event_id", "i")
-    return ev.join(F.broadcast(sp.basis(spark, NLAT, LMAX)), "i").select("event_id", "l", "m", "y")
+    return ev.join(sp.basis(spark, NLAT, LMAX), "i").select("event_id", "l", "m", "y")
 
 
 @register("auto_oversample", f"""SELECT p_partkey, CASE WHEN pl THEN 4 WHEN rough > 0.25 THEN 3 ELSE 2 END AS analysis,

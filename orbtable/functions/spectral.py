@@ -44,22 +44,20 @@ def angle_sin(m, j, nphi) -> Column:
     return F.sin(F.lit(TAU) * ((m * j) % nphi) / nphi)
 
 
-def pow2_at_least(x: Column, top: int = 24) -> Column:
-    """Smallest power of two >= x, in integers (log2 rounding is not trusted)."""
-    out = F.lit(1 << top)
-    for k in range(top - 1, -1, -1):
-        out = F.when(x <= (1 << k), F.lit(1 << k)).otherwise(out)
-    return out.cast("int")
+def pow2_at_least(x: Column) -> Column:
+    """Smallest power of two >= x, for x up to 2**62: the bits of x - 1 are counted, log2 rounding is not trusted."""
+    bits = F.length(F.bin(F.greatest(x.cast("bigint") - 1, F.lit(0)))).cast("int")
+    return F.when(x <= 1, F.lit(1).cast("bigint")).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), bits))
 
 
 def grid_nlat(lmax: Column, pdeg: Column) -> Column:
     """Even number of latitudes that integrates degree (pdeg + 1) * lmax exactly."""
-    need = F.greatest((lmax + 1).cast("double"), ((pdeg + 1) * lmax + 1) / 2)
-    return (2 * F.ceil(need / 2)).cast("int")
+    need = F.greatest((lmax + 1).cast("double"), ((pdeg.cast("bigint") + 1) * lmax + 1) / 2)
+    return (2 * F.ceil(need / 2)).cast("bigint")
 
 
 def grid_nphi(lmax: Column, pdeg: Column) -> Column:
-    return pow2_at_least((pdeg + 1) * lmax + 1)
+    return pow2_at_least((pdeg.cast("bigint") + 1) * lmax + 1)
 
 
 def fraction_cutoff(lmax: Column, r: Column) -> Column:

@@ -22,9 +22,9 @@ def grid_problems() -> Column:
     say = lambda bad, text: F.when(bad, F.lit(text))
     return F.concat_ws(
         "; ",
-        say(mmax > lmax, "mmax exceeds lmax"),
+        say(lmax < 1, "lmax below 1"),
+        say((mmax < 0) | (mmax > lmax), "mmax outside 0..lmax"),
         say(nlat <= lmax, "nlat must exceed lmax"),
-        say(nlat % 2 == 1, "nlat must be even"),
         say(nphi < 2 * mmax + 1, "nphi below 2*mmax+1"),
     )
 
@@ -59,14 +59,18 @@ def floor_range(lo: Column, hi: Column, rel: float = RANGE_FLOOR_REL, floor: flo
 
 
 def robust_range(df: DataFrame, keys: list[str], value: str, curvature: bool = False) -> DataFrame:
-    """2 % and 98 % order statistics of the finite values, widened; exact on all rows, no stride sample."""
+    """2 % and 98 % order statistics of the finite values, widened; exact on all rows, no stride sample.
+
+    A group without a finite value has the range 0 to 1.
+    """
     q = order_statistics(finite_only(df, value), keys, value, {"lo": ("round", 0.02), "hi": ("round", 0.98)})
     lo, hi = floor_range(F.col("lo"), F.col("hi"))
     out = q.select(*keys, lo.alias("lo"), hi.alias("hi"))
     if curvature:
         lo, hi = floor_range(F.col("lo"), F.col("hi"), CURVATURE_FLOOR_REL, 0.0)
         out = out.select(*keys, lo.alias("lo"), hi.alias("hi"))
-    return out
+    return df.select(*keys).distinct().join(out, keys, "left").select(
+        *keys, F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(1.0)).alias("hi"))
 
 
 def ring_mean(samples: DataFrame, nlat: int) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbtable.session import settle
 from orbtable.functions.vec import Vec, direction, named, norm, scale, vec
 from orbtable.operators.mesh import half_edges, numbered_edges
 
@@ -157,8 +158,10 @@ def icosphere(configs: DataFrame) -> tuple[DataFrame, DataFrame]:
         levels = configs.select("mesh_id", "subdiv")
         new = mid.select("mesh_id", F.col("id").alias("v"), *named(scale(s, 1 / norm(s)), "")).join(levels, "mesh_id")
         split = split_faces(fa, e, [("a", "ab", "ca"), ("b", "bc", "ab"), ("c", "ca", "bc"), ("ab", "bc", "ca")]).join(levels, "mesh_id")
-        v = v.unionByName(new.select("mesh_id", "subdiv", "v", "x", "y", "z"))
-        f = f.where(~more).unionByName(split.select("mesh_id", "subdiv", "f", "a", "b", "c"))
+        # written each round: the next one reads both several times
+        v, f = (settle(df, "icosphere") for df in (
+            v.unionByName(new.select("mesh_id", "subdiv", "v", "x", "y", "z")),
+            f.where(~more).unionByName(split.select("mesh_id", "subdiv", "f", "a", "b", "c"))))
     return v.drop("subdiv"), f.drop("subdiv")
 
 

@@ -45,3 +45,26 @@ def test_manifest(spark, tmp_path):
     counts = spark.createDataFrame([("k", 8, 12, 2)], "mesh_id string, nv bigint, nf bigint, chi bigint")
     r = sm.check_manifest(sm.read_manifest(spark, str(tmp_path / "p.json")), counts).first()
     assert (r["nv_ok"], r["nf_ok"], r["euler_ok"]) == (True, True, False)
+
+
+def test_awkward_files(spark, tmp_path):
+    """Lower-case keywords, long headers and one-line facets are read; what is not a mesh is reported."""
+    write_cubes(tmp_path)
+    read = lambda name: (tmp_path / name).read_bytes()
+    comment = b"comment " + b"format  binary " * 60 + b"\n"
+    (tmp_path / "low.off").write_bytes(read("b.off").replace(b"OFF\n", b"off "))
+    (tmp_path / "not.off").write_bytes(read("b.off").replace(b"OFF", b"hello"))
+    (tmp_path / "long.ply").write_bytes(read("d.ply").replace(b"ply\n", b"ply\n" + comment, 1))
+    (tmp_path / "long_text.ply").write_bytes(read("c.ply").replace(b"ply\n", b"ply\n" + comment, 1))
+    (tmp_path / "cut.ply").write_bytes(read("d.ply")[:-30])
+    (tmp_path / "no.ply").write_bytes(b"nothing of the kind\n")
+    (tmp_path / "line.STL").write_bytes(read("f.stl").replace(b"\nvertex", b" vertex"))
+    (tmp_path / "not.stl").write_bytes(read("f.stl").replace(b"solid cube\n", b"", 1))
+    (tmp_path / "odd.stl").write_bytes(read("f.stl").replace(b"endsolid", b"vertex 1 2 3\nendsolid"))
+    (tmp_path / "bad.mesh").write_bytes(b"SHM2" + read("h.mesh")[4:])
+    (tmp_path / "cut.mesh").write_bytes(read("h.mesh")[:-8])
+    v, f, rejected = sm.read_meshes(spark, str(tmp_path))
+    short = lambda r: r["mesh_id"].rsplit("/", 1)[1]
+    whole = {short(r) for r in mo.euler_char(v, f).collect() if (r["nv"], r["nf"], r["chi"]) == (8, 12, 2)}
+    assert whole == {"a.OBJ", "b.off", "c.ply", "d.ply", "e.ply", "f.stl", "g.stl", "h.mesh", "low.off", "long.ply", "long_text.ply", "line.STL"}
+    assert {short(r) for r in rejected.collect()} == {"i.glb", "not.off", "cut.ply", "no.ply", "not.stl", "odd.stl", "bad.mesh", "cut.mesh"}
