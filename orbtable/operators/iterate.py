@@ -1,7 +1,7 @@
 """Superstep jobs: all meshes advance together, every round is written, finished meshes drop out.
 
-Small meshes are solved exactly, one mesh per group, behind a check of their size; larger
-ones by conjugate gradients whose every round is a join and two aggregations.
+Linear systems are solved by conjugate gradients: the rounds of a bounded system inside one task, those
+of a larger one as a join and two aggregations each, with the same steps and the same outcome.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from orbtable.operators.spatial import locate, pl_interpolate
 from orbtable.session import settle
 
 S = ["sx", "sy", "sz"]
-# largest system solved inside one task: 1500 unknowns are an 18 MB matrix
-DENSE_LIMIT = 1500
+# largest system whose rounds run inside one task: about 1.4 million triplets, 34 MB
+GATHER_LIMIT = 200_000
 
 
 def chart_corners(faces: DataFrame, chart: DataFrame) -> DataFrame:
@@ -96,6 +96,7 @@ def jacobi_pcg(matrix: DataFrame, rhs: DataFrame, cols: list[str], tol: float, m
     Systems below `tol` take no further part in the products.
     """
     key = ["mesh_id", "comp"]
+    scaled = F.try_divide("r", "d")  # NULL on a zero diagonal, and from there on: never converged
     long = lambda df, name: df.select("mesh_id", "v", F.inline(F.array(*[F.struct(F.lit(c).alias("comp"), F.col(c).alias(name)) for c in cols])))
     matrix = settle(matrix, "matrix")
     diag = matrix.where("row = col").select("mesh_id", F.col("row").alias("v"), F.col("val").alias("d"))
@@ -108,19 +109,19 @@ def jacobi_pcg(matrix: DataFrame, rhs: DataFrame, cols: list[str], tol: float, m
         st = st.join(long(start, "x"), [*key, "v"])
         st = settle(st, "pcg")
         st = st.join(product(st, "x", "ax"), [*key, "v"]).withColumn("r", F.col("b") - F.col("ax")).drop("ax")
-    st = settle(st.withColumn("p", F.col("r") / F.col("d")), "pcg")
+    st = settle(st.withColumn("p", scaled), "pcg")
     for _ in range(max_rounds):
-        norms = st.groupBy(*key).agg(F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rz"),
+        norms = st.groupBy(*key).agg(F.sum(F.col("r") * scaled).alias("rz"),
                                      F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("rn"), F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("bn"))
         live = settle(norms.where((F.col("rn") > tol * F.col("bn")) & (F.col("rz") > 0)).select(*key, "rz"), "live")
         if live.limit(1).count() == 0:
             break
         act = st.join(live, key)
         act = settle(act.join(product(act, "p", "q"), [*key, "v"]), "pcg")
-        a = act.groupBy(*key).agg((F.max("rz") / F.sum(F.col("p") * F.col("q"))).alias("al"))
+        a = act.groupBy(*key).agg(F.try_divide(F.max("rz"), F.sum(F.col("p") * F.col("q"))).alias("al"))
         moved = act.join(a, key).withColumn("x", F.col("x") + F.col("al") * F.col("p")).withColumn("r", F.col("r") - F.col("al") * F.col("q"))
-        beta = moved.groupBy(*key).agg((F.sum(F.col("r") * F.col("r") / F.col("d")) / F.max("rz")).alias("be"))
-        nxt = moved.join(beta, key).withColumn("p", F.col("r") / F.col("d") + F.col("be") * F.col("p"))
+        beta = moved.groupBy(*key).agg(F.try_divide(F.sum(F.col("r") * scaled), F.max("rz")).alias("be"))
+        nxt = moved.join(beta, key).withColumn("p", scaled + F.col("be") * F.col("p"))
         cols_kept = [*key, "v", "b", "d", "x", "r", "p"]
         st = settle(nxt.select(*cols_kept).unionByName(st.join(live, key, "leftanti").select(*cols_kept)), "pcg")
     fin = st.groupBy(*key).agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("rn"), F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("bn"))
@@ -128,44 +129,61 @@ def jacobi_pcg(matrix: DataFrame, rhs: DataFrame, cols: list[str], tol: float, m
     return st.join(fin, key).select("mesh_id", "v", "comp", "x", res.alias("residual"))
 
 
-def _dense_solver(cols: list[str]):
+def pcg_arrays(row: np.ndarray, col: np.ndarray, val: np.ndarray, b: np.ndarray, tol: float, max_rounds: int) -> tuple[np.ndarray, float]:
+    """jacobi_pcg of one system held as triplets: the same steps, the same stop; (x, residual)."""
+    n = len(b)
+    d = np.bincount(row[row == col], val[row == col], n)
+    times = lambda p: np.bincount(row, val * p[col], n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x, r = np.zeros(n), b.copy()
+        p, size = r / d, np.sqrt(b @ b)
+        for _ in range(max_rounds):
+            rz = r @ (r / d)
+            if not (np.sqrt(r @ r) > tol * size and rz > 0):
+                break
+            q = times(p)
+            step = rz / (p @ q)
+            x, r = x + step * p, r - step * q
+            p = r / d + (r @ (r / d)) / rz * p
+        return x, float(np.sqrt(r @ r) / size) if size > 0 else 0.0
+
+
+def _gathered(cols: list[str], tol: float, max_rounds: int):
     def solve(mat: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
-        ids = rhs["v"].to_numpy()
-        order = np.argsort(ids)
-        ids = ids[order]
-        A = np.zeros((len(ids), len(ids)))
-        if len(mat):
-            np.add.at(A, (np.searchsorted(ids, mat["row"]), np.searchsorted(ids, mat["col"])), mat["val"].to_numpy())
-        b = rhs[cols].to_numpy()[order]
-        try:
-            x = np.linalg.solve(A, b)
-        except np.linalg.LinAlgError:
-            x = np.full(b.shape, np.nan)
-        out = pd.DataFrame(x, columns=cols)
-        out.insert(0, "v", ids)
-        out.insert(0, "mesh_id", rhs["mesh_id"].iloc[0] if len(rhs) else None)
+        rhs = rhs.sort_values("v", ignore_index=True)
+        at = lambda c: np.searchsorted(rhs["v"], mat[c])
+        out = rhs[["mesh_id", "v"]].copy()
+        for c in cols:
+            out[c], out["_r" + c] = pcg_arrays(at("row"), at("col"), mat["val"].to_numpy(), rhs[c].to_numpy(), tol, max_rounds)
         return out
 
     return solve
 
 
-def solve_systems(matrix: DataFrame, rhs: DataFrame, cols: list[str], tol: float = 1e-10, max_rounds: int = 500) -> DataFrame:
-    """x(mesh_id, v, *cols) with matrix x = rhs; systems up to DENSE_LIMIT unknowns in one task each, the rest by PCG."""
+def solve_systems(matrix: DataFrame, rhs: DataFrame, cols: list[str], tol: float = 1e-12, max_rounds: int = 2000, accept: float = 1e-8) -> DataFrame:
+    """x(mesh_id, v, *cols) with matrix x = rhs, by conjugate gradients for every size.
+
+    Systems of at most GATHER_LIMIT unknowns run the rounds inside one task, larger ones in supersteps;
+    steps, tolerance and outcome are the same. A mesh with a residual |r| / |b| above `accept` and `tol` (singular,
+    indefinite or not converged) has NaN throughout, so callers can retry or fall back.
+    """
     rhs = settle(rhs, "rhs")
     size = settle(rhs.groupBy("mesh_id").agg(F.count("*").alias("_n")), "size")
-    small, large = size.where(F.col("_n") <= DENSE_LIMIT).select("mesh_id"), size.where(F.col("_n") > DENSE_LIMIT).select("mesh_id")
-    schema = "mesh_id string, v bigint, " + ", ".join(f"{c} double" for c in cols)
+    small, large = size.where(F.col("_n") <= GATHER_LIMIT).select("mesh_id"), size.where(F.col("_n") > GATHER_LIMIT).select("mesh_id")
+    schema = "mesh_id string, v bigint, " + ", ".join(f"{c} double, _r{c} double" for c in cols)
     pick = lambda df, ids: df.join(ids, "mesh_id", "leftsemi")
-    dense = pick(matrix.select("mesh_id", "row", "col", "val"), small).groupBy("mesh_id").cogroup(
-        pick(rhs.select("mesh_id", "v", *cols), small).groupBy("mesh_id")).applyInPandas(_dense_solver(cols), schema)
-    if large.limit(1).count() == 0:
-        return dense
-    it = jacobi_pcg(pick(matrix, large), pick(rhs, large), cols, tol, max_rounds)
-    wide = it.groupBy("mesh_id", "v").agg(*[F.max(F.when(F.col("comp") == c, F.col("x"))).alias(c) for c in cols])
-    return dense.unionByName(wide)
-
-
-def dirichlet_solve(matrix: DataFrame, vertices: DataFrame, fixed: DataFrame, cols: list[str], tol: float = 1e-10, max_rounds: int = 500) -> DataFrame:
+    out = pick(matrix.select("mesh_id", "row", "col", "val"), small).groupBy("mesh_id").cogroup(
+        pick(rhs.select("mesh_id", "v", *cols), small).groupBy("mesh_id")).applyInPandas(_gathered(cols, tol, max_rounds), schema)
+    out = settle(out, "solved")
+    if large.limit(1).count():
+        it = jacobi_pcg(pick(matrix, large), pick(rhs, large), cols, tol, max_rounds)
+        mine = lambda c, name: F.max(F.when(F.col("comp") == c, F.col(name)))
+        out = out.unionByName(it.groupBy("mesh_id", "v").agg(*[e for c in cols for e in (mine(c, "x").alias(c), mine(c, "residual").alias("_r" + c))]))
+    good = F.greatest(*[F.coalesce("_r" + c, F.lit(float("inf"))) for c in cols], F.lit(0.0)) <= max(accept, tol)
+    return out.select("mesh_id", "v", *[F.when(good, F.col(c)).otherwise(float("nan")).alias(c) for c in cols])
+
+
+def dirichlet_solve(matrix: DataFrame, vertices: DataFrame, fixed: DataFrame, cols: list[str], tol: float = 1e-12, max_rounds: int = 2000) -> DataFrame:
     """matrix x = 0 on the free vertices with fixed(mesh_id, v, *cols) prescribed; returns all vertices."""
     pin = fixed.select("mesh_id", "v", *cols)
     free = vertices.select("mesh_id", "v").join(pin.select("mesh_id", "v"), ["mesh_id", "v"], "leftanti")
