@@ -16,4 +16,8 @@ QUERIES = {
     "op9_lm_scoring": lm_scoring.query,
     "op10_quality_classifier": quality_classifier.query,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.SQL}
+ORACLES = {
+    "op1_near_dedup": near_dedup.SQL,
+    "op2_exact_dedup": exact_dedup.SQL,
+    "op4_suffix_dedup": suffix_dedup.SQL,
+}

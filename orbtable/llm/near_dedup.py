@@ -286,3 +286,19 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies in `documents` by shingles of two words."""
     return near_copies(documents(spark, sf_dir))
+
+
+SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) END AS gs FROM w),
+s AS (SELECT doc_id, unnest(gs) AS s FROM g),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_n FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN g a ON a.doc_id = x JOIN g b ON b.doc_id = y WHERE 100 * both_n >= 80 * (len(a.gs) + len(b.gs) - both_n)),
+sym AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT x, y FROM sym UNION SELECT r.x, l.y FROM reach r JOIN sym l ON r.y = l.x),
+c AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+SELECT g.doc_id, CAST(len(gs) AS BIGINT) AS n_shingles, least(g.doc_id, coalesce(m, g.doc_id)) AS component_id, g.doc_id <= coalesce(m, g.doc_id) AS kept
+FROM g LEFT JOIN c ON c.x = g.doc_id
+"""

@@ -142,11 +142,11 @@ def test_nothing(nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
-def test_sql_of_exact_and_repeats(spark):
+def test_sql(spark):
     con = duckdb.connect()
     sf = "/root/testdata/sf0.001"
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet' WHERE length(text) < 4000")
     small = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 4000")
-    for got, sql in ((exact_dedup.mark_copies(small), exact_dedup.SQL), (suffix_dedup.remove_repeats(small).drop("starts", "stops"), suffix_dedup.SQL)):
+    for got, sql in ((exact_dedup.mark_copies(small), exact_dedup.SQL), (near_dedup.near_copies(small), near_dedup.SQL), (suffix_dedup.remove_repeats(small).drop("starts", "stops"), suffix_dedup.SQL)):
         want = con.sql(sql)
         assert Counter(tuple(r[c] for c in want.columns) for r in got.collect()) == Counter(want.fetchall())
