@@ -29,9 +29,9 @@ def _(spark, sf):
 SELECT event_id, e.user_id, event_id % 6 AS generation FROM events e JOIN cur ON cur.user_id = e.user_id WHERE event_id % 6 >= current""")
 def _(spark, sf):
     """Every event is a result of some generation; the customer table holds the current one."""
-    ev = jobs.table_stream(spark, sf, "events").select("event_id", "user_id", (F.col("event_id") % 6).alias("generation"), _ts().alias("ts"))
+    ev = jobs.table_stream(spark, sf, "events").select("event_id", "user_id", (F.col("event_id") % 6).alias("generation"))
     cur = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 5).alias("current"))
-    return jobs.stale_drop(ev, cur, "user_id", "generation", "ts").select("event_id", "user_id", "generation")
+    return jobs.stale_drop(ev, cur, "user_id", "generation").select("event_id", "user_id", "generation")
 
 
 @register("stream_filter_apply", EV + "," + specs_cte() + "," + gains_cte(LMAX) + f"""SELECT p.field_id, g.spec_id,

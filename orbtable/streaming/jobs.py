@@ -1,7 +1,9 @@
 """Structured Streaming counterparts of interactive requests on spectra.
 
-Every job runs with trigger(availableNow=True), keeps its state under the shared folder and
-writes Parquet through foreachBatch keyed by batch id, so a restarted batch overwrites itself.
+Every job runs with trigger(availableNow=True) and writes Parquet through foreachBatch keyed by batch
+id. `home` names the folder of a job's output and state: called again with it, the job goes on with
+what has arrived since, and a batch that was cut off overwrites itself. Without it a job starts anew
+in a folder of its own.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from orbtable.functions.spectral import angle_cos, angle_sin
 from orbtable.operators import spectral as sp
-from orbtable.session import scratch_path
+from orbtable.session import scratch_path, settle
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,41 +22,46 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def drain(stream: DataFrame, per_batch, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available; per_batch(df) is written under its batch id and read back as a table."""
+def drain(stream: DataFrame, per_batch, mode: str = "append", home: str | None = None) -> DataFrame:
+    """Run a stream over what is available; per_batch(df) is written under its batch id, and all batches read back."""
     spark = stream.sparkSession
-    out = scratch_path(spark, "stream-out")
+    home = home or scratch_path(spark, "stream")
+    out = f"{home}/out"
 
     def write(df: DataFrame, batch: int) -> None:
         per_batch(df).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(spark, "stream-state"))
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/state")
         .trigger(availableNow=True).foreachBatch(write).start()
     )
     query.awaitTermination()
     return spark.read.option("basePath", out).parquet(out)
 
 
-def latest_wins(requests: DataFrame, key: str, order: list[str], payload: list[str]) -> DataFrame:
-    """Only the newest request per key survives: a streaming max_by, then the last batch of each key."""
+def latest_wins(requests: DataFrame, key: str, order: list[str], payload: list[str], home: str | None = None) -> DataFrame:
+    """Only the newest request per key survives: a streaming max_by, then the last batch of each key.
+
+    The state is one row per key and is kept: a key's standing request has no end.
+    """
     newest = requests.groupBy(key).agg(F.max(F.struct(*order, *payload)).alias("m"))
-    done = drain(newest, lambda df: df.select(key, "m.*"), mode="update")
+    done = drain(newest, lambda df: df.select(key, "m.*"), "update", home)
     return done.groupBy(key).agg(F.max(F.struct("batch", *order, *payload)).alias("m")).select(key, *[f"m.{c}" for c in payload])
 
 
-def stale_drop(results: DataFrame, current: DataFrame, key: str, generation: str, ts: str, delay: str = "1 day") -> DataFrame:
-    """Results of an older generation than the key's current one are discarded; so are rows behind the watermark."""
-    fresh = results.withWatermark(ts, delay).join(current, key).where(F.col(generation) >= F.col("current")).drop("current")
-    return drain(fresh, lambda df: df)
+def stale_drop(results: DataFrame, current: DataFrame, key: str, generation: str, home: str | None = None) -> DataFrame:
+    """Results of an older generation than the key's current one are discarded. Only the generation counts, not the time."""
+    fresh = results.join(settle(current, "current"), key).where(F.col(generation) >= F.col("current")).drop("current")
+    return drain(fresh, lambda df: df, home=home).drop("batch")
 
 
-def filter_apply(specs: DataFrame, power: DataFrame, lmax: int) -> DataFrame:
-    """Re-weight fixed spectra for every incoming filter spec: the stream meets a static table."""
-    return drain(specs, lambda df: sp.filter_report(power, sp.gains_for(df, lmax), lmax)).drop("batch")
+def filter_apply(specs: DataFrame, power: DataFrame, lmax: int, home: str | None = None) -> DataFrame:
+    """Re-weight fixed spectra for every incoming filter spec: the stream meets a table that is written once."""
+    power = settle(power, "power")
+    return drain(specs, lambda df: sp.filter_report(power, sp.gains_for(df, lmax), lmax), home=home).drop("batch")
 
 
-def stream_ring_sums(cells: DataFrame, nphi: int, mmax: int, delay: str = "1 hour") -> DataFrame:
+def stream_ring_sums(cells: DataFrame, nphi: int, mmax: int, delay: str = "1 hour", home: str | None = None) -> DataFrame:
     """Daily Fourier sums per ring of a stream of (field_id, i, j, value, ts): closed days only.
 
     The sums are linear in the events, so they are one windowed aggregation whose state is a
@@ -66,12 +73,12 @@ def stream_ring_sums(cells: DataFrame, nphi: int, mmax: int, delay: str = "1 hou
         sums.append(F.sum(F.col("value") * angle_sin(F.lit(m), F.col("j"), nphi)).alias(f"s{m}"))
     agg = cells.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("win"), "field_id", "i").agg(*sums)
     day = F.date_format("win.start", "yyyy-MM-dd").alias("window_day")
-    return drain(agg, lambda df: df.select(day, "field_id", "i", *[c for c in df.columns if c not in ("win", "field_id", "i")])).drop("batch")
+    return drain(agg, lambda df: df.select(day, "field_id", "i", *[c for c in df.columns if c not in ("win", "field_id", "i")]), home=home).drop("batch")
 
 
-def stream_spectrum(cells: DataFrame, nlat: int, nphi: int, lmax: int) -> DataFrame:
+def stream_spectrum(cells: DataFrame, nlat: int, nphi: int, lmax: int, home: str | None = None) -> DataFrame:
     """(window_day, event_type, l, p): power per degree of every closed day."""
-    sums = stream_ring_sums(cells, nphi, lmax)
+    sums = stream_ring_sums(cells, nphi, lmax, home=home)
     h = sp.TAU / nphi
     modes = F.array(*[F.struct(F.lit(m).alias("m"), (h * F.col(f"c{m}")).alias("re"), (-h * F.col(f"s{m}")).alias("im")) for m in range(lmax + 1)])
     g = sums.select(F.concat_ws("\u0001", "window_day", "field_id").alias("field_id"), F.lit("v").alias("comp"), "i", F.inline(modes))
