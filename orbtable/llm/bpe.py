@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import body, documents, worker_memo
+from orbtable.llm.common import documents, for_python, from_python, worker_memo
 from orbtable.llm.wordsplit import Memo, Splitter
 
 
@@ -132,7 +132,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             got = [code(t) for t in part["text"]]
             yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [g[0] for g in got], "decoded": [g[1] for g in got]})
 
-    return docs.select("doc_id", body().alias("text")).mapInPandas(run, "doc_id long, ids binary, decoded string")
+    return from_python(for_python(docs).mapInPandas(run, "doc_id string, ids binary, decoded string"))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -148,8 +148,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             out.insert(0, "doc_id", part["doc_id"].to_numpy())
             yield out
 
-    return docs.select("doc_id", body().alias("text")).mapInPandas(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return from_python(for_python(docs).mapInPandas(
+        run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,17 @@ def body(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def for_python(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, `more` and the text for a Python stage. The id goes as a string: pandas has no whole numbers
+    beside nulls, and would round large ones."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), *more, body().alias("text"))
+
+
+def from_python(df: DataFrame) -> DataFrame:
+    """doc_id as a number again."""
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that `df` does not have."""
     taken = {c.lower() for c in df.columns}

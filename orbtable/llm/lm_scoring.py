@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import body, documents, worker_memo
+from orbtable.llm.common import documents, for_python, worker_memo
 from orbtable.llm.exchange import BLOCK_BYTES, answers, ask, block_ids, mix, shards_for, squeeze_ints, swell_ints
 from orbtable.llm.wordsplit import Memo
 from orbtable.session import settle
@@ -54,7 +54,7 @@ def encode_blocks(docs: DataFrame) -> DataFrame:
                 words = raw.split()
                 tokens.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
                 tokens[-1] = np.append(tokens[-1], np.uint64(END))
-                held.append(None if pd.isna(doc_id) else int(doc_id))
+                held.append(doc_id)
                 size += len(raw)
                 if size >= BLOCK_BYTES:
                     yield flush()
@@ -62,8 +62,8 @@ def encode_blocks(docs: DataFrame) -> DataFrame:
         if tokens:
             yield flush()
 
-    return docs.select("doc_id", body().alias("text")).mapInPandas(
-        run, "block long, doc_ids array<long>, lengths binary, vocab binary, tokens binary, bytes long")
+    return for_python(docs).mapInPandas(
+        run, "block long, doc_ids array<string>, lengths binary, vocab binary, tokens binary, bytes long")
 
 
 class Block:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import attach_groups, body, components, documents, row_print, worker_memo
+from orbtable.llm.common import attach_groups, body, components, documents, for_python, from_python, row_print, worker_memo
 from orbtable.llm.exchange import mix
 from orbtable.llm.wordsplit import Memo
 from orbtable.session import settle
@@ -92,8 +92,8 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             out.insert(0, "doc_id", part["doc_id"].to_numpy())
             yield out
 
-    return docs.select("doc_id", row_print().alias("row"), body().alias("text")).mapInPandas(
-        run, "doc_id long, row long, n_shingles long, node binary, registers binary")
+    return from_python(for_python(docs, row_print().alias("row")).mapInPandas(
+        run, "doc_id string, row long, n_shingles long, node binary, registers binary"))
 
 
 def _bands(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import body, documents, worker_memo
+from orbtable.llm.common import documents, for_python, from_python, worker_memo
 from orbtable.llm.wordsplit import Memo, Splitter
 from orbtable.session import settle
 
@@ -88,7 +88,7 @@ def place(vectors: np.ndarray) -> np.ndarray:
 
 
 def curve(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, key, n and ids (16 bits each where the vocabulary allows, else 32) of every row."""
+    """doc_id (a string), key, n and ids (16 bits each where the vocabulary allows, else 32) of every row."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = word_ids(path)
         kind = "<u2" if code.size <= 1 << 16 else "<u4"
@@ -101,7 +101,7 @@ def curve(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             yield pd.DataFrame({"doc_id": part["doc_id"], "key": place(vectors), "n": [len(x) for x in ids],
                                 "wide": kind == "<u4", "ids": [x.tobytes() for x in ids]})
 
-    return docs.select("doc_id", body().alias("text")).mapInPandas(run, "doc_id long, key long, n long, wide boolean, ids binary")
+    return for_python(docs).mapInPandas(run, "doc_id string, key long, n long, wide boolean, ids binary")
 
 
 def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1) -> DataFrame:
@@ -127,7 +127,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1) -> Dat
             at += int(n.sum())
             yield pd.DataFrame({"share": share, "begin": begin, "doc_id": part["doc_id"], "n": n, "wide": part["wide"], "ids": part["ids"]})
 
-    ranged = settle(sorted_.select("doc_id", "n", "wide", "ids").mapInPandas(local, "share int, begin long, doc_id long, n long, wide boolean, ids binary"), "ranged")
+    ranged = settle(sorted_.select("doc_id", "n", "wide", "ids").mapInPandas(local, "share int, begin long, doc_id string, n long, wide boolean, ids binary"), "ranged")
     # one row per range: where it begins in the whole stream
     totals = sorted((r["share"], r["t"]) for r in ranged.groupBy("share").agg(F.sum("n").alias("t")).collect())
     base, at = {}, 0
@@ -144,10 +144,9 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1) -> Dat
                     take = min(n - here, length - (at + here) % length)
                     out.append((doc_id, here, take, tokens[here:here + take].tobytes(), n, (at + here) // length, (at + here) % length))
                     here += take
-            frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-            yield frame.astype({"doc_id": part["doc_id"].dtype})
+            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-    return ranged.mapInPandas(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return from_python(ranged.mapInPandas(cut, "doc_id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"))
 
 
 def with_digest(pieces: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import body, documents
+from orbtable.llm.common import documents, for_python, from_python
 from orbtable.session import settle
 
 #: Bytes whose share of a text is a feature.
@@ -162,7 +162,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, leas
             out.insert(0, "doc_id", part["doc_id"].to_numpy())
             yield out
 
-    measured = settle(docs.select("doc_id", body().alias("text")).mapInPandas(measure, "doc_id long, " + ", ".join(f"{c} double" for c in columns)), "features")
+    measured = settle(from_python(for_python(docs).mapInPandas(measure, "doc_id string, " + ", ".join(f"{c} double" for c in columns))), "features")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
     usable = settle(measured.where(~held).dropDuplicates(["doc_id"]).join(known, "doc_id"), "labelled")
@@ -174,7 +174,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, leas
         for part in parts:
             yield pd.DataFrame({"doc_id": part["doc_id"], "held_out": part["held_out"], "score": model.score(part[columns].to_numpy())})
 
-    scored = measured.withColumn("held_out", held).mapInPandas(score, "doc_id long, held_out boolean, score double")
+    text_id = measured.withColumn("held_out", held).withColumn("doc_id", F.col("doc_id").cast("string"))
+    scored = from_python(text_id.mapInPandas(score, "doc_id string, held_out boolean, score double"))
     return scored.withColumn("predicted", (F.col("score") >= least).cast("int"))
 
 

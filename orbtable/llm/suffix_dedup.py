@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import body, documents
+from orbtable.llm.common import documents, for_python
 from orbtable.llm.exchange import BLOCK_BYTES, NOBODY, answers, ask, beside, block_ids, mix, shards_for, squeeze, squeeze_ints, swell, swell_ints
 from orbtable.session import settle
 
@@ -93,7 +93,7 @@ def byte_blocks(docs: DataFrame) -> DataFrame:
         for part in parts:
             for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
                 raws.append(text.encode("utf-8", "surrogatepass"))
-                held.append(None if pd.isna(doc_id) else int(doc_id))
+                held.append(doc_id)
                 size += len(raws[-1])
                 if size >= BLOCK_BYTES:
                     yield flush()
@@ -101,7 +101,7 @@ def byte_blocks(docs: DataFrame) -> DataFrame:
         if raws:
             yield flush()
 
-    return docs.select("doc_id", body().alias("text")).mapInPandas(run, "block long, doc_ids array<long>, lengths binary, body binary, bytes long")
+    return for_python(docs).mapInPandas(run, "block long, doc_ids array<string>, lengths binary, body binary, bytes long")
 
 
 def texts_of(row) -> Iterator[tuple[object, memoryview]]:

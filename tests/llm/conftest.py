@@ -12,7 +12,7 @@ def rows():
     near = " ".join([*words[:57], "changed", *words[58:]])
     out = [(1, base), (2, near), (3, "A short one."), (4, "a SHORT one."), (5, None), (6, ""), (7, " \n\t "), (8, LONG), (9, LONG + " end"),
            (10, base), (11, base), (11, base), (None, "No id, mail me at jo.doe@mail.example.org or +1 (212) 555-0187."), (None, None),
-           (12, "Écoute: «naïve» 東京 😀 <|endoftext|> it's 3.14 ½ Σ ς"), (13, "x"), (14, "same same " * 40), (15, "\x1c odd\x1d space　here\x85")]
+           (12, "Écoute: «naïve» 東京 😀 <|endoftext|> it's 3.14 ½ Σ ς"), (13, "x"), (2**60 + 1, "a large id"), (14, "same same " * 40), (15, "\x1c odd\x1d space　here\x85")]
     return out + [(20 + i, f"{base} tail {i} " + " ".join(f"u{i}x{k}" for k in range(i))) for i in range(12)]
 
 
