@@ -174,7 +174,15 @@ class Regions:
             at += n + length - 1
         self.window = np.concatenate(out) if out else np.zeros(0, np.uint64)
         ends = np.cumsum(self.number)
-        self.run_key = mix(mix(self.window[ends - self.number], self.window[ends - 1]), self.number.astype(np.uint64))
+        begin = ends - self.number
+        self.run_key = mix(mix(self.window[begin], self.window[ends - 1]), self.number.astype(np.uint64))
+        # nothing bounds a run of repetitive text; beyond the reach of its end windows, windows `length` apart count too
+        far = np.flatnonzero(self.number > length + 1)
+        more = (self.number[far] - 1) // length
+        at = np.cumsum(more) - more
+        place = np.arange(more.sum()) - np.repeat(at, more) + 1
+        between = mix(self.window[np.repeat(begin[far], more) + place * length], place.astype(np.uint64))
+        self.run_key[far] = mix(self.run_key[far], np.add.reduceat(between, at) if len(at) else between)
         self.run_rank = np.repeat(self.rank, self.runs)
 
     def asked(self) -> tuple[np.ndarray, np.ndarray]:

@@ -136,6 +136,19 @@ def test_repeats(spark, docs, rows, monkeypatch):
     assert Counter(map(tuple, got.drop("starts", "stops", "kept").collect())) == brute_repeats(mixed)
 
 
+def test_repeats_of_short_rows(spark):
+    """Rows of 25 to 31 bytes over and over, one letter of a middle one changed: runs of many windows with equal ends."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(160):
+        line = bytes(rng.integers(97, 123, 24 + k % 7, np.uint8)).decode() + "\n"
+        at = int(rng.integers(len(line) - 1))
+        one, two = (line[:at] + c + line[at + 1:] for c in "01")
+        rows += [(4 * k, line * 5 + one + line * 5), (4 * k + 1, line * 5 + two + line * 5), (4 * k + 2, f"-{k}-" + line * 2 + two + line * 2 + f"={k}=")]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("starts", "stops")
+    assert Counter(map(tuple, got.collect())) == brute_repeats(rows)
+
+
 def test_nothing(nothing):
     assert exact_dedup.mark_copies(nothing).count() == 0
     assert near_dedup.near_copies(nothing).count() == 0
