@@ -30,6 +30,18 @@ ENTITY = "|".join(f"(?:{lead}{value})" for _, lead, value in KINDS)
 #: What every text with an entity holds; cheap to look for.
 HINT = rf"[0-9@]|(?i:passw|pwd|token|secret|api.?key)|{_TITLE}"
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзиклмнопрстуфхцчшщэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ"]
+#: Letters and numbers outside ALPHABETS become others of their script; of scripts not listed, a to z.
+SCRIPTS = [
+    (r"[\p{IsLatin}&&\p{Lu}]", ALPHABETS[2]), (r"\p{IsLatin}", ALPHABETS[1]), (r"[\p{IsCyrillic}&&\p{Lu}]", ALPHABETS[4]), (r"\p{IsCyrillic}", ALPHABETS[3]),
+    (r"[\p{IsGreek}&&\p{Lu}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"), (r"\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφχψω"),
+    (r"\p{IsHan}", "安白北草长春大东风高古海河红花黄江金京兰林龙路马明木南平青清泉山石水松天田王文西小新星雪阳云竹"),
+    (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ"),
+    (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ"),
+    (r"\p{IsHangul}", "가나다라마바사아자차카타파하고노도로모보소오조초코토포호구누두루무부수우주추쿠투푸후"),
+    (r"[\p{IsArabic}&&\p{L}]", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"), (r"[\p{IsHebrew}&&\p{L}]", "אבגדהוזחטיכלמנסעפצקרשת"),
+    (r"[\p{IsDevanagari}&&\p{L}]", "कखगघचछजझटठडढतथदधनपफबभमयरलवशसह"), (r"[\p{IsThai}&&\p{L}]", "กขคงจชซดตถทนบปผพมยรลวสหอ"),
+    (r"[\u0660-\u0669]", "٠١٢٣٤٥٦٧٨٩"), (r"[\u06F0-\u06F9]", "۰۱۲۳۴۵۶۷۸۹"), (r"[\u0966-\u096F]", "०१२३४५६७८९"), (r"\p{N}", ALPHABETS[0]), (r"\p{L}", ALPHABETS[1]),
+]
 GIVEN = {
     "m": "Adam Bruno Carlos David Emil Felix Georg Hugo Ivan Jonas Karl Leon Marco Nils Oscar Paul Ralf Simon Theo Victor",
     "f": "Anna Berta Clara Diana Elena Frida Greta Helga Irene Julia Karin Laura Maria Nora Olga Paula Rosa Sonja Tanja Vera",
@@ -38,6 +50,8 @@ GIVEN = {
 }
 SYLLABLES = {"": "ba ce di fo gu ha ke li mo nu pa re si to vu wa ze la ni ro", "м": "ба ве ги до жу за ки лу мо не па ри со ту фа хе ца чи шо ля"}
 ROUNDS = 16
+#: Numbered surrogates of what has no other: text before the number and after it, as in the canonical value.
+NUMBERED = {"email": ("user-", "@private.invalid"), "phone": ("999", "")} | {k: (f"{k}-", "") for k, _, _ in KINDS if k not in ("email", "phone")}
 
 
 def entities(text: Column) -> Column:
@@ -93,7 +107,10 @@ def surrogate(kind: Column, canon: Column, gender: Column, attempt: Column, key:
     kept = F.when(kind == "email", F.length(F.regexp_extract(canon, r"\.[^.]*$", 0))).otherwise(0)
 
     def char(c: Column, i: Column) -> Column:
-        out = c
+        other = c
+        for script, letters in reversed(SCRIPTS):
+            other = F.when(c.rlike(script), _pick(letters, byte(i))).otherwise(other)
+        out = F.when(c.rlike(r"[\p{L}\p{N}]"), other).otherwise(c)
         for letters in reversed(ALPHABETS):
             out = F.when(F.instr(F.lit(letters), c) > 0, _pick(letters, byte(i))).otherwise(out)
         out = F.when(canon.rlike("^[0-9a-f]+$") & (kind == "secret"), _pick("0123456789abcdef", byte(i))).otherwise(out)
@@ -123,36 +140,73 @@ def surrogate(kind: Column, canon: Column, gender: Column, attempt: Column, key:
     return F.when(kind == "name", F.when(cyrillic, named("м")).otherwise(named(""))).when(kind == "ip", ip).when(kind == "card", card).otherwise(plain)
 
 
-def _render(entity: Column, value: Column, kind: Column, sur: Column) -> Column:
-    """The surrogate in the mention's own format, after its lead."""
+def _render(entity: Column, value: Column, kind: Column, sur: Column, numbered_: Column) -> Column:
+    """The surrogate in the mention's own format, after its lead; a numbered one as it is."""
     numbered = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(
         c.rlike("[0-9A-Z]"), F.substring(sur, 1, 1000).substr(F.length(F.regexp_replace(value.substr(F.lit(1), i + 1), "[^0-9A-Z]", "")), F.lit(1))).otherwise(c)), "")
     cased = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(
         c != F.lower(c), F.upper(F.substring(sur, 1, 1000).substr(i + 1, F.lit(1)))).otherwise(F.substring(sur, 1, 1000).substr(i + 1, F.lit(1)))), "")
-    shown = F.when(kind.isin("phone", "card", "ssn", "iban"), numbered).when(kind == "email", cased).otherwise(sur)
+    cased = F.when(F.length(F.lower(value)) == F.length(value), cased).otherwise(sur)
+    own = F.when(kind == "phone", F.regexp_replace(sur, r"^(\d{3})(\d{4})(\d{4})(\d{4})$", r"+$1 $2 $3 $4")).otherwise(sur)
+    shown = F.when(numbered_, own).when(kind.isin("phone", "card", "ssn", "iban"), numbered).when(kind == "email", cased).otherwise(sur)
     return F.concat(entity.substr(F.lit(1), F.length(entity) - F.length(value)), shown)
 
 
+def _fixed() -> Column:
+    """Whether no attempt can change a value: it has no letter and no digit that may go."""
+    free = F.when(F.col("kind") == "email", F.regexp_replace("canon", r"\.[^.]*$", "")).otherwise(F.col("canon"))
+    return F.col("kind").isin("email", "secret") & ~free.rlike(r"[\p{L}\p{N}]")
+
+
+def numbered(rest: DataFrame, used: DataFrame) -> DataFrame:
+    """(kind, gender, canon, sur) of `rest` with its rank in `sur`, after all such numbers in `used` (kind, sur)."""
+    form = lambda k, ends: F.when(F.col("kind") == k, F.regexp_extract("sur", rf"^{ends[0]}(\d{{{'12' if k == 'phone' else '1,17'}}}){ends[1].replace('.', '[.]')}$", 1))
+    seen = F.coalesce(*[form(k, ends) for k, ends in NUMBERED.items()])
+    start = used.select(F.max(seen.try_cast("long"))).first()[0] or 0
+    order = ["kind", "canon", "gender"]
+    # sorted by range, so that rows are numbered by their place in the partition and the sizes of those before it
+    ranked = settle(rest.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("at", 33)
+    offsets, total = [], start + 1
+    for r in sorted(ranked.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):  # one row per partition
+        offsets += [F.lit(r["part"]), F.lit(total)]
+        total += r["n"]
+    if not offsets:
+        return ranked.select("kind", "gender", "canon", F.lit("").alias("sur"))
+    n = (F.element_at(F.create_map(*offsets), part) + F.col("at").bitwiseAND((1 << 33) - 1)).cast("string")
+    sur = F.coalesce(*[F.when(F.col("kind") == k, F.concat(F.lit(x), F.lpad(n, 12, "0") if k == "phone" else n, F.lit(y))) for k, (x, y) in NUMBERED.items()])
+    return ranked.select("kind", "gender", "canon", sur.alias("sur"))
+
+
 def dictionary(found: DataFrame, key: str) -> DataFrame:
-    """(kind, gender, canon, sur) for the distinct entities of `found`: one surrogate each, none shared.
+    """(kind, gender, canon, sur, numbered) for the distinct entities of `found`: one surrogate each, none shared.
 
     Surrogates that two entities share, or that are themselves entities of the corpus, go to one of
-    them or to none; the others try again with the next attempt until nothing collides.
+    them or to none; the others try again with the next attempt until nothing collides. What cannot
+    change, or still collides after ROUNDS, gets a numbered surrogate of its kind.
     """
     known = settle(found.select("kind", "gender", "canon").distinct(), "entities")
-    state = known.withColumn("attempt", F.lit(0))
+    state = known.where(~_fixed()).withColumn("attempt", F.lit(0))
     make = lambda df: df.withColumn("sur", surrogate(F.col("kind"), F.col("canon"), F.col("gender"), F.col("attempt"), key))
     taken = known.select("kind", F.col("canon").alias("sur")).distinct().withColumn("real", F.lit(True))
-    for _ in range(ROUNDS):
+    rest = known.where(_fixed())
+    for left in reversed(range(ROUNDS)):
         tried = settle(make(state), "tried")
         owner = tried.groupBy("kind", "sur").agg(F.count("*").alias("n"), F.min(F.struct("canon", "gender")).alias("owner"))
         clash = owner.join(taken, ["kind", "sur"], "left").where("n > 1 OR real").select("kind", "sur", "owner", F.coalesce("real", F.lit(False)).alias("real"))
         clash = settle(clash, "clash")
+        done = tried.select("kind", "gender", "canon", "sur")
         if not clash.limit(1).count():
-            return tried.select("kind", "gender", "canon", "sur")
+            break
         lost = F.coalesce(F.col("real") | (F.struct("canon", "gender") != F.col("owner")), F.lit(False))
-        state = settle(tried.join(clash, ["kind", "sur"], "left").select("kind", "gender", "canon", (F.col("attempt") + lost.cast("int")).alias("attempt")), "state")
-    raise RuntimeError("surrogates still collide; the formats leave too little room")
+        state = settle(tried.join(clash, ["kind", "sur"], "left").select("kind", "gender", "canon", "sur", lost.alias("lost"), (F.col("attempt") + lost.cast("int")).alias("attempt")), "state")
+        if not left:
+            done, rest = state.where(~F.col("lost")).select(done.columns), rest.unionByName(state.where("lost").select(rest.columns))
+        state = state.drop("sur", "lost")
+    done = done.withColumn("numbered", F.lit(False))
+    if not rest.limit(1).count():
+        return done
+    return done.unionByName(numbered(rest, taken.select("kind", "sur").unionByName(done.select("kind", "sur"))).withColumn("numbered", F.lit(True)))
 
 
 def replace_private(docs: DataFrame, key: str = "orbtable", count: str | None = None) -> DataFrame:
@@ -160,7 +214,8 @@ def replace_private(docs: DataFrame, key: str = "orbtable", count: str | None =
 
     Kinds are e-mail and IP addresses, phone, card, account and social security numbers, secrets after
     their label, cloud keys, and names after a title. One entity has one surrogate in all documents,
-    two entities never share one, and no surrogate is an entity of the corpus. Everything between
+    two entities never share one, and no surrogate is an entity of the corpus; values without a letter
+    or digit, and those of a full format, are numbered instead. Everything between
     entities stays as it is, byte for byte. Documents without entities pass without a shuffle. A null
     text stays null and counts 0; repeated rows get the same text; other columns are not touched.
     """
@@ -176,7 +231,7 @@ def replace_private(docs: DataFrame, key: str = "orbtable", count: str | None =
     each = each.withColumn("value", _value(F.col("entity"), F.col("kind"))).withColumn("canon", _canon(F.col("value"), F.col("kind")))
     each = settle(each.withColumn("gender", F.when(F.col("kind") == "name", _gender(F.col("entity"))).otherwise("")), "mentions")
     book = dictionary(each, key)
-    shown = each.join(book, ["kind", "gender", "canon"]).select("sig", "pos", _render(F.col("entity"), F.col("value"), F.col("kind"), F.col("sur")).alias("shown"))
+    shown = each.join(book, ["kind", "gender", "canon"]).select("sig", "pos", _render(F.col("entity"), F.col("value"), F.col("kind"), F.col("sur"), F.col("numbered")).alias("shown"))
     new_lists = shown.groupBy("sig").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"]).alias(new))
     groups = settle(lists.select("sig", "size").join(new_lists, "sig").select(F.col("sig").alias(sig), F.col("size").alias(free_name(docs, "_size")), new), "replacements")
     size = free_name(docs, "_size")

@@ -225,6 +225,34 @@ def test_surrogates_stay_distinct(spark):
     assert len(shown) == len(rows) and not shown & {t.split()[1] for _, t in rows}
 
 
+def test_surrogates_without_room(spark, monkeypatch):
+    """Masked secrets cannot change, mails of two free letters are all taken, and so are numbers that were given before."""
+    monkeypatch.setattr(private_data, "ROUNDS", 2)
+    mails = [f"{a}@{b}.de" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [*enumerate(mails), (1000, "password: ********"), (1001, "token: ...... and pwd=-------"), (1002, "password: ********"), (1003, "secret: secret-7"), (1004, "-@-.org")]
+    text = {r["doc_id"]: r["text"] for r in private_data.replace_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shown = [text[i] for i in range(len(mails))] + [text[1004]]
+    assert len(text) == len(rows) and len(set(shown)) == len(shown) and not set(shown) & {*mails, "-@-.org"} and all("@" in x for x in shown)
+    secrets = [text[1000].removeprefix("password: "), *re.fullmatch(r"token: (\S+) and pwd=(\S+)", text[1001]).groups(), text[1003].removeprefix("secret: ")]
+    assert text[1002] == text[1000] and len({*secrets, "secret-7"}) == 5 and all(re.fullmatch(r"secret-\d+", x) for x in secrets[:3])
+    phones = [(i, f"call +1 22 {n:02}") for i, n in enumerate(range(100))]
+    monkeypatch.setattr(private_data, "ROUNDS", 1)
+    out = private_data.numbered(spark.createDataFrame([("phone", "", "12233"), ("phone", "", "12234")], "kind string, gender string, canon string"),
+                                spark.createDataFrame([("phone", "999000000000041")], "kind string, sur string")).collect()
+    assert sorted(r["sur"] for r in out) == ["999000000000042", "999000000000043"]
+    got = private_data.replace_private(spark.createDataFrame(phones, "doc_id long, text string")).collect()
+    assert len({r["text"] for r in got}) == 100 and not {r["text"] for r in got} & {t for _, t in phones}
+
+
+def test_surrogates_of_all_scripts(spark):
+    rows = list(enumerate(["用户@例子.中国", "χρήστης@δοκιμή.ελ", "مستخدم@مثال.مصر", "josé.ñandú@müller.de", "йыъё@пример.рф", "사용자@예시.한국"]))
+    text = {r["doc_id"]: r["text"] for r in private_data.replace_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, old in rows:
+        assert len(text[i]) == len(old) and text[i].rsplit(".", 1)[1] == old.rsplit(".", 1)[1] and text[i] != old
+        assert not set("éñúüйыъёής") & set(text[i].rsplit(".", 1)[0])
+    assert re.fullmatch(r"[\u4e00-\u9fff]{2}@[\u4e00-\u9fff]{2}\.中国", text[0]) and re.fullmatch(r"[α-ω]{7}@[α-ω]{6}\.ελ", text[1])
+
+
 def test_nothing(spark, nothing):
     none = spark.createDataFrame([], "doc_id long, quality long")
     assert bpe.digests(nothing, WORD).count() == packing.pack(nothing, WORD).count() == lm_scoring.score_texts(nothing).count() == 0
