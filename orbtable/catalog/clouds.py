@@ -12,7 +12,7 @@ from orbtable.catalog.places import pts_cte
 from orbtable.catalog.sqlkit import CORN, PI, rnd
 from orbtable.catalog.surfaces import directions
 from orbtable.functions.vec import vec
-from orbtable.operators import cloud as cl, spatial as spt
+from orbtable.operators import cloud as cl, spatial as spt, stars as st
 from orbtable.session import dimension
 from orbtable.sources import generate as gen
 
@@ -52,9 +52,18 @@ def _(spark, sf):
     return cl.local_delaunay_ring(directions(spark, sf), neighbours(spark, sf))
 
 
-@register("induced_mesh")
+_HULL = "WITH " + pts_cte() + """, dr AS (SELECT cloud_id, p, x/sqrt(x*x+y*y+z*z) AS x, y/sqrt(x*x+y*y+z*z) AS y, z/sqrt(x*x+y*y+z*z) AS z FROM pts),
+tr AS (SELECT a.cloud_id, a.p AS a, b.p AS b, c.p AS c, a.x AS ox, a.y AS oy, a.z AS oz,
+  (b.y-a.y)*(c.z-a.z)-(b.z-a.z)*(c.y-a.y) AS nx, (b.z-a.z)*(c.x-a.x)-(b.x-a.x)*(c.z-a.z) AS ny, (b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) AS nz
+  FROM dr a JOIN dr b ON b.cloud_id = a.cloud_id AND b.p > a.p JOIN dr c ON c.cloud_id = a.cloud_id AND c.p > b.p),
+sd AS (SELECT t.cloud_id, a, b, c, count(*) FILTER ((d.x-ox)*nx+(d.y-oy)*ny+(d.z-oz)*nz > 0) AS above, count(*) FILTER ((d.x-ox)*nx+(d.y-oy)*ny+(d.z-oz)*nz < 0) AS below
+  FROM tr t JOIN dr d ON d.cloud_id = t.cloud_id AND d.p NOT IN (t.a, t.b, t.c) GROUP BY 1, 2, 3, 4)"""
+
+
+@register("induced_mesh", _HULL + " SELECT cloud_id, a, CASE WHEN above = 0 THEN b ELSE c END AS b, CASE WHEN above = 0 THEN c ELSE b END AS c FROM sd WHERE above = 0 OR below = 0")
 def _(spark, sf):
-    return cl.mesh_share(cl.local_delaunay_ring(directions(spark, sf), neighbours(spark, sf)), directions(spark, sf))
+    """The closed mesh of every cloud; the SQL tries the circle of every three points."""
+    return st.sphere_mesh(directions(spark, sf), K)
 
 
 def _mesh_rings(spark, sf) -> DataFrame:
