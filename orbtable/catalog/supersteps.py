@@ -84,7 +84,24 @@ def _(spark, sf):
     return it.jacobi_pcg(mx.mass_plus_laplacian(fr, 0.1), rhs, ["x"], 1e-10, 3)
 
 
-@register("dirichlet_solve")
+def _harmonic_sql(rounds: int) -> str:
+    """Unrolled conjugate gradients for the uniform Laplacian with every fifth x held."""
+    out = """, de AS (SELECT mesh_id, unnest([a, b, c]) AS v, unnest([b, c, a]) AS u FROM faces),
+ad AS MATERIALIZED (SELECT DISTINCT mesh_id, v, u FROM (SELECT * FROM de UNION ALL SELECT mesh_id, u, v FROM de)),
+dg AS (SELECT mesh_id, v, count(*)::DOUBLE AS d FROM ad WHERE v % 5 <> 0 GROUP BY 1, 2),
+ps AS (SELECT a.mesh_id, a.v, sum(x) AS b FROM ad a JOIN verts w ON w.mesh_id = a.mesh_id AND w.v = a.u WHERE a.u % 5 = 0 GROUP BY 1, 2),
+k0 AS MATERIALIZED (SELECT mesh_id, v, d, 0.0::DOUBLE AS x, coalesce(b, 0) AS r, coalesce(b, 0)/d AS p FROM dg LEFT JOIN ps USING (mesh_id, v))"""
+    for i in range(rounds):
+        out += f""", n{i} AS (SELECT a.mesh_id, a.v, sum(k.p) AS s FROM ad a JOIN k{i} k ON k.mesh_id = a.mesh_id AND k.v = a.u GROUP BY 1, 2),
+q{i} AS MATERIALIZED (SELECT k.*, d*p - coalesce(s, 0) AS q FROM k{i} k LEFT JOIN n{i} USING (mesh_id, v)),
+a{i} AS (SELECT mesh_id, sum(r*r/d) AS rz, CASE WHEN sum(p*q) > 1e-30 THEN sum(r*r/d)/sum(p*q) ELSE 0 END AS al FROM q{i} GROUP BY 1),
+u{i} AS MATERIALIZED (SELECT mesh_id, v, d, x + al*p AS x, r - al*q AS r, p, rz FROM q{i} JOIN a{i} USING (mesh_id)),
+b{i} AS (SELECT mesh_id, CASE WHEN max(rz) > 1e-30 THEN sum(r*r/d)/max(rz) ELSE 0 END AS be FROM u{i} GROUP BY 1),
+k{i + 1} AS MATERIALIZED (SELECT mesh_id, v, d, x, r, r/d + be*p AS p FROM u{i} JOIN b{i} USING (mesh_id))"""
+    return out + f""" SELECT mesh_id, v, {rnd('x')} FROM (SELECT mesh_id, v, x FROM k{rounds} UNION ALL SELECT mesh_id, v, x FROM verts WHERE v % 5 = 0)"""
+
+
+@q("dirichlet_solve", _harmonic_sql(24), corners=False)
 def _(spark, sf):
     """x of every fifth vertex held, harmonic in between (uniform weights)."""
     m = L(spark, sf)

@@ -1,13 +1,11 @@
 """Superstep jobs: all meshes advance together, every round is written, finished meshes drop out.
 
-Linear systems are solved by conjugate gradients: the rounds of a bounded system inside one task, those
-of a larger one as a join and two aggregations each, with the same steps and the same outcome.
+Linear systems are solved over a hierarchy of coarser graphs (`multilevel`).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,14 +13,13 @@ from orbtable.functions import geometry as g
 from orbtable.functions.vec import add, dot, named, norm, scale, sub, unit_columns, vec
 from orbtable.operators import faces as fo, matrices as mx
 from orbtable.operators.chart import puncture_balance
+from orbtable.operators.multilevel import solve_systems
 from orbtable.operators.mesh import adjacency, charted_corners, face_corners, half_edges
 from orbtable.operators.rank import lowest_share
 from orbtable.operators.spatial import locate, pl_interpolate
 from orbtable.session import settle
 
 S = ["sx", "sy", "sz"]
-# largest system whose rounds run inside one task: about 1.4 million triplets, 34 MB
-GATHER_LIMIT = 200_000
 
 
 def chart_corners(faces: DataFrame, chart: DataFrame) -> DataFrame:
@@ -129,61 +126,8 @@ def jacobi_pcg(matrix: DataFrame, rhs: DataFrame, cols: list[str], tol: float, m
     return st.join(fin, key).select("mesh_id", "v", "comp", "x", res.alias("residual"))
 
 
-def pcg_arrays(row: np.ndarray, col: np.ndarray, val: np.ndarray, b: np.ndarray, tol: float, max_rounds: int) -> tuple[np.ndarray, float]:
-    """jacobi_pcg of one system held as triplets: the same steps, the same stop; (x, residual)."""
-    n = len(b)
-    d = np.bincount(row[row == col], val[row == col], n)
-    times = lambda p: np.bincount(row, val * p[col], n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        x, r = np.zeros(n), b.copy()
-        p, size = r / d, np.sqrt(b @ b)
-        for _ in range(max_rounds):
-            rz = r @ (r / d)
-            if not (np.sqrt(r @ r) > tol * size and rz > 0):
-                break
-            q = times(p)
-            step = rz / (p @ q)
-            x, r = x + step * p, r - step * q
-            p = r / d + (r @ (r / d)) / rz * p
-        return x, float(np.sqrt(r @ r) / size) if size > 0 else 0.0
-
-
-def _gathered(cols: list[str], tol: float, max_rounds: int):
-    def solve(mat: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
-        rhs = rhs.sort_values("v", ignore_index=True)
-        at = lambda c: np.searchsorted(rhs["v"], mat[c])
-        out = rhs[["mesh_id", "v"]].copy()
-        for c in cols:
-            out[c], out["_r" + c] = pcg_arrays(at("row"), at("col"), mat["val"].to_numpy(), rhs[c].to_numpy(), tol, max_rounds)
-        return out
-
-    return solve
-
-
-def solve_systems(matrix: DataFrame, rhs: DataFrame, cols: list[str], tol: float = 1e-12, max_rounds: int = 2000, accept: float = 1e-8) -> DataFrame:
-    """x(mesh_id, v, *cols) with matrix x = rhs, by conjugate gradients for every size.
-
-    Systems of at most GATHER_LIMIT unknowns run the rounds inside one task, larger ones in supersteps;
-    steps, tolerance and outcome are the same. A mesh with a residual |r| / |b| above `accept` and `tol` (singular,
-    indefinite or not converged) has NaN throughout, so callers can retry or fall back.
-    """
-    rhs = settle(rhs, "rhs")
-    size = settle(rhs.groupBy("mesh_id").agg(F.count("*").alias("_n")), "size")
-    small, large = size.where(F.col("_n") <= GATHER_LIMIT).select("mesh_id"), size.where(F.col("_n") > GATHER_LIMIT).select("mesh_id")
-    schema = "mesh_id string, v bigint, " + ", ".join(f"{c} double, _r{c} double" for c in cols)
-    pick = lambda df, ids: df.join(ids, "mesh_id", "leftsemi")
-    out = pick(matrix.select("mesh_id", "row", "col", "val"), small).groupBy("mesh_id").cogroup(
-        pick(rhs.select("mesh_id", "v", *cols), small).groupBy("mesh_id")).applyInPandas(_gathered(cols, tol, max_rounds), schema)
-    out = settle(out, "solved")
-    if large.limit(1).count():
-        it = jacobi_pcg(pick(matrix, large), pick(rhs, large), cols, tol, max_rounds)
-        mine = lambda c, name: F.max(F.when(F.col("comp") == c, F.col(name)))
-        out = out.unionByName(it.groupBy("mesh_id", "v").agg(*[e for c in cols for e in (mine(c, "x").alias(c), mine(c, "residual").alias("_r" + c))]))
-    good = F.greatest(*[F.coalesce("_r" + c, F.lit(float("inf"))) for c in cols], F.lit(0.0)) <= max(accept, tol)
-    return out.select("mesh_id", "v", *[F.when(good, F.col(c)).otherwise(float("nan")).alias(c) for c in cols])
-
-
-def dirichlet_solve(matrix: DataFrame, vertices: DataFrame, fixed: DataFrame, cols: list[str], tol: float = 1e-12, max_rounds: int = 2000) -> DataFrame:
+def dirichlet_solve(matrix: DataFrame, vertices: DataFrame, fixed: DataFrame, cols: list[str], tol: float = 1e-11, max_rounds: int = 200,
+                    coarse: int | None = None) -> DataFrame:
     """matrix x = 0 on the free vertices with fixed(mesh_id, v, *cols) prescribed; returns all vertices."""
     pin = fixed.select("mesh_id", "v", *cols)
     free = vertices.select("mesh_id", "v").join(pin.select("mesh_id", "v"), ["mesh_id", "v"], "leftanti")
@@ -192,7 +136,7 @@ def dirichlet_solve(matrix: DataFrame, vertices: DataFrame, fixed: DataFrame, co
     push = row_free.join(pin.withColumnRenamed("v", "col"), ["mesh_id", "col"]).groupBy("mesh_id", F.col("row").alias("v")).agg(
         *[(-F.sum(F.col("val") * F.col(c))).alias(c) for c in cols])
     rhs = free.join(push, ["mesh_id", "v"], "left").select("mesh_id", "v", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in cols])
-    return solve_systems(inner, rhs, cols, tol, max_rounds).unionByName(pin)
+    return solve_systems(inner, rhs, cols, tol, max_rounds, coarse=coarse).unionByName(pin)
 
 
 # ------------------------------------------------------------------ planar maps to the sphere

@@ -55,22 +55,3 @@ def test_clouds_on_the_golden_spiral(spark):
     assert normals.agg(F.min("c")).first()[0] > 0.98
     share = cl.mesh_share(cl.local_delaunay_ring(unit, knn), unit).first()
     assert share["share"] > 0.97 and share["nf"] <= 2 * 300 - 4
-
-
-def test_both_routes_agree_and_report_failure(spark, monkeypatch):
-    """The rounds inside a task and the supersteps give the same answer, and the same sign of failure."""
-    good = [(i, j, 8.0 if i == j else -1.0) for i in range(30) for j in range(30) if abs(i - j) in (0, 1, 5)]
-    rows = [("good", *t) for t in good] + [("indefinite", 0, 0, 1.0), ("indefinite", 1, 1, -1.0), ("empty", 0, 0, 0.0)]
-    matrix = spark.createDataFrame(rows, "mesh_id string, row bigint, col bigint, val double")
-    b = [("good", i, float(i)) for i in range(30)] + [("indefinite", 0, 1.0), ("indefinite", 1, 1.0), ("empty", 0, 1.0)]
-    rhs = spark.createDataFrame(b, "mesh_id string, v bigint, b double")
-    got = {}
-    for limit in (it.GATHER_LIMIT, 0):
-        monkeypatch.setattr(it, "GATHER_LIMIT", limit)
-        got[limit] = it.solve_systems(matrix, rhs, ["b"], max_rounds=12 if limit == 0 else 2000, tol=1e-6, accept=1e-5).toPandas().sort_values(["mesh_id", "v"])
-    a = np.zeros((30, 30))
-    for i, j, x in good:
-        a[i, j] = x
-    for df in got.values():
-        np.testing.assert_allclose(df[df.mesh_id == "good"]["b"], np.linalg.solve(a, np.arange(30.0)), rtol=1e-4)
-        assert df[df.mesh_id != "good"]["b"].isna().all()
