@@ -16,6 +16,7 @@ from orbtable.functions import geometry as g
 from orbtable.functions.intersect import overlapping, with_plane
 from orbtable.functions.vec import add, dot, fence, named, norm, scale, sub, unit_columns, vec
 from orbtable.operators.mesh import adjacency, bbox, face_corners
+from orbtable.operators.neighbours import knn_search
 from orbtable.operators.rank import order_statistics
 from orbtable.session import settle
 
@@ -46,91 +47,10 @@ def _cells(level: Column) -> list[Column]:
     return out
 
 
-def knn_search(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest points of every query in its group, ties by smaller id.
-
-    points(grp, id, x, y, z), queries(grp, qid, x, y, z) -> (grp, qid, rank, id, d2), rank from 1.
-
-    Equal positions are merged first and keep their k smallest ids, which are the only ones
-    that can be among k nearest; so copies never meet each other. Cells split until they hold
-    at most a few times k distinct positions, every query starts in the 27 cells around its own
-    at that level, and is done once its k-th distance is within one cell size. The rest go one
-    level up. A query that is not done has fewer than k points within a cell size, so few
-    queries of one spot reach the coarser levels, where cells are fuller.
-    """
-    cap = max(4 * k, 16)
-    box = points.groupBy("grp").agg(
-        *[F.min(c).alias("o" + c) for c in "xyz"],
-        F.greatest(*[F.max(c) - F.min(c) for c in "xyz"]).alias("span"), F.count("*").alias("n"),
-    ).withColumn("span", F.when(F.col("span") > 0, F.col("span")).otherwise(F.lit(1.0)))
-    # deep enough for a surface split into cells of a few points, plus room for clusters
-    top = F.least(F.lit(MAX_LEVEL), F.ceil(F.log2(F.col("n").cast("double")) / 2) + 4).cast("int")
-    box = box.withColumn("top", top).drop("n")
-
-    ids = points.withColumn("_r", F.row_number().over(
-        Window.partitionBy("grp", "x", "y", "z").orderBy("id"))).where(F.col("_r") <= k)
-    spots = ids.groupBy("grp", "x", "y", "z").agg(
-        F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids"))
-    spots = settle(spots.join(box, "grp"), "spots")
-    levels = F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level")
-    tree = spots.select("grp", "rep", "ids", "x", "y", "z", "ox", "oy", "oz", "span", levels)
-    tree = tree.select("grp", "level", *_cells(F.col("level")), "rep", "ids", "x", "y", "z")
-    full = tree.groupBy("grp", "level", *CELL).agg(F.count("*").alias("n")).where(F.col("n") > cap)
-    full = settle(full.select("grp", "level", *CELL), "full")
-
-    spots_q = queries.groupBy("grp", "x", "y", "z").agg(F.min("qid").alias("qrep"))
-    asked = spots_q.join(box, "grp")
-    deep = asked.select("grp", "qrep", "x", "y", "z", "ox", "oy", "oz", "span", levels).select(
-        "grp", "qrep", "level", *_cells(F.col("level"))).join(full, ["grp", "level", *CELL])
-    start = deep.groupBy("grp", "qrep").agg((F.max("level") + 1).alias("level"))
-    active = asked.join(start, ["grp", "qrep"], "left").withColumn(
-        "level", F.least("top", F.coalesce("level", F.lit(0))))
-    active = settle(active, "active")
-
-    shifts = F.array(*[F.lit(s) for s in (-1, 0, 1)])
-    done = []
-    while True:
-        present = [r[0] for r in active.select("level").distinct().collect()]  # at most MAX_LEVEL + 1 numbers
-        if not present:
-            break
-        probe = active.select("grp", "qrep", "level", "x", "y", "z", "span", *_cells(F.col("level")))
-        for c in CELL:
-            probe = probe.withColumn("_s", F.explode(shifts)).withColumn(c, F.col(c) + F.col("_s")).drop("_s")
-        data = tree.where(F.col("level").isin(present)).select(
-            "grp", "level", *CELL, "rep", *[F.col(c).alias("p" + c) for c in "xyz"])
-        d = sub(vec("p"), vec(""))
-        cand = probe.join(data, ["grp", "level", *CELL]).select(
-            "grp", "qrep", "level", "span", "rep", dot(d, d).alias("d2"))
-        near = Window.partitionBy("grp", "qrep").orderBy("d2", "rep")
-        best = cand.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
-        best = settle(best, "best")
-        reach = F.col("span") / F.pow(F.lit(2.0), F.col("level").cast("double"))
-        kth = best.groupBy("grp", "qrep").agg(
-            F.count("*").alias("m"), F.max("d2").alias("far"), F.min(reach).alias("reach"), F.min("level").alias("lv"))
-        good = kth.where((F.col("lv") <= 1) | (
-            (F.col("m") >= k) & (F.col("far") <= F.col("reach") * F.col("reach") * (1 - 1e-12))))
-        good = settle(good.select("grp", "qrep"), "good")
-        done.append(best.join(good, ["grp", "qrep"], "leftsemi").select("grp", "qrep", "rep", "d2"))
-        rest = active.join(good, ["grp", "qrep"], "leftanti").where(F.col("level") > 0)
-        active = settle(rest.withColumn("level", F.col("level") - 1), "active")
-
-    # no query at all still has a schema
-    found = spots.select("grp", F.col("rep").alias("qrep"), "rep", F.lit(0.0).alias("d2")).where(F.lit(False))
-    for part in done:
-        found = found.unionByName(part)
-    # positions back to ids: k positions of at most k ids each, ranked again by (distance, id)
-    named_ids = found.join(spots.select("grp", "rep", "ids"), ["grp", "rep"]).select(
-        "grp", "qrep", "d2", F.explode("ids").alias("id"))
-    last = Window.partitionBy("grp", "qrep").orderBy("d2", "id")
-    ranked = named_ids.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
-    members = queries.join(spots_q, ["grp", "x", "y", "z"]).select("grp", "qid", "qrep")
-    return members.join(ranked, ["grp", "qrep"]).select("grp", "qid", F.col("rank").cast("int"), "id", "d2")
-
-
 def knn_join(points: DataFrame, k: int) -> DataFrame:
     """knn(cloud_id, p, rank, q, d2): the k nearest of every point, itself included."""
     pts = points.select(F.col("cloud_id").alias("grp"), F.col("p").alias("id"), "x", "y", "z")
-    out = knn_search(pts, pts.withColumnRenamed("id", "qid"), k)
+    out = knn_search(pts, None, k)
     return out.select(F.col("grp").alias("cloud_id"), F.col("qid").alias("p"), "rank", F.col("id").alias("q"), "d2")
 
 
