@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbtable.session import settle
+
 BLOCK = 1 << 16
 
 
@@ -80,52 +82,69 @@ def index_of(rule: str, q: float, n: Column) -> Column:
     return F.floor(F.lit(float(q)) * (n - 1) + shift).cast("bigint")
 
 
+#: Counters of a selection pass: 2^DIGIT for each key and pick.
+DIGIT = 12
+
+
+def order_bits(value: Column) -> Column:
+    """A long that orders like the double `value`; both zeros are one."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("bigint")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(2**63 - 1))).otherwise(bits)
+
+
 def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict, accuracy: int = 10000) -> DataFrame:
     """Exact order statistics by index rule: one row per key with one column per pick.
 
     `picks` maps an output column to (rule, q) as in index_of.
-    A mergeable quantile sketch brackets each index; one more pass counts what lies below
-    the bracket and groups the few values inside it. Ranks are then exact. A bracket that
-    misses its index (it cannot, within the sketch's guarantee) fails the job instead of
-    returning a wrong value.
+    A mergeable quantile sketch brackets each index. Radix selection then narrows the bracket: a pass counts the
+    values in it by their next DIGIT order-preserving bits, moves to the digit that holds the index and to the least and
+    greatest value found there, until these are one. Six passes do for any doubles, one or two as a rule; a pass
+    groups 2^DIGIT counters and never the values. A bracket that misses its index (it cannot, within the
+    sketch's guarantee) fails the job instead of returning a wrong value.
     """
-    vals = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    vals = settle(df.select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_k", order_bits(F.col("_v"))), "values")
     names = list(picks)
     eps = 4.0 / accuracy
     # the sketch is asked on both sides of every index, four error bounds away
     span = {nm: (max(0.0, q - eps), min(1.0, q + eps)) for nm, (_, q) in picks.items()}
     grid = sorted({p for pair in span.values() for p in pair})
-    probs = F.array(*[F.lit(p) for p in grid])
     sketch = vals.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.percentile_approx("_v", probs, F.lit(accuracy)).alias("_s"))
+        F.count("*").alias("_n"), F.percentile_approx("_v", F.array(*[F.lit(p) for p in grid]), F.lit(accuracy)).alias("_s"),
+        F.min("_k").alias("_min"), F.max("_k").alias("_max"))
     # a group of a few thousand rows is its own bracket
     tiny = F.col("_n") * eps < 2
-    edge = lambda k, far: F.when(tiny, F.lit(far)).otherwise(F.col("_s")[grid.index(k)])
-    plan = sketch.select(*keys, "_n", F.inline(F.array(*[
-        F.struct(
-            F.lit(nm).alias("pick"), index_of(*picks[nm], F.col("_n")).alias("_idx"),
-            edge(span[nm][0], float("-inf")).alias("_lo"), edge(span[nm][1], float("inf")).alias("_hi"),
-        ) for nm in names
-    ])))
-    # every value meets the few picks of its key; the groups shrink map-side to distinct bracket values
-    per_key = plan.groupBy(*keys).agg(F.collect_list(F.struct("pick", "_idx", "_n", "_lo", "_hi")).alias("_p"))
-    met = vals.join(per_key, keys).select(*keys, "_v", F.inline("_p"))
-    low, high = F.col("_v") < F.col("_lo"), F.col("_v") > F.col("_hi")
-    # one group for everything below the bracket, one per distinct value inside, none above
-    piled = met.where(~high).groupBy(*keys, "pick", F.when(~low, F.col("_v")).alias("_v")).agg(
-        F.count("*").alias("_c"), F.max("_idx").alias("_idx"), F.max("_n").alias("n"))
-    run = Window.partitionBy(*keys, "pick").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, 0)
-    upto = F.col("_cum")
-    hit = (upto > F.col("_idx")) & (upto - F.col("_c") <= F.col("_idx"))
-    found = piled.withColumn("_cum", F.sum("_c").over(run)).groupBy(*keys).agg(
-        F.max("n").alias("n"), *[F.max(F.when(hit & (F.col("pick") == nm), F.col("_v"))).alias(nm) for nm in names]
-    )
-    checked = [
-        F.coalesce(nm, F.raise_error(F.lit("quantile bracket missed its index")).cast("double")).alias(nm)
-        for nm in names
-    ]
-    return found.select(*keys, "n", *checked)
+    state = sketch.select(*keys, "_n", F.inline(F.array(*[
+        F.struct(F.lit(nm).alias("pick"), index_of(*picks[nm], F.col("_n")).alias("_idx"),
+                 F.when(tiny, F.col("_min")).otherwise(order_bits(F.col("_s")[grid.index(span[nm][0])])).alias("_lo"),
+                 F.when(tiny, F.col("_max")).otherwise(order_bits(F.col("_s")[grid.index(span[nm][1])])).alias("_hi")) for nm in names])))
+    found, first = None, True
+    while True:
+        # halves keep the width of a bracket across zero within a long
+        wide = F.length(F.bin(F.shiftright("_hi", 1) - F.shiftright("_lo", 1))) + 1
+        state = state.withColumn("_shift", F.greatest(wide - DIGIT, F.lit(0)))
+        per_key = state.groupBy(*keys).agg(F.collect_list(F.struct("pick", "_n", "_idx", "_lo", "_hi", "_shift")).alias("_p"))
+        met = vals.join(per_key, keys).select(*keys, "_v", "_k", F.inline("_p")).where("_k <= _hi")
+        if not first:  # the index now counts from _lo
+            met = met.where("_k >= _lo")
+        below = F.col("_k") < F.col("_lo")
+        digit = F.when(~below, F.expr("shiftright(_k, _shift) - shiftright(_lo, _shift)")).otherwise(-1)
+        counts = met.groupBy(*keys, "pick", digit.alias("_digit")).agg(
+            F.count("*").alias("_c"), F.max("_n").alias("_n"), F.max("_idx").alias("_idx"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi"), F.min("_v").alias("_value"))
+        run = Window.partitionBy(*keys, "pick").orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0)
+        ahead = F.col("_cum") - F.col("_c")
+        hit = counts.withColumn("_cum", F.sum("_c").over(run)).where((F.col("_cum") > F.col("_idx")) & (ahead <= F.col("_idx")) & (F.col("_digit") >= 0))
+        hit = settle(hit.select(*keys, "pick", "_n", (F.col("_idx") - ahead).alias("_idx"), "_lo", "_hi", "_value"), "selection")
+        settled = hit.where("_lo = _hi").select(*keys, "pick", "_n", "_value")
+        found = settled if found is None else found.unionByName(settled)
+        state = hit.where("_lo < _hi").drop("_value")
+        if not state.limit(1).count():
+            break
+        vals, first = vals.join(state.select(*keys).distinct(), keys, "left_semi"), False
+    # a key without its picks would be a missed bracket; keys without any value have none
+    out = sketch.where("_min IS NOT NULL").select(*keys, F.col("_n").alias("n")).join(
+        found.groupBy(*keys).agg(*[F.max(F.when(F.col("pick") == nm, F.col("_value"))).alias(nm) for nm in names]), keys, "left")
+    missed = F.raise_error(F.lit("quantile bracket missed its index")).cast("double")
+    return out.select(*keys, "n", *[F.coalesce(nm, missed).alias(nm) for nm in names])
 
 
 def lowest_share(df: DataFrame, keys: list[str], value: str, tie: str, count: Column, highest: bool = False) -> DataFrame:

@@ -44,3 +44,17 @@ def test_lowest_and_highest_share(spark):
     for k, g in pdf.groupby("k"):
         want = g.sort_values(["v", "t"], ascending=[False, True]).head(int(len(g) * 0.2))["t"]
         assert set(got[got["k"] == k]["t"]) == set(want)
+
+
+def test_selection_over_all_magnitudes(spark):
+    """Values of both signs and all exponents, zeros, infinities and long runs of one value; each pass narrows by bits."""
+    rng = np.random.default_rng(9)
+    wild = np.concatenate([rng.normal(size=4000) * 10.0 ** rng.integers(-300, 300, 4000), [0.0, -0.0, np.inf, -np.inf, 5e-324, -5e-324], np.full(3000, 7.25)])
+    groups = {"wild": wild, "one": np.array([-2.5]), "geometric": 2.0 ** -np.arange(1000.0), "same": np.full(500, -1e-9), "large": rng.normal(size=60_000)}
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"g": g, "v": rng.permutation(v)}) for g, v in groups.items()])).repartition(4)
+    picks = {"low": ("floor", 0.01), "mid": ("half", 0.5), "near": ("round", 0.98), "first": ("floor", 0.0), "last": ("floor", 1.0)}
+    got = {r["g"]: r for r in rank.order_statistics(df, ["g"], "v", picks).collect()}
+    for g, v in groups.items():
+        s, n = np.sort(v), len(v)
+        want = [s[int(np.floor(0.01 * (n - 1)))], s[n // 2], s[int(np.floor(0.98 * (n - 1) + 0.5))], s[0], s[-1]]
+        assert got[g]["n"] == n and [got[g][c] for c in picks] == want, g
