@@ -16,7 +16,7 @@ from orbtable.operators import cloud as cl, spatial as spt, stars as st
 from orbtable.session import dimension
 from orbtable.sources import generate as gen
 
-K = 12
+K = 25
 _KNN = "WITH " + pts_cte() + f""", dr AS (SELECT cloud_id, p, x/sqrt(x*x+y*y+z*z) AS x, y/sqrt(x*x+y*y+z*z) AS y, z/sqrt(x*x+y*y+z*z) AS z FROM pts),
 pr AS (SELECT a.cloud_id, a.p, b.x-a.x AS x, b.y-a.y AS y, b.z-a.z AS z, row_number() OVER (PARTITION BY a.cloud_id, a.p ORDER BY (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)+(b.z-a.z)*(b.z-a.z), b.p) AS k
  FROM dr a JOIN dr b ON a.cloud_id = b.cloud_id),

@@ -159,15 +159,40 @@ def dft_rings(samples: DataFrame, nphi: int, mmax: int) -> DataFrame:
     return packed.select(*KEYS, "i", F.inline(ring_fft(F.col("row.j"), F.col("row.f"))))
 
 
-def rings_to_grid(modes: DataFrame, nphi: int) -> DataFrame:
+def _half_spectra(rows: np.ndarray, m: np.ndarray, z: np.ndarray, n: int, nphi: int) -> np.ndarray:
+    """Half-spectra (n, nphi div 2 + 1) of rings from their orders; orders beyond the grid fold back onto it."""
+    at = m % nphi
+    back = 2 * at > nphi
+    at, z = np.where(back, nphi - at, at), np.where(back, z.conj(), z)
+    # the mean and the highest wave of an even ring stand alone, where others have a conjugate beside them
+    alone = (at == 0) | (2 * at == nphi)
+    z = np.where(alone, np.where(m == 0, 1, 2) * z.real, z)
+    out = np.zeros((n, nphi // 2 + 1), complex)
+    np.add.at(out, (rows, at), z)
+    return out
+
+
+def rings_to_grid(modes: DataFrame, nphi: int, mmax: int = 0) -> DataFrame:
     """f_ij = F_0 + 2 sum_{m>0} Re(F_m exp(i m phi_j)) from (field_id, comp, i, m, re, im).
 
-    The orders of one ring are gathered first (at most mmax + 1 of them), so the
-    expansion to nphi columns happens after the last shuffle.
+    The orders of one ring are gathered first (at most mmax + 1 of them), so the expansion to nphi columns happens
+    after the last shuffle: few orders by their sums, many by one inverse FFT a ring.
     """
     packed = modes.groupBy(*KEYS, "i").agg(
         F.collect_list(F.struct("m", "re", "im")).alias("modes")
     )
+    if mmax > DIRECT_ORDERS:
+        @F.pandas_udf("array<double>")
+        def ring_values(ms: pd.Series, res: pd.Series, ims: pd.Series) -> pd.Series:
+            if not len(ms):
+                return pd.Series([], dtype=object)
+            rows = np.repeat(np.arange(len(ms)), ms.str.len())
+            z = np.concatenate(list(res)) + 1j * np.concatenate(list(ims))
+            half = _half_spectra(rows, np.concatenate(list(ms)).astype(int), z, len(ms), nphi)
+            return pd.Series(list(np.fft.irfft(half, nphi, axis=1) * nphi))
+
+        values = ring_values(F.col("modes.m"), F.col("modes.re"), F.col("modes.im"))
+        return packed.select(*KEYS, "i", F.posexplode(values).alias("j", "f"))
     term = lambda acc, t: acc + F.when(t["m"] == 0, t["re"]).otherwise(
         2 * (t["re"] * angle_cos(t["m"], F.col("j"), nphi) - t["im"] * angle_sin(t["m"], F.col("j"), nphi))
     )
@@ -181,7 +206,7 @@ def fourier_dphi(samples: DataFrame, nphi: int, mmax: int) -> DataFrame:
     """Longitude derivative on the grid, ring by ring, without a Legendre transform."""
     g = dft_rings(samples, nphi, mmax)
     k = F.col("m") / F.lit(TAU)
-    return rings_to_grid(g.select(*KEYS, "i", "m", (-k * F.col("im")).alias("re"), (k * F.col("re")).alias("im")), nphi)
+    return rings_to_grid(g.select(*KEYS, "i", "m", (-k * F.col("im")).alias("re"), (k * F.col("re")).alias("im")), nphi, mmax)
 
 
 # ------------------------------------------------------------------ Legendre stage
@@ -217,7 +242,7 @@ def sh_legendre_synth(coeffs: DataFrame, nlat: int, lmax: int, mmax: int | None
 
 
 def sh_synthesis(coeffs: DataFrame, nlat: int, nphi: int, lmax: int, mmax: int | None = None) -> DataFrame:
-    return rings_to_grid(sh_legendre_synth(coeffs, nlat, lmax, mmax), nphi)
+    return rings_to_grid(sh_legendre_synth(coeffs, nlat, lmax, mmax), nphi, lmax if mmax is None else mmax)
 
 
 def sh_refine(samples: DataFrame, nlat: int, nphi: int, lmax: int, mmax: int | None = None) -> DataFrame:

@@ -41,6 +41,22 @@ def test_fft_route_equals_direct_sums(spark, monkeypatch):
     close(sp.dft_rings(f, 16, 5).toPandas(), direct, ["i", "m"], ["re", "im"])
 
 
+@pytest.mark.parametrize("nphi, mmax", [(16, 5), (15, 9), (8, 20), (7, 20), (1024, 512)])
+def test_inverse_fft_equals_sums_over_orders(spark, monkeypatch, nphi, mmax):
+    """Even and odd rings, orders that fold back several times, rings that lack some orders, and 512 orders."""
+    rng = np.random.default_rng(nphi)
+    rows = [("a", k, i, m, *map(float, rng.normal(size=2))) for k in range(2) for i in range(3) for m in range(mmax + 1) if m != i + 1]
+    modes = spark.createDataFrame(rows, "field_id string, comp int, i int, m int, re double, im double")
+    monkeypatch.setattr(sp, "DIRECT_ORDERS", -1)
+    got = sp.rings_to_grid(modes, nphi, mmax).toPandas()
+    j, want = np.arange(nphi), {}
+    for _, k, i, m, re, im in rows:
+        z = (re + 1j * im * (m > 0)) * np.exp(2j * np.pi * m * j / nphi) * (2 if m else 1)
+        want[k, i] = want.get((k, i), 0) + z.real
+    frame = pd.DataFrame([("a", k, i, int(x), float(f)) for (k, i), fs in want.items() for x, f in zip(j, fs)], columns=["field_id", "comp", "i", "j", "f"])
+    close(got, frame, ["field_id", "comp", "i", "j"], ["f"], 1e-9)
+
+
 def test_unit_sphere_closed_form(spark):
     """The coordinates of the unit sphere have three known coefficients and rms radius 1."""
     g = sp.rings(spark, 6).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(11))))
