@@ -23,11 +23,14 @@ from orbtable.functions.spectral import (
     angle_sin,
     degree_gain,
 )
+from orbtable.operators.recurrence import legendre_sums, legendre_values
 from orbtable.session import dimension
 
 KEYS = ["field_id", "comp"]
 # above this many orders the Fourier sums are done ring by ring with an FFT
 DIRECT_ORDERS = 16
+# above this degree Legendre sums run the recurrence themselves instead of joining a table of its values
+TABLE_DEGREES = 64
 
 
 def _legendre_fold(n: Column, x: Column, finish) -> Column:
@@ -212,6 +215,12 @@ def fourier_dphi(samples: DataFrame, nphi: int, mmax: int) -> DataFrame:
 # ------------------------------------------------------------------ Legendre stage
 
 
+def _nodes(spark: SparkSession, nlat: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ct, st, w) of a grid's rings, as many numbers as the grid has rings."""
+    got = rings(spark, nlat).select("i", "ct", "st", "w").toPandas().sort_values("i")
+    return got["ct"].to_numpy(), got["st"].to_numpy(), got["w"].to_numpy()
+
+
 def basis_join(modes: DataFrame, nlat: int, lmax: int, mmax: int | None = None) -> DataFrame:
     """Ring modes (.., i, m, re, im) with the ring weight w and every basis value y(l) of their (i, m)."""
     spark = modes.sparkSession
@@ -223,6 +232,9 @@ def sh_analysis(samples: DataFrame, nlat: int, nphi: int, lmax: int, mmax: int |
     """Coefficients Q_lm = sum_i w_i y_lm(i) G_m(i); the order m = 0 is real."""
     mm = lmax if mmax is None else mmax
     wy = F.col("w") * F.col("y")
+    if lmax > TABLE_DEGREES:
+        q = legendre_sums(dft_rings(samples, nphi, mm), KEYS, _nodes(samples.sparkSession, nlat), lmax)
+        return q.withColumn("im", F.when(F.col("m") == 0, F.lit(0.0)).otherwise(F.col("im")))
     return (
         basis_join(dft_rings(samples, nphi, mm), nlat, lmax, mm)
         .groupBy(*KEYS, "l", "m")
@@ -234,6 +246,9 @@ def sh_analysis(samples: DataFrame, nlat: int, nphi: int, lmax: int, mmax: int |
 def sh_legendre_synth(coeffs: DataFrame, nlat: int, lmax: int, mmax: int | None = None) -> DataFrame:
     """F_m(i) = sum_l Q_lm y_lm(i)."""
     spark = coeffs.sparkSession
+    if lmax > TABLE_DEGREES:
+        mm = lmax if mmax is None else mmax
+        return legendre_values(coeffs.where(F.col("m") <= mm), KEYS, _nodes(spark, nlat), lmax)
     return (
         coeffs.join(basis(spark, nlat, lmax, mmax), ["l", "m"])
         .groupBy(*KEYS, "i", "m")

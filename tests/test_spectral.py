@@ -57,6 +57,33 @@ def test_inverse_fft_equals_sums_over_orders(spark, monkeypatch, nphi, mmax):
     close(got, frame, ["field_id", "comp", "i", "j"], ["f"], 1e-9)
 
 
+def test_recurrence_equals_the_table(spark, monkeypatch):
+    """Analysis and synthesis with and without a table of basis values, to 1e-12, also with few orders and blocks of rings."""
+    q = spectrum(spark, 31)
+    for mmax in (31, 4):
+        part = q.where(F.col("m") <= mmax)
+        fm, f = sp.sh_legendre_synth(part, 40, 31, mmax), sp.sh_synthesis(part, 40, 72, 31, mmax)
+        table = fm.toPandas(), sp.sh_analysis(f, 40, 72, 31, mmax).toPandas()
+        with monkeypatch.context() as patch:
+            patch.setattr(sp, "TABLE_DEGREES", 0)
+            patch.setattr("orbtable.operators.recurrence.RINGS", 16)
+            close(sp.sh_legendre_synth(part, 40, 31, mmax).toPandas(), table[0], ["comp", "i", "m"], ["re", "im"], 1e-12)
+            close(sp.sh_analysis(f, 40, 72, 31, mmax).toPandas(), table[1], ["comp", "l", "m"], ["re", "im"], 1e-12)
+
+
+def test_degree_511_round_trip(spark):
+    """512 rings, 1024 columns, degrees to 511: coefficients come back through both transforms."""
+    rng = np.random.default_rng(8)
+    at = {(0, 0), (511, 511), (511, 0), (511, 200), (300, 299), *[(int(l), int(rng.integers(0, l + 1))) for l in rng.integers(1, 512, 40)]}
+    rows = [("a", 0, l, m, float(rng.normal()), float(rng.normal()) if m else 0.0) for l, m in sorted(at)]
+    q = spark.createDataFrame(rows, "field_id string, comp int, l int, m int, re double, im double")
+    back = sp.sh_analysis(sp.sh_synthesis(q, 512, 1024, 511), 512, 1024, 511).toPandas()
+    want = {r[2:4]: r[4] + 1j * r[5] for r in rows}
+    got = back["re"] + 1j * back["im"]
+    assert len(back) == 512 * 513 // 2
+    assert max(abs(z - want.get((l, m), 0)) for z, l, m in zip(got, back["l"], back["m"])) < 1e-10
+
+
 def test_unit_sphere_closed_form(spark):
     """The coordinates of the unit sphere have three known coefficients and rms radius 1."""
     g = sp.rings(spark, 6).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(11))))
