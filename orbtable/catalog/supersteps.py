@@ -84,24 +84,25 @@ def _(spark, sf):
     return it.jacobi_pcg(mx.mass_plus_laplacian(fr, 0.1), rhs, ["x"], 1e-10, 3)
 
 
-def _harmonic_sql(rounds: int) -> str:
-    """Unrolled conjugate gradients for the uniform Laplacian with every fifth x held."""
-    out = """, de AS (SELECT mesh_id, unnest([a, b, c]) AS v, unnest([b, c, a]) AS u FROM faces),
+def _harmonic_sql(pins: str, rounds: int) -> str:
+    """CTEs up to hs(mesh_id, v, comp, x): unrolled conjugate gradients for the uniform Laplacian with pn(mesh_id, v, comp, x) held."""
+    out = f""", de AS (SELECT mesh_id, unnest([a, b, c]) AS v, unnest([b, c, a]) AS u FROM faces),
 ad AS MATERIALIZED (SELECT DISTINCT mesh_id, v, u FROM (SELECT * FROM de UNION ALL SELECT mesh_id, u, v FROM de)),
-dg AS (SELECT mesh_id, v, count(*)::DOUBLE AS d FROM ad WHERE v % 5 <> 0 GROUP BY 1, 2),
-ps AS (SELECT a.mesh_id, a.v, sum(x) AS b FROM ad a JOIN verts w ON w.mesh_id = a.mesh_id AND w.v = a.u WHERE a.u % 5 = 0 GROUP BY 1, 2),
-k0 AS MATERIALIZED (SELECT mesh_id, v, d, 0.0::DOUBLE AS x, coalesce(b, 0) AS r, coalesce(b, 0)/d AS p FROM dg LEFT JOIN ps USING (mesh_id, v))"""
+pn AS MATERIALIZED ({pins}), hp AS (SELECT DISTINCT mesh_id, v FROM pn), cs AS (SELECT DISTINCT comp FROM pn),
+dg AS (SELECT mesh_id, v, comp, d FROM (SELECT mesh_id, v, count(*)::DOUBLE AS d FROM ad a WHERE NOT EXISTS (SELECT 1 FROM hp WHERE hp.mesh_id = a.mesh_id AND hp.v = a.v) GROUP BY 1, 2), cs),
+ps AS (SELECT a.mesh_id, a.v, comp, sum(x) AS b FROM ad a JOIN pn w ON w.mesh_id = a.mesh_id AND w.v = a.u GROUP BY 1, 2, 3),
+k0 AS MATERIALIZED (SELECT mesh_id, v, comp, d, 0.0::DOUBLE AS x, coalesce(b, 0) AS r, coalesce(b, 0)/d AS p FROM dg LEFT JOIN ps USING (mesh_id, v, comp))"""
     for i in range(rounds):
-        out += f""", n{i} AS (SELECT a.mesh_id, a.v, sum(k.p) AS s FROM ad a JOIN k{i} k ON k.mesh_id = a.mesh_id AND k.v = a.u GROUP BY 1, 2),
-q{i} AS MATERIALIZED (SELECT k.*, d*p - coalesce(s, 0) AS q FROM k{i} k LEFT JOIN n{i} USING (mesh_id, v)),
-a{i} AS (SELECT mesh_id, sum(r*r/d) AS rz, CASE WHEN sum(p*q) > 1e-30 THEN sum(r*r/d)/sum(p*q) ELSE 0 END AS al FROM q{i} GROUP BY 1),
-u{i} AS MATERIALIZED (SELECT mesh_id, v, d, x + al*p AS x, r - al*q AS r, p, rz FROM q{i} JOIN a{i} USING (mesh_id)),
-b{i} AS (SELECT mesh_id, CASE WHEN max(rz) > 1e-30 THEN sum(r*r/d)/max(rz) ELSE 0 END AS be FROM u{i} GROUP BY 1),
-k{i + 1} AS MATERIALIZED (SELECT mesh_id, v, d, x, r, r/d + be*p AS p FROM u{i} JOIN b{i} USING (mesh_id))"""
-    return out + f""" SELECT mesh_id, v, {rnd('x')} FROM (SELECT mesh_id, v, x FROM k{rounds} UNION ALL SELECT mesh_id, v, x FROM verts WHERE v % 5 = 0)"""
+        out += f""", n{i} AS (SELECT a.mesh_id, a.v, comp, sum(k.p) AS s FROM ad a JOIN k{i} k ON k.mesh_id = a.mesh_id AND k.v = a.u GROUP BY 1, 2, 3),
+q{i} AS MATERIALIZED (SELECT k.*, d*p - coalesce(s, 0) AS q FROM k{i} k LEFT JOIN n{i} USING (mesh_id, v, comp)),
+a{i} AS (SELECT mesh_id, comp, sum(r*r/d) AS rz, CASE WHEN sum(p*q) > 1e-30 THEN sum(r*r/d)/sum(p*q) ELSE 0 END AS al FROM q{i} GROUP BY 1, 2),
+u{i} AS MATERIALIZED (SELECT mesh_id, v, comp, d, x + al*p AS x, r - al*q AS r, p, rz FROM q{i} JOIN a{i} USING (mesh_id, comp)),
+b{i} AS (SELECT mesh_id, comp, CASE WHEN max(rz) > 1e-30 THEN sum(r*r/d)/max(rz) ELSE 0 END AS be FROM u{i} GROUP BY 1, 2),
+k{i + 1} AS MATERIALIZED (SELECT mesh_id, v, comp, d, x, r, r/d + be*p AS p FROM u{i} JOIN b{i} USING (mesh_id, comp))"""
+    return out + f", hs AS (SELECT mesh_id, v, comp, x FROM k{rounds} UNION ALL SELECT mesh_id, v, comp, x FROM pn)"
 
 
-@q("dirichlet_solve", _harmonic_sql(24), corners=False)
+@q("dirichlet_solve", _harmonic_sql("SELECT mesh_id, v, 'x' AS comp, x FROM verts WHERE v % 5 = 0", 24) + f" SELECT mesh_id, v, {rnd('x')} FROM hs", corners=False)
 def _(spark, sf):
     """x of every fifth vertex held, harmonic in between (uniform weights)."""
     m = L(spark, sf)
@@ -113,7 +114,24 @@ def _big(spark, sf):
     return settle(fo.most_regular_triangle(exact_frame(spark, sf)), "puncture")
 
 
-@register("tutte_map")
+def _balance_sql(plane: str) -> str:
+    """The sphere map of planar positions plane(mesh_id, v, x, y), both poles' triangles made alike; after _REG."""
+    return f""", mid AS (SELECT mesh_id, avg(x) AS mu, avg(y) AS mw FROM {plane} GROUP BY 1),
+cen AS (SELECT mesh_id, v, x-mu AS u, y-mw AS w FROM {plane} JOIN mid USING (mesh_id)),
+ce AS (SELECT *, u/(u*u+w*w) AS iu, w/(u*u+w*w) AS iw FROM cen), {_corners_cte('pc', 'ce', ['u', 'w', 'iu', 'iw'])},
+inn AS (SELECT mesh_id, f, row_number() OVER (PARTITION BY mesh_id ORDER BY {'+'.join(f'sqrt({k}u*{k}u+{k}w*{k}w)' for k in 'abc')}, f) AS k FROM pc),
+ch AS (SELECT i.mesh_id, min(k) AS k FROM inn i JOIN mr USING (mesh_id) WHERE i.f <> mr.f AND k <= 2 GROUP BY 1),
+no AS (SELECT pc.mesh_id, ({'+'.join(f'sqrt(({p}u-{r}u)*({p}u-{r}u)+({p}w-{r}w)*({p}w-{r}w))' for p, r in ('ab', 'bc', 'ca'))})/3 AS north FROM pc JOIN mr ON mr.mesh_id = pc.mesh_id AND mr.f = pc.f),
+so AS (SELECT pc.mesh_id, ({'+'.join(f'sqrt(({p}iu-{r}iu)*({p}iu-{r}iu)+({p}iw-{r}iw)*({p}iw-{r}iw))' for p, r in ('ab', 'bc', 'ca'))})/3 AS south FROM ch JOIN inn ON inn.mesh_id = ch.mesh_id AND inn.k = ch.k JOIN pc ON pc.mesh_id = inn.mesh_id AND pc.f = inn.f),
+sc AS (SELECT mesh_id, v, u*sqrt(north*south)/north AS u, w*sqrt(north*south)/north AS w FROM cen JOIN no USING (mesh_id) JOIN so USING (mesh_id))
+SELECT mesh_id, v, {rnd('2*u/(1+u*u+w*w)', 'sx')}, {rnd('2*w/(1+u*u+w*w)', 'sy')}, {rnd('(u*u+w*w-1)/(1+u*u+w*w)', 'sz')} FROM sc"""
+
+
+_TURNS = """SELECT mesh_id, v, comp, x FROM (SELECT mesh_id, unnest([a, b, c]) AS v, unnest([1.0, -0.5, -0.5]) AS px,
+  unnest([0.0, sqrt(3.0)/2, -sqrt(3.0)/2]) AS py FROM mr JOIN faces USING (mesh_id, f)), LATERAL (SELECT unnest(['u', 'w']) AS comp, unnest([px, py]) AS x)"""
+
+
+@q("tutte_map", "," + _REG + _harmonic_sql(_TURNS, 70) + ", pl AS (SELECT h.mesh_id, h.v, h.x, k.x AS y FROM hs h JOIN hs k ON k.mesh_id = h.mesh_id AND k.v = h.v AND h.comp = 'u' AND k.comp = 'w')" + _balance_sql("pl"))
 def _(spark, sf):
     m = L(spark, sf)
     return it.tutte_map(m.vertices, m.faces, _big(spark, sf))
@@ -131,15 +149,7 @@ def _(spark, sf):
     return it.qc_correct(m.vertices, m.faces, m.chart)
 
 
-@q("puncture_balance", "," + _REG + f""", mid AS (SELECT mesh_id, avg(x) AS mu, avg(y) AS mw FROM verts GROUP BY 1),
-cen AS (SELECT mesh_id, v, x-mu AS u, y-mw AS w FROM verts JOIN mid USING (mesh_id)),
-ce AS (SELECT *, u/(u*u+w*w) AS iu, w/(u*u+w*w) AS iw FROM cen), {_corners_cte('pc', 'ce', ['u', 'w', 'iu', 'iw'])},
-inn AS (SELECT mesh_id, f, row_number() OVER (PARTITION BY mesh_id ORDER BY {'+'.join(f'sqrt({k}u*{k}u+{k}w*{k}w)' for k in 'abc')}, f) AS k FROM pc),
-ch AS (SELECT i.mesh_id, min(k) AS k FROM inn i JOIN mr USING (mesh_id) WHERE i.f <> mr.f AND k <= 2 GROUP BY 1),
-no AS (SELECT pc.mesh_id, ({'+'.join(f'sqrt(({p}u-{r}u)*({p}u-{r}u)+({p}w-{r}w)*({p}w-{r}w))' for p, r in ('ab', 'bc', 'ca'))})/3 AS north FROM pc JOIN mr ON mr.mesh_id = pc.mesh_id AND mr.f = pc.f),
-so AS (SELECT pc.mesh_id, ({'+'.join(f'sqrt(({p}iu-{r}iu)*({p}iu-{r}iu)+({p}iw-{r}iw)*({p}iw-{r}iw))' for p, r in ('ab', 'bc', 'ca'))})/3 AS south FROM ch JOIN inn ON inn.mesh_id = ch.mesh_id AND inn.k = ch.k JOIN pc ON pc.mesh_id = inn.mesh_id AND pc.f = inn.f),
-sc AS (SELECT mesh_id, v, u*sqrt(north*south)/north AS u, w*sqrt(north*south)/north AS w FROM cen JOIN no USING (mesh_id) JOIN so USING (mesh_id))
-SELECT mesh_id, v, {rnd('2*u/(1+u*u+w*w)', 'sx')}, {rnd('2*w/(1+u*u+w*w)', 'sy')}, {rnd('(u*u+w*w-1)/(1+u*u+w*w)', 'sz')} FROM sc""")
+@q("puncture_balance", "," + _REG + _balance_sql("verts"))
 def _(spark, sf):
     """The x, y projection of every surface as the planar map."""
     m = L(spark, sf)
