@@ -84,16 +84,18 @@ def _(spark, sf):
     return it.jacobi_pcg(mx.mass_plus_laplacian(fr, 0.1), rhs, ["x"], 1e-10, 3)
 
 
-def _harmonic_sql(pins: str, rounds: int) -> str:
-    """CTEs up to hs(mesh_id, v, comp, x): unrolled conjugate gradients for the uniform Laplacian with pn(mesh_id, v, comp, x) held."""
-    out = f""", de AS (SELECT mesh_id, unnest([a, b, c]) AS v, unnest([b, c, a]) AS u FROM faces),
-ad AS MATERIALIZED (SELECT DISTINCT mesh_id, v, u FROM (SELECT * FROM de UNION ALL SELECT mesh_id, u, v FROM de)),
+_UNIFORM = """SELECT DISTINCT mesh_id, v, u, 1.0::DOUBLE AS w FROM (SELECT mesh_id, unnest([a, b, c, b, c, a]) AS v, unnest([b, c, a, a, b, c]) AS u FROM faces)"""
+
+
+def _harmonic_sql(pins: str, rounds: int, weights: str = _UNIFORM) -> str:
+    """CTEs up to hs(mesh_id, v, comp, x): unrolled conjugate gradients for the Laplacian of edge weights, with pn(mesh_id, v, comp, x) held."""
+    out = f""", ad AS MATERIALIZED ({weights}),
 pn AS MATERIALIZED ({pins}), hp AS (SELECT DISTINCT mesh_id, v FROM pn), cs AS (SELECT DISTINCT comp FROM pn),
-dg AS (SELECT mesh_id, v, comp, d FROM (SELECT mesh_id, v, count(*)::DOUBLE AS d FROM ad a WHERE NOT EXISTS (SELECT 1 FROM hp WHERE hp.mesh_id = a.mesh_id AND hp.v = a.v) GROUP BY 1, 2), cs),
-ps AS (SELECT a.mesh_id, a.v, comp, sum(x) AS b FROM ad a JOIN pn w ON w.mesh_id = a.mesh_id AND w.v = a.u GROUP BY 1, 2, 3),
+dg AS (SELECT mesh_id, v, comp, d FROM (SELECT mesh_id, v, sum(w) AS d FROM ad a WHERE NOT EXISTS (SELECT 1 FROM hp WHERE hp.mesh_id = a.mesh_id AND hp.v = a.v) GROUP BY 1, 2), cs),
+ps AS (SELECT a.mesh_id, a.v, comp, sum(a.w*h.x) AS b FROM ad a JOIN pn h ON h.mesh_id = a.mesh_id AND h.v = a.u GROUP BY 1, 2, 3),
 k0 AS MATERIALIZED (SELECT mesh_id, v, comp, d, 0.0::DOUBLE AS x, coalesce(b, 0) AS r, coalesce(b, 0)/d AS p FROM dg LEFT JOIN ps USING (mesh_id, v, comp))"""
     for i in range(rounds):
-        out += f""", n{i} AS (SELECT a.mesh_id, a.v, comp, sum(k.p) AS s FROM ad a JOIN k{i} k ON k.mesh_id = a.mesh_id AND k.v = a.u GROUP BY 1, 2, 3),
+        out += f""", n{i} AS (SELECT a.mesh_id, a.v, comp, sum(a.w*k.p) AS s FROM ad a JOIN k{i} k ON k.mesh_id = a.mesh_id AND k.v = a.u GROUP BY 1, 2, 3),
 q{i} AS MATERIALIZED (SELECT k.*, d*p - coalesce(s, 0) AS q FROM k{i} k LEFT JOIN n{i} USING (mesh_id, v, comp)),
 a{i} AS (SELECT mesh_id, comp, sum(r*r/d) AS rz, CASE WHEN sum(p*q) > 1e-30 THEN sum(r*r/d)/sum(p*q) ELSE 0 END AS al FROM q{i} GROUP BY 1, 2),
 u{i} AS MATERIALIZED (SELECT mesh_id, v, comp, d, x + al*p AS x, r - al*q AS r, p, rz FROM q{i} JOIN a{i} USING (mesh_id, comp)),
@@ -137,7 +139,15 @@ def _(spark, sf):
     return it.tutte_map(m.vertices, m.faces, _big(spark, sf))
 
 
-@register("harmonic_map")
+_CORNERED = """SELECT mesh_id, v, comp, x FROM (SELECT mesh_id, unnest([a, b, c]) AS v, unnest([0.0, 1.0, al]) AS px, unnest([0.0, 0.0, up]) AS py FROM (
+  SELECT mesh_id, a, b, c, abs(px*qx+py*qy+pz*qz)/(px*px+py*py+pz*pz) AS al,
+    sqrt(pow(py*qz-pz*qy, 2)+pow(pz*qx-px*qz, 2)+pow(px*qy-py*qx, 2))/(px*px+py*py+pz*pz) AS up
+  FROM (SELECT fc.mesh_id, a, b, c, bx-ax AS px, by-ay AS py, bz-az AS pz, cx-ax AS qx, cy-ay AS qy, cz-az AS qz FROM fc JOIN mr ON mr.mesh_id = fc.mesh_id AND mr.f = fc.f))),
+  LATERAL (SELECT unnest(['u', 'w']) AS comp, unnest([px, py]) AS x)"""
+
+
+@q("harmonic_map", "," + _REG + "," + _lap("", 2.0, None) + _harmonic_sql(_CORNERED, 80, "SELECT mesh_id, row AS v, col AS u, val AS w FROM mat WHERE row <> col")
+   + ", pl AS (SELECT h.mesh_id, h.v, h.x, k.x AS y FROM hs h JOIN hs k ON k.mesh_id = h.mesh_id AND k.v = h.v AND h.comp = 'u' AND k.comp = 'w')" + _balance_sql("pl"))
 def _(spark, sf):
     m = L(spark, sf)
     return it.harmonic_map(m.vertices, m.faces, _big(spark, sf))
