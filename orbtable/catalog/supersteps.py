@@ -67,21 +67,21 @@ ms AS (SELECT mesh_id, v, sum(m) AS m FROM (SELECT mesh_id, unnest([a, b, c]) AS
 k0 AS (SELECT mesh_id, v, m*verts.x AS b, d, 0.0::DOUBLE AS x, m*verts.x AS r, m*verts.x/d AS p FROM verts JOIN ms USING (mesh_id, v) JOIN dg USING (mesh_id, v))"""
     for i in range(rounds):
         out += f""", q{i} AS (SELECT m.mesh_id, m.row AS v, sum(m.val*k.p) AS q FROM mat m JOIN k{i} k ON k.mesh_id = m.mesh_id AND k.v = m.col GROUP BY 1, 2),
-a{i} AS (SELECT mesh_id, sum(r*r/d) AS rz, sum(r*r/d)/sum(p*q) AS al FROM k{i} JOIN q{i} USING (mesh_id, v) GROUP BY 1),
+a{i} AS (SELECT mesh_id, sum(r*r/d) AS rz, CASE WHEN sum(p*q) > 1e-30 THEN sum(r*r/d)/sum(p*q) ELSE 0 END AS al FROM k{i} JOIN q{i} USING (mesh_id, v) GROUP BY 1),
 u{i} AS (SELECT mesh_id, v, b, d, x + al*p AS x, r - al*q AS r, p, rz FROM k{i} JOIN q{i} USING (mesh_id, v) JOIN a{i} USING (mesh_id)),
-b{i} AS (SELECT mesh_id, sum(r*r/d)/max(rz) AS be FROM u{i} GROUP BY 1),
+b{i} AS (SELECT mesh_id, CASE WHEN max(rz) > 1e-30 THEN sum(r*r/d)/max(rz) ELSE 0 END AS be FROM u{i} GROUP BY 1),
 k{i + 1} AS MATERIALIZED (SELECT mesh_id, v, b, d, x, r, r/d + be*p AS p FROM u{i} JOIN b{i} USING (mesh_id))"""
     return out + f""", fn AS (SELECT mesh_id, sqrt(sum(r*r))/sqrt(sum(b*b)) AS residual FROM k{rounds} GROUP BY 1)
 SELECT mesh_id, v, 'x' AS comp, {rnd('x')}, {rnd('residual')} FROM k{rounds} JOIN fn USING (mesh_id)"""
 
 
-@q("jacobi_pcg", _pcg_sql(3))
+@q("jacobi_pcg", _pcg_sql(30))
 def _(spark, sf):
-    """Three rounds; convergence is in the tests."""
+    """Rounds until every residual is below the tolerance; the SQL goes on to a fixed number."""
     m = L(spark, sf)
     fr = exact_frame(spark, sf)
     rhs = mx.lumped_mass(fr).join(m.vertices, ["mesh_id", "v"]).select("mesh_id", "v", (F.col("m") * F.col("x")).alias("x"))
-    return it.jacobi_pcg(mx.mass_plus_laplacian(fr, 0.1), rhs, ["x"], 1e-10, 3)
+    return it.jacobi_pcg(mx.mass_plus_laplacian(fr, 0.1), rhs, ["x"], 1e-8, 200)
 
 
 _UNIFORM = """SELECT DISTINCT mesh_id, v, u, 1.0::DOUBLE AS w FROM (SELECT mesh_id, unnest([a, b, c, b, c, a]) AS v, unnest([b, c, a, a, b, c]) AS u FROM faces)"""
