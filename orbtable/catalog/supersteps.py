@@ -81,7 +81,7 @@ def _(spark, sf):
     m = L(spark, sf)
     fr = exact_frame(spark, sf)
     rhs = mx.lumped_mass(fr).join(m.vertices, ["mesh_id", "v"]).select("mesh_id", "v", (F.col("m") * F.col("x")).alias("x"))
-    return it.jacobi_pcg(mx.mass_plus_laplacian(fr, 0.1), rhs, ["x"], 1e-8, 200)
+    return it.jacobi_pcg(mx.mass_plus_laplacian(fr, 0.1), rhs, ["x"], 1e-10, 200)
 
 
 _UNIFORM = """SELECT DISTINCT mesh_id, v, u, 1.0::DOUBLE AS w FROM (SELECT mesh_id, unnest([a, b, c, b, c, a]) AS v, unnest([b, c, a, a, b, c]) AS u FROM faces)"""
