@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from orbtable import bindings as B
 from orbtable.catalog import register
-from orbtable.catalog.meshes import L, _FOLD, _lap, _params, _REG, exact_frame, q, rs, warped_frame
-from orbtable.catalog.sqlkit import ADJ, CORN, TAU, V, _corners_cte, rnd, sarea, svol
+from orbtable.catalog.meshes import L, _dens, _FOLD, _lap, _params, _REG, exact_frame, q, rs, warped_frame
+from orbtable.catalog.sqlkit import ADJ, CORN, TAU, V, _corners_cte, rings_cte, rnd, sarea, scross, sdot, svol
 from orbtable.functions.vec import vec
 from orbtable.operators import chart as ch, faces as fo, iterate as it, matrices as mx, spectral as sp
 from orbtable.operators.mesh import adjacency, face_corners
@@ -50,14 +50,48 @@ def _(spark, sf):
     return it.repair_folds(m.faces, m.warped, 2)[0]
 
 
-@register("adaptive_warp")
+WARP_NLAT, WARP_NPHI, WARP_ROUNDS = 8, 16, 30
+
+
+def _warp_sql(nlat: int, nphi: int, rounds: int) -> str:
+    """All rounds unrolled; every point is tried against every face of its mesh, and the first face that holds it counts."""
+    n, body = nlat * nphi, 2 * (nlat - 1) * nphi
+    A, B_, C = V("as"), V("bs"), V("cs")
+    vol = lambda p, q, r: sdot(p, scross(q, r))
+    P = V("q.")
+    out = f""", {_dens('s', 'd0')}, {rings_cte(nlat, 'wr')},
+wi AS (SELECT range AS f, CASE WHEN range < {body} THEN range // 2 // {nphi} ELSE 0 END AS i, CASE WHEN range < {body} THEN range // 2 % {nphi} ELSE (range - {body}) % {nphi} END AS j FROM range({body + 2 * nphi})),
+wj AS (SELECT *, (j + 1) % {nphi} AS k FROM wi),
+wf AS MATERIALIZED (SELECT f, CASE WHEN f < {body} THEN i*{nphi} + CASE WHEN f % 2 = 0 THEN j ELSE k END WHEN f < {body + nphi} THEN {n} ELSE {(nlat - 1) * nphi} + j END AS a,
+ CASE WHEN f < {body} THEN (i+1)*{nphi} + j WHEN f < {body + nphi} THEN j ELSE {n + 1} END AS b,
+ CASE WHEN f < {body} THEN CASE WHEN f % 2 = 0 THEN i*{nphi} + k ELSE (i+1)*{nphi} + k END WHEN f < {body + nphi} THEN k ELSE {(nlat - 1) * nphi} + k END AS c FROM wj),
+wh AS MATERIALIZED (SELECT a AS u, b AS w FROM wf UNION ALL SELECT b, c FROM wf UNION ALL SELECT c, a FROM wf),
+wm AS (SELECT DISTINCT mesh_id FROM verts),
+p0 AS MATERIALIZED (SELECT mesh_id, CAST(i*{nphi} + range AS BIGINT) AS v, st*cos({TAU}*range/{nphi}) AS x, st*sin({TAU}*range/{nphi}) AS y, ct AS z FROM wm, wr, range({nphi})
+ UNION ALL SELECT mesh_id, {n}, 0.0, 0.0, 1.0 FROM wm UNION ALL SELECT mesh_id, {n + 1}, 0.0, 0.0, -1.0 FROM wm),
+fd AS MATERIALIZED (SELECT fc.mesh_id, f, {', '.join(k + 's' + c for k in 'abc' for c in 'xyz')}, {vol(A, B_, C)} AS det, p.d AS da, q.d AS db, r.d AS dc FROM fc
+ JOIN d0 p ON p.mesh_id = fc.mesh_id AND p.v = fc.a JOIN d0 q ON q.mesh_id = fc.mesh_id AND q.v = fc.b JOIN d0 r ON r.mesh_id = fc.mesh_id AND r.v = fc.c)"""
+    for k in range(rounds):
+        out += f""", c{k} AS MATERIALIZED (SELECT mesh_id, a, b, c, {sarea('', ('a', 'b', 'c'))} AS area FROM (SELECT a.mesh_id, wf.a, wf.b, wf.c, {', '.join(f'{s}.{t} AS {s}{t}' for s in 'abc' for t in 'xyz')}
+ FROM wf JOIN p{k} a ON a.v = wf.a JOIN p{k} b ON b.mesh_id = a.mesh_id AND b.v = wf.b JOIN p{k} c ON c.mesh_id = a.mesh_id AND c.v = wf.c)),
+t{k} AS (SELECT mesh_id, sum(area) AS tot FROM c{k} GROUP BY 1),
+e{k} AS (SELECT mesh_id, v, (count(*)+1)/(sum(area)/max(tot)) AS d2 FROM (SELECT mesh_id, area, unnest([a, b, c]) AS v FROM c{k}) JOIN t{k} USING (mesh_id) GROUP BY 1, 2),
+l{k} AS (SELECT mesh_id, v, arg_min((n0*da+n1*db+n2*dc)/(n0+n1+n2), f) AS d FROM (SELECT q.mesh_id, q.v, f, det, da, db, dc, {vol(P, B_, C)} AS n0, {vol(A, P, C)} AS n1, {vol(A, B_, P)} AS n2
+ FROM fd JOIN p{k} q ON q.mesh_id = fd.mesh_id) WHERE abs(det) >= 1e-14 AND n0/det >= -1e-12 AND n1/det >= -1e-12 AND n2/det >= -1e-12 GROUP BY 1, 2),
+r{k} AS MATERIALIZED (SELECT p.mesh_id, p.v, d/d2 AS r, x, y, z FROM p{k} p JOIN l{k} USING (mesh_id, v) JOIN e{k} USING (mesh_id, v)),
+m{k} AS (SELECT mesh_id, u AS v, {', '.join(f'sum(r*{c})/sum(r) AS {c}' for c in 'xyz')} FROM wh JOIN r{k} ON r{k}.v = wh.w GROUP BY 1, 2),
+p{k + 1} AS MATERIALIZED (SELECT mesh_id, v, {', '.join(f'{c}/sqrt(x*x+y*y+z*z) AS {c}' for c in 'xyz')} FROM m{k})"""
+    return out + f" SELECT mesh_id, v, {rs('x', 'y', 'z')} FROM p{rounds}"
+
+
+@q("adaptive_warp", _warp_sql(WARP_NLAT, WARP_NPHI, WARP_ROUNDS))
 def _(spark, sf):
-    """One round on the fit grid."""
+    """All thirty rounds on the fit grid."""
     m = L(spark, sf)
-    cfg = m.chart.select("mesh_id").distinct().select("mesh_id", F.lit(8).alias("nlat"), F.lit(16).alias("nphi"))
+    cfg = m.chart.select("mesh_id").distinct().select("mesh_id", F.lit(WARP_NLAT).alias("nlat"), F.lit(WARP_NPHI).alias("nphi"))
     faces = settle(gen.tensor_faces(cfg), "tensor")
     dirs = settle(gen.tensor_vertices(cfg, sp.rings_for(cfg)), "dirs")
-    return it.adaptive_warp(m.vertices, m.faces, m.chart, faces, dirs, 1)
+    return it.adaptive_warp(m.vertices, m.faces, m.chart, faces, dirs, WARP_ROUNDS)
 
 
 def _pcg_sql(rounds: int) -> str:

@@ -17,6 +17,7 @@ from orbtable.operators.mesh import adjacency, charted_corners, face_corners, ha
 from orbtable.operators.multilevel import solve_systems
 from orbtable.operators.rank import lowest_share
 from orbtable.operators.spatial import locate, pl_interpolate
+from orbtable.operators.walk import face_patches, locate_from
 from orbtable.session import settle
 
 S = ["sx", "sy", "sz"]
@@ -66,21 +67,28 @@ def repair_folds(faces: DataFrame, chart: DataFrame, max_passes: int = 200) -> t
 
 
 def adaptive_warp(vertices, faces, chart, grid_faces: DataFrame, dirs: DataFrame, rounds: int = 30) -> DataFrame:
-    """Pull a grid mesh dirs(mesh_id, v, x, y, z) toward the vertex density of a charted mesh."""
+    """Pull a grid mesh dirs(mesh_id, v, x, y, z) toward the vertex density of a charted mesh.
+
+    Points are located in full once; afterwards they walk from the face of the last round (`walk`).
+    """
     frame = face_corners(faces, chart, S)
     d0 = settle(fo.vertex_density(vertices, frame), "d0")
     ring = settle(half_edges(grid_faces).select("mesh_id", "u", "w"), "ring")
+    patches = face_patches(faces, chart)
     p = dirs
-    for _ in range(rounds):
-        as_chart = p.select("mesh_id", "v", *[F.col(k).alias("s" + k) for k in "xyz"])
+    for k in range(rounds):
+        as_chart = p.select("mesh_id", "v", *[F.col(c).alias("s" + c) for c in "xyz"])
         d2 = fo.vertex_density(p, face_corners(grid_faces, as_chart, S)).withColumnRenamed("d", "d2")
-        at = pl_interpolate(locate(faces, chart, p.withColumnRenamed("v", "q"), label=False), d0, ["d"]).withColumnRenamed("q", "v")
-        r = at.join(d2, ["mesh_id", "v"]).select("mesh_id", "v", (F.col("d") / F.col("d2")).alias("r"))
+        asked = p.withColumnRenamed("v", "q")
+        at = settle(locate_from(faces, chart, patches, asked) if k else locate(faces, chart, asked, label=False), "located")
+        d = pl_interpolate(at, d0, ["d"]).withColumnRenamed("q", "v")
+        r = d.join(d2, ["mesh_id", "v"]).select("mesh_id", "v", (F.col("d") / F.col("d2")).alias("r"))
         nb = p.join(r, ["mesh_id", "v"]).withColumnRenamed("v", "w")
         mean = ring.join(nb, ["mesh_id", "w"]).groupBy("mesh_id", F.col("u").alias("v")).agg(
-            *[(F.sum(F.col("r") * F.col(k)) / F.sum("r")).alias(k) for k in "xyz"])
-        p = settle(mean.select("mesh_id", "v", *unit_columns(vec(""), "")), "warp")
-    return p
+            *[(F.sum(F.col("r") * F.col(c)) / F.sum("r")).alias(c) for c in "xyz"])
+        last = at.select("mesh_id", F.col("q").alias("v"), "f")
+        p = settle(mean.join(last, ["mesh_id", "v"], "left").select("mesh_id", "v", *unit_columns(vec(""), ""), "f"), "warp")
+    return p.select("mesh_id", "v", "x", "y", "z")
 
 
 # ------------------------------------------------------------------ linear systems
