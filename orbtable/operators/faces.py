@@ -41,13 +41,13 @@ def collapsed_faces(areas: DataFrame, reference: DataFrame, share: float = 0.1)
         F.count("*").alias("nf"))
 
 
-def _volume_signs(frame: DataFrame) -> DataFrame:
+def volume_signs(frame: DataFrame) -> DataFrame:
     return frame.select("mesh_id", "f", "a", "b", "c", F.signum(g.signed_volume(*_chart())).alias("sg"))
 
 
 def majority(frame: DataFrame) -> DataFrame:
     """(mesh_id, nf, pos, neg, maj): the majority orientation; a tie counts as positive."""
-    m = _volume_signs(frame).groupBy("mesh_id").agg(
+    m = volume_signs(frame).groupBy("mesh_id").agg(
         F.count("*").alias("nf"), F.count_if(F.col("sg") > 0).alias("pos"), F.count_if(F.col("sg") < 0).alias("neg"))
     return m.withColumn("maj", F.when(2 * F.col("pos") >= F.col("nf"), F.lit(1.0)).otherwise(F.lit(-1.0)))
 
@@ -59,7 +59,7 @@ def fold_count(frame: DataFrame) -> DataFrame:
 
 
 def folded_faces(frame: DataFrame) -> DataFrame:
-    return _volume_signs(frame).join(majority(frame).select("mesh_id", "maj"), "mesh_id").where("sg <> maj").select(
+    return volume_signs(frame).join(majority(frame).select("mesh_id", "maj"), "mesh_id").where("sg <> maj").select(
         "mesh_id", "f", "a", "b", "c")
 
 

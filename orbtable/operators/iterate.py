@@ -6,19 +6,19 @@ Linear systems are solved over a hierarchy of coarser graphs (`multilevel`).
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from orbtable.functions import geometry as g
 from orbtable.functions.vec import add, dot, named, norm, scale, sub, unit_columns, vec
 from orbtable.operators import faces as fo, matrices as mx
 from orbtable.operators.chart import puncture_balance
-from orbtable.operators.mesh import adjacency, charted_corners, face_corners, half_edges
+from orbtable.operators.mesh import adjacency, charted_corners, face_corners, half_edges, vertex_faces
 from orbtable.operators.multilevel import solve_systems
 from orbtable.operators.rank import lowest_share
 from orbtable.operators.spatial import locate, pl_interpolate
 from orbtable.operators.walk import face_patches, locate_from
-from orbtable.session import settle
+from orbtable.session import scratch_path, settle
 
 S = ["sx", "sy", "sz"]
 
@@ -49,21 +49,68 @@ def smooth_chart(faces: DataFrame, chart: DataFrame, rounds: int, alpha: float =
     return chart
 
 
+def _overlay(chart: DataFrame, moved: DataFrame | None) -> DataFrame:
+    """The chart with the newest position of every vertex that was moved."""
+    if moved is None:
+        return chart.select("mesh_id", "v", *S)
+    late = moved.select("mesh_id", "v", *[F.col(c).alias("n" + c) for c in S])
+    return chart.join(late, ["mesh_id", "v"], "left").select("mesh_id", "v", *[F.coalesce("n" + c, c).alias(c) for c in S])
+
+
+def _counted(df: DataFrame, label: str, what: Column | None = None) -> tuple[DataFrame, int]:
+    """A settled table and how many of its rows satisfy `what`, counted while they are written."""
+    seen = Observation()
+    out = settle(df.observe(seen, F.count_if(F.lit(True) if what is None else what).alias("n")), label)
+    return out, seen.get["n"]
+
+
+def repair_rounds(faces: DataFrame, chart: DataFrame, max_passes: int, adj: DataFrame | None = None) -> tuple[DataFrame, int, DataFrame, int]:
+    """repair_folds that also returns the faces still folded and their number.
+
+    A pass works on the frontier alone: the vertices around folded faces move, the faces that meet them are
+    judged anew, and the count of positive faces per mesh is corrected by the difference. All
+    faces of a mesh are judged again only where its majority turns. Vertices that never moved are
+    written no more than once, at the end; meshes without folds have no rows in a pass.
+    """
+    adj = settle(adjacency(faces), "adj") if adj is None else adj
+    majority = F.when(2 * F.col("pos") >= F.col("nf"), F.lit(1.0)).otherwise(F.lit(-1.0))
+    folded = lambda signs, tally: signs.join(tally.select("mesh_id", "maj"), "mesh_id").where("sg <> maj").select("mesh_id", "f", "a", "b", "c")
+    signs = settle(fo.volume_signs(chart_corners(faces, chart)), "signs")
+    tally = settle(signs.groupBy("mesh_id").agg(F.count("*").alias("nf"), F.count_if(F.col("sg") > 0).alias("pos")).withColumn("maj", majority), "tally")
+    bad, n = _counted(folded(signs, tally), "folded")
+    moved, passes = None, 0
+    key, was = ["mesh_id", "v"], ["o" + c for c in S]
+    while n and passes < max_passes:
+        passes += 1
+        grown = settle(fold_grow(bad, adj), "grown")
+        now = _overlay(chart, moved)
+        sums = _neighbour_sum(adj.join(grown, key, "leftsemi"), now)
+        step = now.join(sums, key).select(*key, *unit_columns(vec("ms"), "s"), *[F.col(c).alias("o" + c) for c in S], F.lit(passes).alias("pass"))
+        moved = settle(step if moved is None else step.unionByName(moved.join(grown, key, "leftanti")), "moved")
+        late = moved.select(*key, "pass", *[F.col(c).alias("n" + c) for c in S], *was)
+        new = F.col("pass") == passes
+        both = chart.join(late, key, "left").select(
+            *key, *[F.coalesce("n" + c, c).alias(c) for c in S], *[F.coalesce(F.when(new, F.col("o" + c)), "n" + c, c).alias("o" + c) for c in S])
+        hit = vertex_faces(faces).join(moved.where(new).select(*key), key, "leftsemi").select("mesh_id", "f").distinct()
+        frame = face_corners(faces.join(hit, ["mesh_id", "f"], "leftsemi"), both, [*S, *was])
+        volume = lambda pre: F.signum(g.signed_volume(*[vec(k + pre) for k in "abc"]))
+        frame = settle(frame.select("mesh_id", "f", "a", "b", "c", volume("s").alias("sg"), volume("os").alias("was")), "signs")
+        gained = frame.groupBy("mesh_id").agg((F.count_if(F.col("sg") > 0) - F.count_if(F.col("was") > 0)).alias("gained"))
+        after = tally.join(gained, "mesh_id", "left").select(
+            "mesh_id", "nf", (F.col("pos") + F.coalesce("gained", F.lit(0))).alias("pos"), F.col("maj").alias("before"))
+        tally, turned = _counted(after.withColumn("maj", majority), "tally", F.col("maj") != F.col("before"))
+        left = bad.join(frame.select("mesh_id", "f"), ["mesh_id", "f"], "leftanti").unionByName(folded(frame, tally))
+        if turned:
+            ids = tally.where("maj <> before").select("mesh_id")
+            again = fo.volume_signs(chart_corners(faces.join(ids, "mesh_id", "leftsemi"), _overlay(chart, moved)))
+            left = left.join(ids, "mesh_id", "leftanti").unionByName(folded(again, tally))
+        bad, n = _counted(left, "folded")
+    return (settle(_overlay(chart, moved), "repair") if passes else chart), passes, bad, n
+
+
 def repair_folds(faces: DataFrame, chart: DataFrame, max_passes: int = 200) -> tuple[DataFrame, int]:
     """Replace the vertices of folded faces and one ring around by their normalised neighbour sum until no fold is left."""
-    adj = settle(adjacency(faces), "adj")
-    passes = 0
-    while passes < max_passes:
-        bad = settle(fo.folded_faces(chart_corners(faces, chart)), "folded")
-        if bad.limit(1).count() == 0:
-            break
-        grown = fold_grow(bad, adj)
-        sums = _neighbour_sum(adj.join(grown, ["mesh_id", "v"], "leftsemi"), chart)
-        j = chart.join(sums, ["mesh_id", "v"], "left")
-        moved = unit_columns(vec("ms"), "s")
-        chart = settle(j.select("mesh_id", "v", *[F.when(F.col("n").isNull(), F.col(c)).otherwise(m).alias(c) for c, m in zip(S, moved)]), "repair")
-        passes += 1
-    return chart, passes
+    return repair_rounds(faces, chart, max_passes)[:2]
 
 
 def adaptive_warp(vertices, faces, chart, grid_faces: DataFrame, dirs: DataFrame, rounds: int = 30) -> DataFrame:
@@ -220,63 +267,79 @@ def qc_correct(vertices: DataFrame, faces: DataFrame, chart: DataFrame) -> DataF
 # ------------------------------------------------------------------ density flow
 
 
+def _candidate(cur: DataFrame, vel: DataFrame, short: DataFrame, dt: float, h: int) -> DataFrame:
+    """Positions after step h of the list: nine halved steps, then five full ones capped by the shortest edge e at each vertex."""
+    if h < 9:
+        move = add(vec("s"), scale(vec("d"), F.lit(dt / 2**h)))
+        return cur.join(vel, ["mesh_id", "v"]).select("mesh_id", "v", *unit_columns(move, "s"))
+    far, limit = dt * norm(vec("d")), 0.3 / 2 ** (h - 9) * F.col("e")
+    move = add(vec("s"), scale(vec("d"), dt * F.when(far > limit, limit / far).otherwise(F.lit(1.0))))
+    return cur.join(vel, ["mesh_id", "v"]).join(short, ["mesh_id", "v"]).select("mesh_id", "v", *unit_columns(move, "s"))
+
+
+def _shortest_edges(frame: DataFrame) -> DataFrame:
+    """Shortest chart edge e at every vertex."""
+    edge = half_edges(frame, [k + c for k in "abc" for c in S])
+    side = lambda p, q: norm(sub(vec(p + "s"), vec(q + "s")))
+    length = F.when(F.col("k") == 0, side("a", "b")).when(F.col("k") == 1, side("b", "c")).otherwise(side("c", "a"))
+    return edge.select("mesh_id", F.explode(F.array("u", "w")).alias("v"), length.alias("e")).groupBy("mesh_id", "v").agg(F.min("e").alias("e"))
+
+
 def density_equalise(vertices, faces, chart, dt: float = 0.1, eps: float = 1e-3, max_steps: int = 300,
-                     max_rejected: int = 20, window: int = 100, gain: float = 0.9) -> tuple[DataFrame, DataFrame]:
+                     max_rejected: int = 20, window: int = 100, gain: float = 0.9, mend_passes: int = 60) -> tuple[DataFrame, DataFrame]:
     """Move chart vertices down the gradient of surface area per chart area.
 
-    Each step: repair folds, diffuse the density implicitly, and move by the largest of nine
-    halved steps that folds nothing; all candidates are scored in one job. Where none works
-    every vertex's move is capped by its shortest edge. Returns (chart, log(mesh_id, step,
-    spread, best, rejected, stopped)); a mesh leaves when it converged, stalled or levelled off.
+    Each step: repair folds, diffuse the density implicitly, and move by the first of fourteen candidates
+    (`_candidate`) that has no fold, or none after at most `mend_passes` passes of repair. A
+    candidate is tried only on the meshes for which all before it failed. Returns (chart,
+    log(mesh_id, step, spread, best, rejected, stopped)); step 0 is the start, and a mesh leaves
+    when it converged, stalled or levelled off.
     """
-    positions = vertices
-    log = None
-    live = settle(chart.select("mesh_id").distinct(), "live")
-    done = []
+    spark = chart.sparkSession
+    log_path = scratch_path(spark, "log")
+    adj = settle(adjacency(faces), "adj")
     cur = settle(chart.select("mesh_id", "v", *unit_columns(vec("s"), "s")), "flow")
+    live = settle(chart.select("mesh_id").distinct(), "live")
     state = settle(live.select("mesh_id", F.lit(0).alias("rejected")), "state")
-    for step in range(1, max_steps + 1):
-        f_live = faces.join(live, "mesh_id", "leftsemi")
-        v_live = positions.join(live, "mesh_id", "leftsemi")
-        cur, _ = repair_folds(f_live, cur)
-        frame = settle(charted_corners(f_live, v_live, cur), "frame")
-        rho0 = fo.vertex_population_density(frame)
-        rhs = rho0.join(mx.lumped_mass(frame), ["mesh_id", "v"]).select("mesh_id", "v", (F.col("rho") * F.col("m")).alias("rho"))
-        rho = settle(solve_systems(mx.mass_plus_laplacian(frame, dt), rhs, ["rho"], 1e-6), "rho")
-        vel = settle(fo.density_velocity(frame, rho), "velocity")
-        spread = fo.density_spread(rho)
-        ids = np.arange(9)
-        full = cur.join(vel, ["mesh_id", "v"])
-        steps = F.explode(F.array(*[F.struct(F.lit(int(h)).alias("h"), F.lit(dt / 2**h).alias("t"), F.lit(None).cast("double").alias("cap")) for h in ids]
-                                  + [F.struct(F.lit(9 + h).alias("h"), F.lit(dt).alias("t"), F.lit(0.3 / 2**h).alias("cap")) for h in range(5)])).alias("s")
-        edge = half_edges(frame, [k + c for k in "abc" for c in S])
-        side = lambda p, q: norm(sub(vec(p + "s"), vec(q + "s")))
-        length = F.when(F.col("k") == 0, side("a", "b")).when(F.col("k") == 1, side("b", "c")).otherwise(side("c", "a"))
-        short = edge.select("mesh_id", F.explode(F.array("u", "w")).alias("v"), length.alias("e")).groupBy("mesh_id", "v").agg(F.min("e").alias("e"))
-        tried = full.join(short, ["mesh_id", "v"]).select("mesh_id", "v", *S, "dx", "dy", "dz", "e", steps)
-        far = F.col("s.t") * norm(vec("d"))
-        limit = F.col("s.cap") * F.col("e")
-        shrink = F.when(F.col("s.cap").isNotNull() & (far > limit), limit / F.when(far > 0, far)).otherwise(F.lit(1.0))
-        move = add(vec("s"), scale(vec("d"), F.col("s.t") * shrink))
-        tried = settle(tried.select(F.concat_ws("\u0001", "mesh_id", F.col("s.h").cast("string")).alias("mesh_id"), "v", *unit_columns(move, "s")), "tried")
-        tf = f_live.withColumn("mesh_id", F.explode(F.array(*[F.concat_ws("\u0001", "mesh_id", F.lit(str(h))) for h in range(14)])))
-        part = F.split("mesh_id", "\u0001")
-        score = fo.fold_count(chart_corners(tf, tried)).where("folds = 0").select(part[0].alias("mesh_id"), part[1].cast("int").alias("h"))
-        best = settle(score.groupBy("mesh_id").agg(F.min("h").alias("h")), "best")
-        moved = tried.select(part[0].alias("mesh_id"), part[1].cast("int").alias("h"), "v", *S).join(best, ["mesh_id", "h"], "leftsemi").drop("h")
-        still = cur.join(best, "mesh_id", "leftanti")
-        cur = settle(moved.unionByName(still.select("mesh_id", "v", *S)), "flow")
-        state = settle(state.join(best.withColumn("ok", F.lit(True)), "mesh_id", "left").select(
-            "mesh_id", F.when(F.col("ok"), 0).otherwise(F.col("rejected") + 1).alias("rejected")), "state")
+    done = []
+    spread = fo.density_spread(fo.vertex_population_density(charted_corners(faces, vertices, cur)))
+    for step in range(max_steps + 1):
+        if step:
+            f_live = faces.join(live, "mesh_id", "leftsemi")
+            v_live = vertices.join(live, "mesh_id", "leftsemi")
+            cur = repair_rounds(f_live, cur, 200, adj)[0]
+            frame = settle(charted_corners(f_live, v_live, cur), "frame")
+            rho0 = fo.vertex_population_density(frame)
+            rhs = rho0.join(mx.lumped_mass(frame), ["mesh_id", "v"]).select("mesh_id", "v", (F.col("rho") * F.col("m")).alias("rho"))
+            rho = settle(solve_systems(mx.mass_plus_laplacian(frame, dt), rhs, ["rho"], 1e-6), "rho")
+            vel = settle(fo.density_velocity(frame, rho), "velocity")
+            spread = fo.density_spread(rho)
+            waiting, taken = live, []
+            for h in range(14):
+                own = lambda df: df.join(waiting, "mesh_id", "leftsemi")
+                cand = settle(_candidate(own(cur), vel, _shortest_edges(own(frame)), dt, h), "tried")
+                mended, _, bad, n = repair_rounds(own(f_live), cand, mend_passes, adj)
+                failed = settle(bad.select("mesh_id").distinct(), "failed")
+                taken.append(mended.select("mesh_id", "v", *S).join(failed, "mesh_id", "leftanti"))
+                waiting = failed
+                if not n:
+                    break
+            moved = cur.select("mesh_id", "v", *S).join(waiting, "mesh_id", "leftsemi")
+            for part in taken:
+                moved = moved.unionByName(part)
+            cur = settle(moved, "flow")
+            state = settle(state.join(waiting.withColumn("failed", F.lit(True)), "mesh_id", "left").select(
+                "mesh_id", F.when(F.col("failed"), F.col("rejected") + 1).otherwise(0).alias("rejected")), "state")
         row = spread.join(state, "mesh_id").select("mesh_id", F.lit(step).alias("step"), "spread", "rejected")
-        log = settle(row if log is None else log.unionByName(row), "log")
+        row.write.mode("append").parquet(log_path)
+        log = spark.read.schema(row.schema).parquet(log_path)
         judged = step_log(log, eps, max_rejected, window, gain).where(F.col("step") == step)
-        leaving = settle(judged.where("stopped IS NOT NULL").select("mesh_id"), "leaving")
-        if leaving.limit(1).count():
+        leaving, n = _counted(judged.where("stopped IS NOT NULL").select("mesh_id"), "leaving")
+        if n:
             done.append(settle(cur.join(leaving, "mesh_id", "leftsemi"), "done"))
-            cur, live = settle(cur.join(leaving, "mesh_id", "leftanti"), "flow"), settle(live.join(leaving, "mesh_id", "leftanti"), "live")
-            state = state.join(leaving, "mesh_id", "leftanti")
-            if live.limit(1).count() == 0:
+            cur, state = settle(cur.join(leaving, "mesh_id", "leftanti"), "flow"), settle(state.join(leaving, "mesh_id", "leftanti"), "state")
+            live, n = _counted(live.join(leaving, "mesh_id", "leftanti"), "live")
+            if not n:
                 break
     for d in done:
         cur = cur.unionByName(d)
