@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orbtable import bindings as B
 from orbtable.catalog import register
 from orbtable.catalog.fields import EV, LMAX, NLAT, NPHI, coeffs, part_specs
 from orbtable.catalog.sqlkit import TAU, event_spectrum, gains_cte, rnd, specs_cte
@@ -28,9 +27,9 @@ def _(spark, sf):
 @register("stream_stale_drop", """WITH cur AS (SELECT c_custkey AS user_id, c_custkey % 5 AS current FROM customer)
 SELECT event_id, e.user_id, event_id % 6 AS generation FROM events e JOIN cur ON cur.user_id = e.user_id WHERE event_id % 6 >= current""")
 def _(spark, sf):
-    """Every event is a result of some generation; the customer table holds the current one."""
+    """Every event is a result of some generation; the customers stream in with the current one."""
     ev = jobs.table_stream(spark, sf, "events").select("event_id", "user_id", (F.col("event_id") % 6).alias("generation"))
-    cur = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 5).alias("current"))
+    cur = jobs.table_stream(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 5).alias("current"))
     return jobs.stale_drop(ev, cur, "user_id", "generation").select("event_id", "user_id", "generation")
 
 

@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from orbtable.functions.spectral import angle_cos, angle_sin
 from orbtable.operators import spectral as sp
 from orbtable.session import scratch_path, settle
+from orbtable.streaming.generations import not_stale
+
+#: The state store of jobs with states of their own.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +27,11 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def drain(stream: DataFrame, per_batch, mode: str = "append", home: str | None = None) -> DataFrame:
-    """Run a stream over what is available; per_batch(df) is written under its batch id, and all batches read back."""
+def drain(stream: DataFrame, per_batch, mode: str = "append", home: str | None = None, store: str | None = None) -> DataFrame:
+    """Run a stream over what is available; per_batch(df) is written under its batch id, and all batches read back.
+
+    `store` is the state store of this job alone; the session's setting is put back once the job has started.
+    """
     spark = stream.sparkSession
     home = home or scratch_path(spark, "stream")
     out = f"{home}/out"
@@ -31,10 +39,15 @@ def drain(stream: DataFrame, per_batch, mode: str = "append", home: str | None =
     def write(df: DataFrame, batch: int) -> None:
         per_batch(df).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/state")
-        .trigger(availableNow=True).foreachBatch(write).start()
-    )
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, store or before)
+    try:
+        query = (
+            stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/state")
+            .trigger(availableNow=True).foreachBatch(write).start()
+        )
+    finally:
+        spark.conf.set(PROVIDER, before)
     query.awaitTermination()
     return spark.read.option("basePath", out).parquet(out)
 
@@ -49,10 +62,15 @@ def latest_wins(requests: DataFrame, key: str, order: list[str], payload: list[s
     return done.groupBy(key).agg(F.max(F.struct("batch", *order, *payload)).alias("m")).select(key, *[f"m.{c}" for c in payload])
 
 
-def stale_drop(results: DataFrame, current: DataFrame, key: str, generation: str, home: str | None = None) -> DataFrame:
-    """Results of an older generation than the key's current one are discarded. Only the generation counts, not the time."""
-    fresh = results.join(settle(current, "current"), key).where(F.col(generation) >= F.col("current")).drop("current")
-    return drain(fresh, lambda df: df, home=home).drop("batch")
+def stale_drop(
+    results: DataFrame, moves: DataFrame, key: str, generation: str, home: str | None = None, **ends,
+) -> DataFrame:
+    """Results of an older generation than the key's current one are discarded. Only the generation counts, not the time.
+
+    Both are streams: a generation that moves during the run, or between two runs with the same `home`,
+    drops what is still on its way. `ends` says when the state of a silent key ends (see `not_stale`). Results already written stay.
+    """
+    return drain(not_stale(results, moves, key, generation, **ends), lambda df: df, home=home, store=ROCKSDB).drop("batch")
 
 
 def filter_apply(specs: DataFrame, power: DataFrame, lmax: int, home: str | None = None) -> DataFrame:
