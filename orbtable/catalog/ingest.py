@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from orbtable.catalog import register
 from orbtable.catalog.meshes import L, q, rs
 from orbtable.catalog.sqlkit import HALF, rnd, values
 from orbtable.operators import mesh as mo
+from orbtable.session import scratch_path, settle
 from orbtable.sources import meshes as sm
 
 NV = B.L_NLAT * B.L_NPHI + 2
@@ -46,6 +48,32 @@ def head_lines(m, text: list[str]) -> DataFrame:
     return m.faces.select("mesh_id").distinct().select("mesh_id", F.inline(rows))
 
 
+def through_files(content: DataFrame, ending: str) -> tuple[DataFrame, DataFrame]:
+    """content(mesh_id, content) written as one file per mesh and read with read_meshes; mesh ids as before."""
+    spark = content.sparkSession
+    folder = scratch_path(spark, "files")
+
+    def put(it):
+        filesystem, root = fs.FileSystem.from_uri(folder)
+        filesystem.create_dir(root)
+        for pdf in it:
+            for mesh, data in zip(pdf["mesh_id"], pdf["content"]):
+                with filesystem.open_output_stream(f"{root}/{mesh}.{ending}") as out:  # a second attempt writes the same bytes
+                    out.write(bytes(data))
+            yield pdf[["mesh_id"]]
+
+    settle(content.mapInPandas(put, "mesh_id string"), "written")
+    name = F.regexp_extract("mesh_id", r"([^/]+)\.[^./]+$", 1)
+    v, f, _ = sm.read_meshes(spark, folder)
+    return v.withColumn("mesh_id", name), f.withColumn("mesh_id", name)
+
+
+def text_of(lines: DataFrame) -> DataFrame:
+    """(mesh_id, content) of bounded meshes' lines in order."""
+    rows = lines.groupBy("mesh_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("rows"))
+    return rows.select("mesh_id", F.concat(F.array_join("rows.line", "\n"), F.lit("\n")).cast("binary").alias("content"))
+
+
 @q("src_obj", " SELECT mesh_id, v, " + rs("x", "y", "z") + " FROM verts", corners=False)
 def _(spark, sf):
     return sm.parse_obj(obj_lines(L(spark, sf)))[0]
@@ -70,10 +98,10 @@ def _(spark, sf):
 
 @q("src_off", " SELECT mesh_id, f, a, b, c FROM faces", corners=False)
 def _(spark, sf):
-    """Comments and a blank line included."""
+    """Comments and a blank line included; read from files."""
     m = L(spark, sf)
     head = head_lines(m, ["OFF", "# a comment", f"{NV} {NF} 0  # counts", ""])
-    return sm.parse_off(_lines(head, _vertex_lines(m, "", 4), polygon_lines(m, 4 + NV)))[1]
+    return through_files(text_of(_lines(head, _vertex_lines(m, "", 4), polygon_lines(m, 4 + NV))), "off")[1]
 
 
 def ply_lines(m) -> DataFrame:
@@ -93,7 +121,8 @@ def _(spark, sf):
 
 @q("src_ply_faces", " SELECT mesh_id, f, a, b, c FROM faces", corners=False)
 def _(spark, sf):
-    return sm.parse_ply_ascii(ply_lines(L(spark, sf)))[1]
+    """Read from files."""
+    return through_files(text_of(ply_lines(L(spark, sf))), "Ply")[1]
 
 
 @q("src_stl", f""", so AS (SELECT mesh_id, v, row_number() OVER (PARTITION BY mesh_id ORDER BY ord) - 1 AS id FROM (SELECT mesh_id, v, min(ord) AS ord FROM (
@@ -110,7 +139,7 @@ def _(spark, sf):
 
 @q("src_shm", f" SELECT mesh_id, v, {', '.join(rnd(f'CAST(CAST({k} AS FLOAT) AS DOUBLE)', k) for k in 'xyz')} FROM verts", corners=False)
 def _(spark, sf):
-    """One packed file per mesh, encoded by Spark from bounded meshes and decoded again."""
+    """One packed file per mesh, encoded by Spark from bounded meshes, read as byte ranges."""
     m = L(spark, sf)
 
     @F.pandas_udf("binary")
@@ -124,7 +153,7 @@ def _(spark, sf):
 
     v = m.vertices.groupBy("mesh_id").agg(F.array_sort(F.collect_list(F.struct("v", "x", "y", "z"))).alias("vs"))
     f = m.faces.groupBy("mesh_id").agg(F.array_sort(F.collect_list(F.struct("f", "a", "b", "c"))).alias("fs"))
-    return sm.decode_shm(v.join(f, "mesh_id").select("mesh_id", pack("vs", "fs").alias("content")))[0]
+    return through_files(v.join(f, "mesh_id").select("mesh_id", pack("vs", "fs").alias("content")), "mesh")[0]
 
 
 @register("src_dispatch", """SELECT p_partkey, path, ext, CASE WHEN ext IN ('mesh', 'obj', 'off', 'ply', 'stl') THEN 'read' ELSE 'rejected' END AS fate FROM (
@@ -144,7 +173,6 @@ mf AS (SELECT 's' || s_suppkey AS key, 106 + CASE WHEN s_suppkey % 7 = 0 THEN 1
 SELECT key, mf.nv = ct.nv AS nv_ok, mf.nf = ct.nf AS nf_ok, mf.euler = ct.chi AS euler_ok FROM mf JOIN ct ON ct.mesh_id = mf.key""", corners=False)
 def _(spark, sf):
     """A manifest of the suppliers, some entries wrong, written as JSON and checked against counts."""
-    from orbtable.session import scratch_path
     s = F.col("s_suppkey")
     rows = B.table(spark, sf, "supplier").select(
         F.concat(F.lit("s"), s.cast("string")).alias("key"), F.col("s_name").alias("label"), F.lit("x.mesh").alias("file"),

@@ -194,7 +194,7 @@ class MeshReader(DataSourceReader):
         for f in sorted(files, key=lambda f: f.path):
             if not f.is_file or f.base_name[:1] in "_." or not f.base_name.lower().endswith(self.suffixes):
                 continue
-            mesh = f"{scheme.group(0)}/{f.path.split('/', 1)[-1]}" if scheme else f"file://{f.path}"
+            mesh = f"{scheme.group(0)}/{f.path.split('/', 1)[-1]}" if scheme else f"file:{f.path}"
             if f.size > self.step:
                 out += [Ranges([(f.path, mesh, f.size, s, min(s + self.step, f.size))]) for s in range(0, f.size, self.step)]
                 continue

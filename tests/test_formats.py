@@ -68,3 +68,16 @@ def test_awkward_files(spark, tmp_path):
     whole = {short(r) for r in mo.euler_char(v, f).collect() if (r["nv"], r["nf"], r["chi"]) == (8, 12, 2)}
     assert whole == {"a.OBJ", "b.off", "c.ply", "d.ply", "e.ply", "f.stl", "g.stl", "h.mesh", "low.off", "long.ply", "long_text.ply", "line.STL"}
     assert {short(r) for r in rejected.collect()} == {"i.glb", "not.off", "cut.ply", "no.ply", "not.stl", "odd.stl", "bad.mesh", "cut.mesh"}
+
+
+def test_binary_lists_of_varying_length(spark, tmp_path):
+    """A binary PLY of triangles and quads has no fixed records: it is walked, beside files that are read in ranges."""
+    write_cubes(tmp_path)
+    head = b"ply\nformat binary_little_endian 1.0\nelement vertex 8\nproperty double x\nproperty double y\nproperty double z\nelement face 7\nproperty list uchar int vertex_indices\nend_header\n"
+    polygons = [*QUADS[:5], *[(QUADS[5][0], QUADS[5][k], QUADS[5][k + 1]) for k in (1, 2)]]
+    (tmp_path / "mixed.ply").write_bytes(head + b"".join(struct.pack("<ddd", *c) for c in CORNERS) + b"".join(struct.pack(f"<B{len(p)}i", len(p), *p) for p in polygons))
+    v, f, rejected = sm.read_meshes(spark, str(tmp_path))
+    short = lambda r: r["mesh_id"].rsplit("/", 1)[1]
+    whole = {short(r) for r in mo.euler_char(v, f).collect() if (r["nv"], r["nf"], r["chi"]) == (8, 12, 2)}
+    assert {"mixed.ply", "d.ply", "h.mesh", "g.stl"} <= whole
+    assert {short(r) for r in rejected.collect()} == {"i.glb"}
