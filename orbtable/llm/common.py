@@ -9,7 +9,7 @@ import types
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.session import settle
+from orbtable import session
 
 #: White space that separates words: space and U+0009 to U+000D, nothing else.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +19,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def settle(df: DataFrame, label: str = "step") -> DataFrame:
+    """`session.settle` with compressed files: texts are most of what these operators write, and disk is their limit."""
+    return session.settle(df, label, packed=True)
+
+
 def body(text: str = "text") -> Column:
     """The text, null as the empty one."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import attach_groups, body, documents, power_of_two
-from orbtable.session import settle
+from orbtable.llm.common import attach_groups, body, documents, power_of_two, settle
 
 
 def _filter_words(rows: DataFrame, print_col: str, n: int) -> DataFrame:

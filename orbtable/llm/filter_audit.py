@@ -9,8 +9,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import HOT_GROUPS, body, documents
-from orbtable.session import settle
+from orbtable.llm.common import HOT_GROUPS, body, documents, settle
 
 LETTERS = "ABCDE"
 BIT = {x: 1 << k for k, x in enumerate(LETTERS)}

@@ -11,10 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import documents, for_python, worker_memo
+from orbtable.llm.common import documents, for_python, settle, worker_memo
 from orbtable.llm.exchange import BLOCK_BYTES, answers, ask, block_ids, mix, shards_for, squeeze_ints, swell_ints
 from orbtable.llm.wordsplit import Memo
-from orbtable.session import settle
 
 #: Hashes of the end token and of the context before the first word; no word is empty or a space.
 END, BEGIN = xxhash.xxh3_64_intdigest(b""), xxhash.xxh3_64_intdigest(b" ")

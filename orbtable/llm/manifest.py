@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import documents
-from orbtable.session import settle
+from orbtable.llm.common import documents, settle
 
 FAN_OUT = 8
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]

@@ -10,10 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import attach_groups, body, components, documents, for_python, from_python, row_print, worker_memo
+from orbtable.llm.common import attach_groups, body, components, documents, for_python, from_python, row_print, settle, worker_memo
 from orbtable.llm.exchange import mix
 from orbtable.llm.wordsplit import Memo
-from orbtable.session import settle
 
 #: Registers of a sketch, and registers of a band: BANDS keys of ROWS registers each. Two sets of
 #: similarity 0.8 miss each other in every band with probability (1 - 0.8**4)**32 < 5e-8.

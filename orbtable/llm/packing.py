@@ -9,9 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import documents, for_python, from_python, worker_memo
+from orbtable.llm.common import documents, for_python, from_python, settle, worker_memo
 from orbtable.llm.wordsplit import Memo, Splitter
-from orbtable.session import settle
 
 DIMS, BITS = 4, 10
 

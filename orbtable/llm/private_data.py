@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import attach_groups, documents, free_name
-from orbtable.session import settle
+from orbtable.llm.common import attach_groups, documents, free_name, settle
 
 MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "господин")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Fräulein", "госпожа")

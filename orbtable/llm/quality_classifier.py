@@ -12,8 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import documents, for_python, from_python
-from orbtable.session import settle
+from orbtable.llm.common import documents, for_python, from_python, settle
 
 #: Bytes whose share of a text is a feature.
 CLASSES = {

@@ -8,8 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import body, documents, free_name
-from orbtable.session import settle
+from orbtable.llm.common import body, documents, free_name, settle
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"

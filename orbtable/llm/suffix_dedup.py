@@ -23,9 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import documents, for_python
+from orbtable.llm.common import documents, for_python, settle
 from orbtable.llm.exchange import BLOCK_BYTES, NOBODY, answers, ask, beside, block_ids, mix, shards_for, squeeze, squeeze_ints, swell, swell_ints
-from orbtable.session import settle
 
 CORE = 20
 #: Windows hashed at a time, so that a very long text needs no more memory than a short one.

@@ -10,9 +10,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import attach_groups, body, documents, row_print, worker_memo
+from orbtable.llm.common import attach_groups, body, documents, row_print, settle, worker_memo
 from orbtable.llm.wordsplit import Memo
-from orbtable.session import scratch_path, settle
+from orbtable.session import scratch_path
 
 CACHE = "tokenizer string, digest string, n_tokens long"
 

@@ -11,8 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import body, documents, for_python, from_python, worker_memo
-from orbtable.session import settle
+from orbtable.llm.common import body, documents, for_python, from_python, settle, worker_memo
 
 #: Marks around and words before a term that is quoted or talked about; words that address someone. Fixed values.
 OPENING = "\"'`“„«‹‘‚"
