@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import documents, for_python, from_python, settle
+from orbtable.llm.common import documents, for_python, from_python, settle, settle_python
 
 #: Bytes whose share of a text is a feature.
 CLASSES = {
@@ -161,7 +161,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, leas
             out.insert(0, "doc_id", part["doc_id"].to_numpy())
             yield out
 
-    measured = settle(from_python(for_python(docs).mapInPandas(measure, "doc_id string, " + ", ".join(f"{c} double" for c in columns))), "features")
+    measured = settle_python(from_python(for_python(docs).mapInPandas(measure, "doc_id string, " + ", ".join(f"{c} double" for c in columns))), "features")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
     usable = settle(measured.where(~held).dropDuplicates(["doc_id"]).join(known, "doc_id"), "labelled")
