@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import documents, for_python, from_python, settle, worker_memo
+from orbtable.llm.common import BATCH, documents, for_python, from_python, settle_python, worker_memo
 from orbtable.llm.wordsplit import Memo, Splitter
 
 DIMS, BITS = 4, 10
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1) -> Dat
     every `length` tokens, so only the very last sequence is padded. Every row of `docs` is a
     document, repeated rows too; null or empty texts consist of `end_id`. An empty table gives none.
     """
-    coded = settle(curve(docs, path, end_id), "curve")
+    coded = settle_python(curve(docs, path, end_id), "curve")
     sorted_ = coded.withColumn("tie", F.xxhash64("ids")).repartitionByRange("key", "doc_id", "tie").sortWithinPartitions("key", "doc_id", "tie")
 
     def local(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,7 +126,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1) -> Dat
             at += int(n.sum())
             yield pd.DataFrame({"share": share, "begin": begin, "doc_id": part["doc_id"], "n": n, "wide": part["wide"], "ids": part["ids"]})
 
-    ranged = settle(sorted_.select("doc_id", "n", "wide", "ids").mapInPandas(local, "share int, begin long, doc_id string, n long, wide boolean, ids binary"), "ranged")
+    ranged = settle_python(sorted_.select("doc_id", "n", "wide", "ids").mapInPandas(local, "share int, begin long, doc_id string, n long, wide boolean, ids binary"), "ranged")
     # one row per range: where it begins in the whole stream
     totals = sorted((r["share"], r["t"]) for r in ranged.groupBy("share").agg(F.sum("n").alias("t")).collect())
     base, at = {}, 0
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1) -> Dat
         base[share], at = at, at + total
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+        for part in (whole[i:i + BATCH] for whole in parts for i in range(0, len(whole), BATCH)):
             out = []
             for share, begin, doc_id, n, wide, ids in zip(*(part[c] for c in ("share", "begin", "doc_id", "n", "wide", "ids")), strict=True):
                 tokens, at = np.frombuffer(ids, "<u4" if wide else "<u2").astype("<u4"), base[share] + begin

@@ -16,3 +16,19 @@ def test_a_python_stage_gets_bounded_batches_and_the_setting_is_put_back(spark):
     got = [r["id"] for r in common.settle_python(rows.mapInPandas(sizes, "id long"), "sizes").orderBy(F.desc("id")).collect()]
     assert got == [common.BATCH, common.BATCH, 7]
     assert spark.conf.get(name) == before
+
+
+def test_pieces_do_not_depend_on_batches(spark, monkeypatch):
+    import public_tokenizers
+
+    from orbtable.llm import packing
+
+    docs = spark.createDataFrame([(i, f"word{i % 7} and more " * (i % 50)) for i in range(300)], "doc_id long, text string").coalesce(3)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = lambda: sorted(map(tuple, packing.with_digest(packing.pack(docs, path, length=64)).collect()))
+    want = rows()
+    for module in (common, packing):
+        monkeypatch.setattr(module, "BATCH", 37)
+    got = rows()
+    assert got == want
+    assert sum(r[2] for r in got) == sum({r[0]: r[4] for r in got}.values())
