@@ -29,3 +29,13 @@ def test_large_repetitive_tables_are_not_broadcast(spark):
     verts = settle(faces.select("mesh_id", F.col("a").alias("v"), *[F.lit(1.0).alias(k) for k in "xyz"]).distinct())
     out = face_corners(faces, verts, ["x", "y", "z"])
     assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_icosphere_rounds_start_from_tables_of_known_size(spark, monkeypatch):
+    from orbtable.sources import generate as gen
+
+    seen, plain = [], gen.numbered_edges
+    monkeypatch.setattr(gen, "numbered_edges", lambda f, v: seen.extend([planned_bytes(f), planned_bytes(v)]) or plain(f, v))
+    configs = spark.range(500, numPartitions=2).select(F.col("id").cast("string").alias("mesh_id"), F.lit(1).alias("subdiv"))
+    gen.icosphere(configs)
+    assert seen[0] >= 500 * 20 * 4 * 8 and seen[1] >= 500 * 12 * 4 * 8
