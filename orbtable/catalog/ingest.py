@@ -14,12 +14,15 @@ from orbtable.catalog import register
 from orbtable.catalog.meshes import L, q, rs
 from orbtable.catalog.sqlkit import HALF, rnd, values
 from orbtable.operators import mesh as mo
-from orbtable.session import scratch_path, settle
+from orbtable.session import scratch_path, settle, small_batches
 from orbtable.sources import meshes as sm
 
 NV = B.L_NLAT * B.L_NPHI + 2
 NF = 2 * B.L_NLAT * B.L_NPHI
 
+#: Meshes that a Python stage writes at a time.
+MESHES = 100
+
 
 def _lines(*parts: DataFrame) -> DataFrame:
     """Union of (mesh_id, pos, line) rows, cut into blocks of 64 lines like splits of a file."""
@@ -62,7 +65,8 @@ def through_files(content: DataFrame, ending: str) -> tuple[DataFrame, DataFrame
                     out.write(bytes(data))
             yield pdf[["mesh_id"]]
 
-    settle(content.mapInPandas(put, "mesh_id string"), "written")
+    with small_batches(spark, MESHES):  # a row is a whole mesh
+        settle(content.mapInPandas(put, "mesh_id string"), "written")
     name = F.regexp_extract("mesh_id", r"([^/]+)\.[^./]+$", 1)
     v, f, _ = sm.read_meshes(spark, folder)
     return v.withColumn("mesh_id", name), f.withColumn("mesh_id", name)

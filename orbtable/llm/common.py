@@ -46,14 +46,9 @@ BATCH = 1000
 
 def settle_python(df: DataFrame, label: str) -> DataFrame:
     """`settle` for a Python stage over whole texts, in batches of BATCH rows at most: a batch is held by
-    Spark outside its heap, by Arrow and by pandas at once. The session's setting is put back."""
-    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
-    try:
+    Spark outside its heap, by Arrow and by pandas at once."""
+    with session.small_batches(df.sparkSession, BATCH):
         return settle(df, label)
-    finally:
-        spark.conf.set(name, before)
 
 
 def free_name(df: DataFrame, base: str) -> str:
