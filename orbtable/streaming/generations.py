@@ -2,109 +2,68 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
 
-#: Rows of one key and batch kept in memory before they go to the state store.
-BUFFER = 4096
+from orbtable.session import write_plain
 
 
-class Generations(StatefulProcessor):
-    """State per (key, salt): the newest generation, results that wait for one, and the time it ends.
+def tagged(results: DataFrame, moves: DataFrame, key: str, generation: str, clock: str | None = None) -> DataFrame:
+    """One stream (key, at, moved, row) of both: microseconds if there is a clock, and either the number of a generation or a result.
 
-    Rows are (ms, moved, row): a time if there is a clock, and either the number of a generation or a result. All of a batch's moves count
-    before its results, so a result on its way when the generation moves is dropped.
+    Rows with a null key or generation are dropped.
     """
+    at = F.lit(None).cast("bigint") if clock is None else F.unix_micros(F.col(clock).cast("timestamp"))
+    mine = results.where(F.col(key).isNotNull() & F.col(generation).isNotNull()).select(
+        F.col(key).alias("key"), at.alias("at"), F.lit(None).cast("bigint").alias("moved"), F.struct(*results.columns).alias("row"))
+    moved = moves.where(F.col(key).isNotNull() & F.col("current").isNotNull()).select(
+        F.col(key).alias("key"), at.alias("at"), F.col("current").cast("bigint").alias("moved"), F.lit(None).cast(results.schema).alias("row"))
+    return mine.unionByName(moved)
 
-    def __init__(self, schema: StructType, generation: str, expire_ms: int):
-        self.schema, self.generation, self.expire_ms = schema, generation, expire_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        number = StructType([StructField("n", LongType())])
-        self.current = handle.getValueState("current", number)
-        self.ends = handle.getValueState("ends", number)
-        self.waiting = handle.getListState("waiting", self.schema)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = self.current.get() if self.current.exists() else None
-        newest, buffer, last = known[0] if known else None, [], None
-        names = self.schema.fieldNames()
-        for r in rows:
-            if r["ms"] is not None:
-                last = r["ms"] if last is None else max(last, r["ms"])
-            if r["moved"] is not None:
-                newest = r["moved"] if newest is None else max(newest, r["moved"])
-            elif r["row"] is not None and r["row"][self.generation] is not None:
-                buffer.append(tuple(r["row"][n] for n in names))
-                if len(buffer) >= BUFFER:
-                    self.waiting.appendList(buffer)
-                    buffer = []
-        if last is not None:
-            self._put_off(last + self.expire_ms)
-        if newest is None:
-            if buffer:
-                self.waiting.appendList(buffer)
-            return
-        if not known or newest != known[0]:
-            self.current.update((newest,))
-        named, at = Row(*names), names.index(self.generation)
-        if self.waiting.exists():
-            for row in self.waiting.get():
-                if row[at] >= newest:
-                    yield named(*row)
-            self.waiting.clear()
-        for row in buffer:
-            if row[at] >= newest:
-                yield named(*row)
-
-    def _put_off(self, end: int) -> None:
-        """A key's timer is moved to `end`, never back."""
-        if self.ends.exists():
-            before = self.ends.get()[0]
-            if before >= end:
-                return
-            self.handle.deleteTimer(before)
-        self.ends.update((end,))
-        self.handle.registerTimer(end)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        for state in (self.current, self.waiting, self.ends):
-            state.clear()
-        return iter(())
+class Generations:
+    """What a job knows after each batch, as three tables under `home`.
 
-    def close(self) -> None:
-        pass
-
-
-def not_stale(
-    results: DataFrame, moves: DataFrame, key: str, generation: str, clock: str | None = None,
-    expire_ms: int = 86_400_000, delay: str = "1 hour", salts: int = 8,
-) -> DataFrame:
-    """Stream of the results whose generation is at least the key's current one when they are handled.
-
-    `moves` is a stream of (key, current): the numbers of started generations, in any order; the largest
-    counts. A result of a key without a generation waits for the first. Without `clock` state has no end. With
-    it, a timestamp column of both streams, a key's state, waiting results included, ends once the watermark (the
-    newest time less `delay`) is `expire_ms` past the key's last row, and rows behind the watermark are dropped.
-    Rows with a null key or generation are dropped. A key's results are dealt to `salts` groups, its moves to
-    each of them, so a hot key is not one group. Needs the RocksDB state store (see `jobs.drain`).
+    keys(key, current, last): newest generation, if any, and time of the last row; waiting(key, row): results of keys
+    without a generation; clock(watermark). A batch reads what its predecessor wrote and writes them anew beside it, so
+    one that was cut off starts again from the same tables. All of it is joins by key: no key is a group of its own.
     """
-    spread = lambda salt: (F.col(key).alias("key"), salt.cast("int").alias("salt"))
-    none = lambda ddl: F.lit(None).cast(ddl)
-    when = [none("bigint").alias("ms")] if clock is None else [F.unix_millis(clock).alias("ms"), F.col(clock).alias("at")]
-    mine = results.where(F.col(key).isNotNull()).select(
-        *spread(F.pmod(F.xxhash64(*results.columns), F.lit(salts))), *when,
-        none("bigint").alias("moved"), F.struct(*results.columns).alias("row"))
-    moved = moves.where(F.col(key).isNotNull() & F.col("current").isNotNull()).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(
-        *spread(F.col("_salt")), *when, F.col("current").cast("bigint").alias("moved"), none(results.schema).alias("row"))
-    both = mine.unionByName(moved)
-    if clock is not None:
-        both = both.withWatermark("at", delay)
-    return both.groupBy("key", "salt").transformWithState(
-        Generations(results.schema, generation, expire_ms), results.schema, "Append", "None" if clock is None else "EventTime")
+
+    def __init__(self, spark: SparkSession, home: str, generation: str, clock: str | None, expire_ms: int, delay: str):
+        self.spark, self.home, self.generation, self.clock, self.expire_ms, self.delay = spark, home, generation, clock, expire_ms, delay
+
+    def _table(self, name: str, batch: int) -> str:
+        return f"{self.home}/known/slot={batch % 2}/{name}"
+
+    def _before(self, name: str, batch: int, schema) -> DataFrame:
+        """A table as the batch before left it; empty before the first."""
+        if batch == 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._table(name, batch - 1))
+
+    def _after(self, name: str, batch: int, df: DataFrame) -> DataFrame:
+        write_plain(df, self._table(name, batch), "overwrite")
+        return self.spark.read.schema(df.schema).parquet(self._table(name, batch))
+
+    def judge(self, df: DataFrame, batch: int) -> DataFrame:
+        """The results of a batch, and of those before that waited, that are not stale.
+
+        All of a batch's moves count before its results, so a result on its way when the generation moves is dropped.
+        """
+        # the session of a running stream plans without adaptive joins, which split the rows of a hot key
+        arrived, end = self._after("arrived", batch, df), F.lit(None).cast("bigint")
+        if self.clock is not None:
+            was = self._before("clock", batch, "watermark bigint")
+            past = was.agg(F.max("watermark")).first()[0]
+            arrived = arrived.where(F.col("at").isNull() | (F.col("at") > past)) if past is not None else arrived
+            top = arrived.select(F.unix_micros(F.timestamp_micros(F.max("at")) - F.expr(f"INTERVAL {self.delay}")).alias("watermark"))
+            now = self._after("clock", batch, was.unionByName(top).agg(F.max("watermark").alias("watermark")))
+            end = F.lit(now.first()[0]).cast("bigint") - self.expire_ms * 1000
+        news = arrived.select("key", F.col("moved").alias("current"), F.col("at").alias("last"))
+        keys = self._before("keys", batch, news.schema).unionByName(news).groupBy("key").agg(F.max("current").alias("current"), F.max("last").alias("last"))
+        known = self._after("judged_by", batch, keys)  # with those that end with this batch
+        kept = self._after("keys", batch, known.where(F.coalesce(F.col("last") > end, F.lit(True))))
+        rows = arrived.where("row IS NOT NULL").select("key", "row")
+        rows = self._before("waiting", batch, rows.schema).unionByName(rows)
+        self._after("waiting", batch, rows.join(kept.where("current IS NULL"), "key", "left_semi"))
+        return rows.join(known.where("current IS NOT NULL"), "key").where(F.col("row")[self.generation] >= F.col("current")).select("row.*")

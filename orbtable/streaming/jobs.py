@@ -14,11 +14,7 @@ from pyspark.sql import functions as F
 from orbtable.functions.spectral import angle_cos, angle_sin
 from orbtable.operators import spectral as sp
 from orbtable.session import scratch_path, settle
-from orbtable.streaming.generations import not_stale
-
-#: The state store of jobs with states of their own.
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from orbtable.streaming.generations import Generations, tagged
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,27 +23,19 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def drain(stream: DataFrame, per_batch, mode: str = "append", home: str | None = None, store: str | None = None) -> DataFrame:
-    """Run a stream over what is available; per_batch(df) is written under its batch id, and all batches read back.
-
-    `store` is the state store of this job alone; the session's setting is put back once the job has started.
-    """
+def drain(stream: DataFrame, per_batch, mode: str = "append", home: str | None = None) -> DataFrame:
+    """Run a stream over what is available; per_batch(df, id) is written under its batch id, and all batches read back."""
     spark = stream.sparkSession
     home = home or scratch_path(spark, "stream")
     out = f"{home}/out"
 
     def write(df: DataFrame, batch: int) -> None:
-        per_batch(df).write.mode("overwrite").parquet(f"{out}/batch={batch}")
-
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, store or before)
-    try:
-        query = (
-            stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/state")
-            .trigger(availableNow=True).foreachBatch(write).start()
-        )
-    finally:
-        spark.conf.set(PROVIDER, before)
+        per_batch(df, batch).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    query = (
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/state")
+        .trigger(availableNow=True).foreachBatch(write).start()
+    )
     query.awaitTermination()
     return spark.read.option("basePath", out).parquet(out)
 
@@ -58,25 +46,33 @@ def latest_wins(requests: DataFrame, key: str, order: list[str], payload: list[s
     The state is one row per key and is kept: a key's standing request has no end.
     """
     newest = requests.groupBy(key).agg(F.max(F.struct(*order, *payload)).alias("m"))
-    done = drain(newest, lambda df: df.select(key, "m.*"), "update", home)
+    done = drain(newest, lambda df, _: df.select(key, "m.*"), "update", home)
     return done.groupBy(key).agg(F.max(F.struct("batch", *order, *payload)).alias("m")).select(key, *[f"m.{c}" for c in payload])
 
 
 def stale_drop(
-    results: DataFrame, moves: DataFrame, key: str, generation: str, home: str | None = None, **ends,
+    results: DataFrame, moves: DataFrame, key: str, generation: str, home: str | None = None,
+    clock: str | None = None, expire_ms: int = 86_400_000, delay: str = "1 hour",
 ) -> DataFrame:
-    """Results of an older generation than the key's current one are discarded. Only the generation counts, not the time.
+    """Results whose generation is at least the key's current one when they are handled. Only the generation counts, not the time.
+
+    Both are streams: `moves` has (key, current), the numbers of started generations, in any order; the largest counts. A
+    generation that moves during the run, or between two runs with the same `home`, drops what is still on its way. A
+    result of a key without a generation waits for the first. Results already written stay.
 
-    Both are streams: a generation that moves during the run, or between two runs with the same `home`,
-    drops what is still on its way. `ends` says when the state of a silent key ends (see `not_stale`). Results already written stay.
+    Without `clock` state has no end. With it, a timestamp column of both streams, a key's state, waiting results included,
+    ends once the watermark (the newest time less `delay`) is `expire_ms` past the key's last row, and rows behind the
+    watermark are dropped.
     """
-    return drain(not_stale(results, moves, key, generation, **ends), lambda df: df, home=home, store=ROCKSDB).drop("batch")
+    home = home or scratch_path(results.sparkSession, "stream")
+    known = Generations(results.sparkSession, home, generation, clock, expire_ms, delay)
+    return drain(tagged(results, moves, key, generation, clock), known.judge, home=home).drop("batch")
 
 
 def filter_apply(specs: DataFrame, power: DataFrame, lmax: int, home: str | None = None) -> DataFrame:
     """Re-weight fixed spectra for every incoming filter spec: the stream meets a table that is written once."""
     power = settle(power, "power")
-    return drain(specs, lambda df: sp.filter_report(power, sp.gains_for(df, lmax), lmax), home=home).drop("batch")
+    return drain(specs, lambda df, _: sp.filter_report(power, sp.gains_for(df, lmax), lmax), home=home).drop("batch")
 
 
 def stream_ring_sums(cells: DataFrame, nphi: int, mmax: int, delay: str = "1 hour", home: str | None = None) -> DataFrame:
@@ -91,7 +87,7 @@ def stream_ring_sums(cells: DataFrame, nphi: int, mmax: int, delay: str = "1 hou
         sums.append(F.sum(F.col("value") * angle_sin(F.lit(m), F.col("j"), nphi)).alias(f"s{m}"))
     agg = cells.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("win"), "field_id", "i").agg(*sums)
     day = F.date_format("win.start", "yyyy-MM-dd").alias("window_day")
-    return drain(agg, lambda df: df.select(day, "field_id", "i", *[c for c in df.columns if c not in ("win", "field_id", "i")]), home=home).drop("batch")
+    return drain(agg, lambda df, _: df.select(day, "field_id", "i", *[c for c in df.columns if c not in ("win", "field_id", "i")]), home=home).drop("batch")
 
 
 def stream_spectrum(cells: DataFrame, nlat: int, nphi: int, lmax: int, home: str | None = None) -> DataFrame:

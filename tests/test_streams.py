@@ -84,3 +84,19 @@ def test_more_results_than_the_buffer(spark, tmp_path):
     add("moves", [("hot", 1)])
     got = jobs.stale_drop(*streams(), "key", "gen")
     assert sorted(r["n"] for r in got.collect()) == [n for n in range(60_000) if n % 3 >= 1]
+
+
+def test_state_is_a_row_per_key(spark, tmp_path):
+    """Many keys over two runs: what is known is one row a key and joined, whatever the number of keys."""
+    home = scratch_path(spark, "many")
+    results = spark.range(40_000).select((F.col("id") % 20_000).alias("key"), (F.col("id") % 7).alias("gen"), F.col("id").alias("n"))
+    moves = spark.range(10_000).select(F.col("id").alias("key"), (F.col("id") % 5).alias("current"))
+    streams = lambda: [spark.readStream.schema(d.schema).parquet(str(tmp_path / k)) for k, d in (("results", results), ("moves", moves))]
+    for half in (0, 1):
+        results.where(F.col("n") % 2 == half).coalesce(1).write.mode("append").parquet(str(tmp_path / "results"))
+        moves.where(F.col("key") % 2 != half).coalesce(1).write.mode("append").parquet(str(tmp_path / "moves"))
+        got = jobs.stale_drop(*streams(), "key", "gen", home)
+    want = results.join(moves, "key").where("gen >= current").select("n")
+    assert got.select("n").exceptAll(want).count() == want.exceptAll(got.select("n")).count() == 0
+    assert spark.read.parquet(f"{home}/known/slot=1/keys").count() == 20_000
+    assert spark.read.parquet(f"{home}/known/slot=1/waiting").count() == 20_000  # of the keys that have no generation
