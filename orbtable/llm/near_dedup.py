@@ -10,9 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbtable.llm.common import attach_groups, body, components, documents, for_python, from_python, row_print, settle, worker_memo
+from orbtable.llm.common import (
+    BATCH, attach_groups, body, components, documents, for_python, from_python, row_print, settle, settle_python, worker_memo,
+)
 from orbtable.llm.exchange import mix
 from orbtable.llm.wordsplit import Memo
+from orbtable.session import small_batches
 
 #: Registers of a sketch, and registers of a band: BANDS keys of ROWS registers each. Two sets of
 #: similarity 0.8 miss each other in every band with probability (1 - 0.8**4)**32 < 5e-8.
@@ -232,7 +235,7 @@ def near_copies(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
     doc_id is one document with every text it has; a null doc_id never names a component, and a
     component without ids has null, its rows counting as kept.
     """
-    prints = settle(sketches(docs, width), "sketches")
+    prints = settle_python(sketches(docs, width), "sketches")
     nodes = settle(prints.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.count("*").alias("size")), "nodes")
     total = prints.count()
     shown = settle(prints.where("node IS NOT NULL").join(nodes.select("node", "row"), ["node", "row"], "left_semi").dropDuplicates(["node"]).select("node", "row", "n_shingles", "registers"), "shown")
@@ -266,7 +269,9 @@ def near_copies(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
         on = np.flatnonzero(np.array(found) != np.arange(len(found)))
         return pd.DataFrame({"a": group["node"].take(np.array(found)[on]).to_numpy(), "b": group["node"].take(on).to_numpy()})
 
-    strict = components(paired.select("component", "low", "high", "node", "shingles").groupBy("component", "low", "high").applyInPandas(link, "a binary, b binary"))
+    linked = paired.select("component", "low", "high", "node", "shingles").groupBy("component", "low", "high").applyInPandas(link, "a binary, b binary")
+    with small_batches(docs.sparkSession, BATCH):  # texts pass Python once more
+        strict = components(linked)
     named = nodes.join(strict, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     nodes_ = settle(named.join(smallest, "component").select("node", "size", "component_id"), "named")

@@ -32,3 +32,20 @@ def test_pieces_do_not_depend_on_batches(spark, monkeypatch):
     got = rows()
     assert got == want
     assert sum(r[2] for r in got) == sum({r[0]: r[4] for r in got}.values())
+
+
+def test_near_copies_read_texts_in_bounded_batches(spark, monkeypatch):
+    from orbtable.llm import near_dedup
+
+    seen, plain = {}, common.session.settle
+
+    def spy(df, label="step", packed=False):
+        seen.setdefault(label, []).append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return plain(df, label, packed)
+
+    monkeypatch.setattr(common.session, "settle", spy)
+    words = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(i, f"{words} x{i % 3}") for i in range(30)], "doc_id long, text string").coalesce(2)
+    got = near_dedup.near_copies(docs).collect()
+    assert len(got) == 30 and {r["component_id"] for r in got} == {0}
+    assert seen["sketches"] == [common.BATCH] and common.BATCH in seen["edges"]
