@@ -39,3 +39,13 @@ def test_icosphere_rounds_start_from_tables_of_known_size(spark, monkeypatch):
     configs = spark.range(500, numPartitions=2).select(F.col("id").cast("string").alias("mesh_id"), F.lit(1).alias("subdiv"))
     gen.icosphere(configs)
     assert seen[0] >= 500 * 20 * 4 * 8 and seen[1] >= 500 * 12 * 4 * 8
+
+
+def test_overlap_of_triangle_sets_moves_every_triangle_once(spark):
+    from orbtable.operators.mesh import triangle_set_overlap
+
+    one = spark.createDataFrame([("m", 0, 1, 2), ("m", 2, 0, 1), ("m", 1, 2, 3), ("n", 0, 1, None)], "mesh_id string, a long, b long, c long")
+    two = spark.createDataFrame([("m", 1, 0, 2), ("m", 4, 5, 6), ("n", 0, 1, None), ("n", 0, 1, 1)], "mesh_id string, a long, b long, c long")
+    out = triangle_set_overlap(one, two)
+    assert sorted(map(tuple, out.collect())) == [("m", 1, 2, 2, 0.5), ("n", 1, 1, 2, 0.5)]
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 2
