@@ -13,6 +13,7 @@ from orbtable.catalog.sqlkit import (
 from orbtable.functions import spectral as fs
 from orbtable.functions.text import filter_label, format_value
 from orbtable.operators import grids, rank, spectral as sp
+from orbtable.session import settle
 from orbtable.sources import generate, sinks
 
 NLAT, NPHI, LMAX = B.E_NLAT, B.E_NPHI, B.E_LMAX
@@ -24,8 +25,11 @@ def coeffs(spark, sf):
 
 
 def part_specs(spark: SparkSession, sf: str) -> DataFrame:
-    """One filter spec per part: the sweep grows with the table."""
-    p = B.table(spark, sf, "part")
+    """One filter spec per part: the sweep grows with the table.
+
+    A small file of parts means many gains, so the specs are dealt to as many tasks as any shuffle.
+    """
+    p = B.table(spark, sf, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     kinds = F.array(*[F.lit(k) for k in ("none", "hard", "fraction", "trapeziform", "gaussian")])
     return p.select(
         F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("spec_id"),
@@ -165,7 +169,8 @@ def _(spark, sf):
 @register("gain_join", EV + "," + specs_cte() + "," + gains_cte(LMAX) + f"""SELECT c.field_id, g.spec_id, c.comp, c.l, c.m,
   {rnd('c.re*g.g', 're')}, {rnd('c.im*g.g', 'im')} FROM coeffs c JOIN gains g ON g.l = c.l""")
 def _(spark, sf):
-    return sp.apply_gains(coeffs(spark, sf), sp.gains_for(part_specs(spark, sf), LMAX))
+    """Spectra are written first, so that the planner knows them to be few: a degree is no key to share work by."""
+    return sp.apply_gains(settle(coeffs(spark, sf), "coeffs"), sp.gains_for(part_specs(spark, sf), LMAX))
 
 
 @register("filter_report", EV + "," + specs_cte() + "," + gains_cte(LMAX) + f"""SELECT p.field_id, g.spec_id,

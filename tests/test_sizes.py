@@ -49,3 +49,13 @@ def test_overlap_of_triangle_sets_moves_every_triangle_once(spark):
     out = triangle_set_overlap(one, two)
     assert sorted(map(tuple, out.collect())) == [("m", 1, 2, 2, 0.5), ("n", 1, 1, 2, 0.5)]
     assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 2
+
+
+def test_specs_of_a_small_file_are_dealt_to_all_tasks(spark, sf):
+    from orbtable.catalog import QUERIES, load
+    from orbtable.catalog.fields import part_specs
+
+    load()
+    assert part_specs(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    joined = QUERIES["gain_join"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in joined
