@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,8 @@ from orbtable.llm.common import documents, for_python, settle
 from orbtable.llm.exchange import BLOCK_BYTES, NOBODY, answers, ask, beside, block_ids, mix, shards_for, squeeze, squeeze_ints, swell, swell_ints
 
 CORE = 20
-#: Windows hashed at a time, so that a very long text needs no more memory than a short one.
+#: Windows hashed at a time: short texts together, so that each is not a call of its own, and a very long one in
+#: parts, so that it needs no more memory.
 SLICE = 1 << 18
 
 
@@ -46,7 +48,7 @@ def buckets_of(raw, a: int, windows: int, length: int, sizes: tuple[int, ...]) -
     """Buckets of `sizes` bytes of the suffixes from `a` that the windows of `length` bytes touch."""
     part = bytes(raw[a:a + windows + length - 1])
     level, have, out = np.ndarray((len(part) - 7,), "<u8", part, 0, (1,)).copy(), 8, {}
-    for want in sorted({*sizes, *(q for q in (16, 32) if q < length)}):
+    for want in sorted({*sizes, *(q for q in (16, 32) if q < max(sizes))}):
         if want <= 2 * have:
             got = refine(level, have, want)
         else:
@@ -66,19 +68,42 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:len(values) - (width - k)], values[width - k:]) if k < width else values
 
 
-def runs_of(raw, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and core bucket of each run of a document."""
-    total = len(raw) - length + 1
-    first, number, core = [], [], []
-    for a in range(0, max(0, total), SLICE):
-        n = min(SLICE, total - a)
-        m = least(buckets_of(raw, a, n, length, (CORE,))[0], length - CORE + 1)
-        start = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
-        first.append(start + a)
-        number.append(np.diff(np.append(start, n)))
-        core.append(m[start])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(first), np.concatenate(number), np.concatenate(core)) if first else (none, none, none.astype(np.uint64))
+def parts_of(sizes: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """Texts one after the other, in parts to hash at once: first text, last but one, first window and windows.
+
+    Short texts come together and with all windows that begin before the last `length` - 1 bytes, also those that
+    reach into the next text; a text of more than SLICE bytes comes alone, SLICE windows at a time.
+    """
+    i, ends = 0, np.append(0, np.cumsum(sizes))
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICE, side="right")) - 1)
+        total = int(ends[j] - ends[i]) - length + 1
+        step = SLICE if j == i + 1 else max(1, total)
+        for a in range(0, max(0, total), step):
+            yield i, j, a, min(step, total - a)
+        i = j
+
+
+def runs_of(raw, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document number, first window, number of windows and core bucket of each run of documents one after the other."""
+    begin = np.cumsum(sizes) - sizes
+    out = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
+    for i, j, a, n in parts_of(sizes, length):
+        m = least(buckets_of(raw, int(begin[i]) + a, n, length, (CORE,))[0], length - CORE + 1)
+        # windows of a document lie between `low` and `high`, those after them reach into the next one
+        low = np.maximum(begin[i:j] - begin[i] - a, 0)
+        high = np.minimum(begin[i:j] - begin[i] + sizes[i:j] - length + 1 - a, n)
+        some = high > low
+        doc, low, high = np.flatnonzero(some) + i, low[some], high[some]
+        new = np.append(True, m[1:] != m[:-1])
+        new[low] = True
+        gaps = np.append(low, n) - np.append(0, high)
+        new &= np.repeat(np.arange(2 * len(doc) + 1) % 2 > 0, np.append(np.stack([gaps[:-1], high - low], 1).ravel(), gaps[-1]))
+        start = np.flatnonzero(new)
+        of = np.searchsorted(low, start, side="right") - 1
+        stop = np.minimum(np.append(start[1:], n), high[of])
+        out.append((doc[of], start + a - (begin[doc[of]] - begin[i]), stop - start, m[start]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def byte_blocks(docs: DataFrame) -> DataFrame:
@@ -113,20 +138,19 @@ def texts_of(row) -> Iterator[tuple[object, memoryview]]:
 
 def smallest(keys: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in rising order with the least rank of each."""
-    order = np.lexsort((ranks, keys))
+    order = np.argsort(keys)
     keys = keys[order]
-    new = np.append(True, keys[1:] != keys[:-1])[:len(keys)]
-    return keys[new], ranks[order][new]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
+    return keys[at], np.minimum.reduceat(ranks[order], at) if len(at) else ranks[order]
 
 
 class Runs:
     """All runs of a block: document number, first window, windows and core bucket."""
 
     def __init__(self, row, length: int):
-        found = [runs_of(raw, length) for _, raw in texts_of(row)]
-        self.ranks = rank_of([x for x, _ in texts_of(row)])
-        self.doc = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-        self.first, self.number, self.core = (np.concatenate([f[k] for f in found]) for k in range(3))
+        sizes = swell_ints(row["lengths"]).astype(np.int64)
+        self.ranks = rank_of([None if pd.isna(x) else x for x in row["doc_ids"]])
+        self.doc, self.first, self.number, self.core = runs_of(memoryview(swell(row["body"])), sizes, length)
 
     def asked(self) -> tuple[np.ndarray, np.ndarray]:
         return smallest(self.core, self.ranks[self.doc])
@@ -166,11 +190,13 @@ class Regions:
         self.doc, self.first, self.windows, self.runs, self.number, smaller = (
             swell_ints(row[c]).astype(np.int64) for c in ("doc", "first", "windows", "runs", "number", "smaller"))
         self.smaller, self.core, self.rank = smaller > 0, np.frombuffer(row["core"], "<u8"), swell_ints(row["rank"])
-        raw, at, out = memoryview(swell(row["body"])), 0, []
-        for n in self.windows.tolist():
-            for a in range(0, n, SLICE):
-                out.append(buckets_of(raw, at + a, min(SLICE, n - a), length, (length,))[0])
-            at += n + length - 1
+        raw, sizes, out = memoryview(swell(row["body"])), self.windows + length - 1, []
+        begin = np.cumsum(sizes) - sizes
+        for i, j, a, n in parts_of(sizes, length):
+            got = buckets_of(raw, int(begin[i]) + a, n, length, (length,))[0]
+            if j > i + 1:  # without the windows that reach into the next region
+                got = got[np.repeat(np.arange(2 * (j - i)) % 2 == 0, np.stack([self.windows[i:j], np.full(j - i, length - 1)], 1).ravel())[:n]]
+            out.append(got)
         self.window = np.concatenate(out) if out else np.zeros(0, np.uint64)
         ends = np.cumsum(self.number)
         begin = ends - self.number
@@ -184,12 +210,16 @@ class Regions:
         self.run_key[far] = mix(self.run_key[far], np.add.reduceat(between, at) if len(at) else between)
         self.run_rank = np.repeat(self.rank, self.runs)
 
-    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+    @cached_property
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
         return smallest(self.run_key, self.run_rank)
 
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.keys
+
     def whole(self, known: np.ndarray) -> np.ndarray:
         """Runs that a smaller document holds as they are."""
-        return known[np.searchsorted(self.asked()[0], self.run_key)] < self.run_rank if len(known) else np.zeros(0, bool)
+        return known[np.searchsorted(self.keys[0], self.run_key)] < self.run_rank if len(known) else np.zeros(0, bool)
 
     def asked_cores(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The cores, with 1 where a run is open that a smaller document may hold in part."""
@@ -201,14 +231,14 @@ class Regions:
         needed = need[np.searchsorted(self.asked_cores(known)[0], self.core)] > 0 if len(need) else np.zeros(0, bool)
         return np.repeat(needed & ~self.whole(known), self.number)
 
-    def asked_windows(self, known: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        on = self.open(known, need)
+    def asked_windows(self, known: np.ndarray, need: np.ndarray, on: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        on = self.open(known, need) if on is None else on
         return smallest(self.window[on], np.repeat(self.run_rank, self.number)[on])
 
     def found(self, known: np.ndarray, need: np.ndarray, single: np.ndarray) -> np.ndarray:
         """Per window whether a smaller document holds it."""
         on, out = self.open(known, need), np.repeat(self.whole(known), self.number)
-        keys, _ = self.asked_windows(known, need)
+        keys, _ = self.asked_windows(known, need, on)
         if len(keys):
             out[on] = single[np.searchsorted(keys, self.window[on])] < np.repeat(self.run_rank, self.number)[on]
         return out
