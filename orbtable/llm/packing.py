@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,21 +52,31 @@ def signs(n: int, dims: int = DIMS) -> np.ndarray:
 
 
 class WordIds:
-    """Ids of a tokenizer of the word-end kind, by the library's own model for pieces not yet seen."""
+    """Ids of a tokenizer of the word-end kind, by the library's own model for pieces not yet seen.
+
+    A piece of small ASCII letters is a chunk of its own with the same ids, and is kept as such, once.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.split, model = Splitter(path), Tokenizer.from_file(path)
         self.size = model.get_vocab_size()
-        one = model.model.tokenize
-        self.pieces = Memo(lambda p: np.array([t.id for t in one(p)], "<u4").tobytes())
-        self.chunks = Memo(self._chunk)
+        self._model = model.model.tokenize
+        self.pieces, self.chunks = Memo(self._ids), Memo(self._chunk)
+
+    def _ids(self, piece: str) -> bytes:
+        got = [t.id for t in self._model(piece)]
+        return struct.pack(f"<{len(got)}I", *got)
 
     def _chunk(self, chunk: str) -> bytes:
         if chunk in self.split.specials:
             return np.array([self.split.specials[chunk]], "<u4").tobytes()
-        return b"".join(map(self.pieces.__getitem__, self.split.pieces(chunk)))
+        found = self.split.pieces(chunk)
+        if len(found) == 1 and found[0] == chunk and chunk.isascii():
+            return self._ids(chunk)
+        plain = lambda p: p.isascii() and p.isalpha() and p.islower() and p not in self.split.specials
+        return b"".join([(self.chunks if plain(p) else self.pieces)[p] for p in found])
 
     def __call__(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.chunks.__getitem__, self.split.chunks(text))), "<u4")
@@ -75,7 +86,7 @@ def word_ids(path: str) -> WordIds:
     kept = worker_memo("word_ids")
     if path not in kept:
         kept[path] = WordIds(path)
-        kept[path].signs = signs(kept[path].size)
+        kept[path].signs = np.ascontiguousarray(signs(kept[path].size).T.astype(np.int8))
     return kept[path]
 
 
@@ -95,7 +106,7 @@ def curve(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             ids, vectors = [], np.zeros((len(part), DIMS), np.float32)
             for i, text in enumerate(part["text"]):
                 got = code(text)
-                vectors[i] = code.signs[got].sum(axis=0)
+                vectors[i] = code.signs.take(got, axis=1).sum(axis=1)
                 ids.append(np.append(got, end_id).astype(kind))
             yield pd.DataFrame({"doc_id": part["doc_id"], "key": place(vectors), "n": [len(x) for x in ids],
                                 "wide": kind == "<u4", "ids": [x.tobytes() for x in ids]})

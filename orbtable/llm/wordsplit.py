@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 #: White space as the tokenizer's normalizer sees it (Unicode White_Space). Fixed values.
@@ -38,6 +39,7 @@ class Splitter:
         self._piece, self._space = regex.compile(PIECE), regex.compile(f"[{SPACE}]+")
         self._odd = regex.compile("[\x1c-\x1f]")
         self._letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self._far = re.compile("[^\x00-\u024f]").search
         self._first = next(iter(self.specials))[:2] if self.specials else None
 
     def chunks(self, text: str) -> list[str]:
@@ -57,10 +59,12 @@ class Splitter:
         if chunk.isascii() and chunk.isprintable():
             low = chunk.lower()
             return [low] if low.isalpha() else self._piece.findall(low)
-        if max(chunk) > "\u024f":  # beyond Latin, Unicode versions differ: the tokenizer's own normalizer and splitter
+        if self._far(chunk):  # beyond Latin, Unicode versions differ: the tokenizer's own normalizer and splitter
             return [p for p, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(chunk))]
-        low = "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
-        return [p.encode("utf-8").decode("latin-1").translate(self._letters) for p in self._piece.findall(low)]
+        # no letter up to U+024F changes with its neighbours, so the whole is lower-cased at once
+        low = unicodedata.normalize("NFC", chunk).lower()
+        found = [low] if low.isalpha() else self._piece.findall(low)
+        return [p if p.isascii() and p.isprintable() else p.encode("utf-8").decode("latin-1").translate(self._letters) for p in found]
 
 
 class Memo(dict):
