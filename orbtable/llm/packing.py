@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,16 +74,35 @@ class WordIds:
     def _chunk(self, chunk: str) -> bytes:
         if chunk in self.split.specials:
             return np.array([self.split.specials[chunk]], "<u4").tobytes()
-        found = self.split.pieces(chunk)
-        if len(found) == 1 and found[0] == chunk and chunk.isascii():
-            return self._ids(chunk)
-        plain = lambda p: p.isascii() and p.isalpha() and p.islower() and p not in self.split.specials
-        return b"".join([(self.chunks if plain(p) else self.pieces)[p] for p in found])
+        if chunk.isascii() and chunk.isalpha():
+            low = chunk.lower()
+            return self._ids(chunk) if low == chunk else self.chunks[low]
+        plain = lambda p: p.isascii() and p.isalpha() and p not in self.split.specials
+        return b"".join([(self.chunks if plain(p) else self.pieces)[p] for p in self.split.pieces(chunk)])
 
     def __call__(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.chunks.__getitem__, self.split.chunks(text))), "<u4")
 
 
+    def many(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text. Each distinct run between ASCII white space is looked up once for all texts."""
+        runs = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        coded = runs.values.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        ids = [self._run(r) if known is None else known for r, known in zip(distinct, map(self.chunks.get, distinct), strict=True)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, codes = np.frombuffer(b"".join(ids), "<u4"), coded.indices.to_numpy()
+        take = n[codes]
+        end = np.concatenate([[0], np.cumsum(take)])
+        out = flat[np.arange(end[-1]) + np.repeat((np.cumsum(n) - n)[codes] - end[:-1], take)]
+        cuts = end[runs.offsets.to_numpy()]
+        return (out[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+    def _run(self, run: str) -> bytes:
+        # other white space and special strings cut a run further
+        return self.chunks[run] if run.isalnum() else b"".join(map(self.chunks.__getitem__, self.split.chunks(run)))
+
+
 def word_ids(path: str) -> WordIds:
     kept = worker_memo("word_ids")
     if path not in kept:
@@ -104,8 +125,7 @@ def curve(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         kind = "<u2" if code.size <= 1 << 16 else "<u4"
         for part in parts:
             ids, vectors = [], np.zeros((len(part), DIMS), np.float32)
-            for i, text in enumerate(part["text"]):
-                got = code(text)
+            for i, got in enumerate(code.many(pa.array(part["text"], pa.large_string()))):
                 vectors[i] = code.signs.take(got, axis=1).sum(axis=1)
                 ids.append(np.append(got, end_id).astype(kind))
             yield pd.DataFrame({"doc_id": part["doc_id"], "key": place(vectors), "n": [len(x) for x in ids],

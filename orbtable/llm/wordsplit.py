@@ -10,6 +10,8 @@ import unicodedata
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Words, single digits and runs of other signs. Fixed values.
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
+#: Printable ASCII that is neither letter nor digit: as the end of a chunk one piece. Fixed values.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Entries of each of the two generations of a worker's memo.
 MEMO = 400_000
 
@@ -37,7 +39,9 @@ class Splitter:
         self.specials = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self._special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")")
         self._piece, self._space = regex.compile(PIECE), regex.compile(f"[{SPACE}]+")
-        self._odd = regex.compile("[\x1c-\x1f]")
+        self._odd = re.compile("[\x1c-\x1f]")
+        # PIECE for small printable ASCII without white space
+        self._plain_piece = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
         self._letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self._far = re.compile("[^\x00-\u024f]").search
         self._first = next(iter(self.specials))[:2] if self.specials else None
@@ -54,16 +58,23 @@ class Splitter:
             return [c for c in self._space.split(text) if c]
         return text.split()
 
+    @staticmethod
+    def _cut(low: str, piece) -> list[str]:
+        """Pieces of a small chunk: most are a word, or a word and signs."""
+        word = low.rstrip(SIGNS)
+        if word.isalpha():
+            return [low] if len(word) == len(low) else [word, low[len(word):]]
+        return piece.findall(low)
+
     def pieces(self, chunk: str) -> list[str]:
         """Normalised pieces of a chunk, each byte as its letter."""
         if chunk.isascii() and chunk.isprintable():
-            low = chunk.lower()
-            return [low] if low.isalpha() else self._piece.findall(low)
+            return self._cut(chunk.lower(), self._plain_piece)
         if self._far(chunk):  # beyond Latin, Unicode versions differ: the tokenizer's own normalizer and splitter
             return [p for p, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(chunk))]
         # no letter up to U+024F changes with its neighbours, so the whole is lower-cased at once
         low = unicodedata.normalize("NFC", chunk).lower()
-        found = [low] if low.isalpha() else self._piece.findall(low)
+        found = self._cut(low, self._piece)
         return [p if p.isascii() and p.isprintable() else p.encode("utf-8").decode("latin-1").translate(self._letters) for p in found]
 
 

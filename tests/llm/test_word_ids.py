@@ -2,6 +2,7 @@
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from orbtable.llm import packing
@@ -25,3 +26,16 @@ def test_projection_of_a_long_text_is_the_sum_of_its_signs(spark):
     words = packing.WordIds(WORD)
     rows = packing.signs(words.size).astype(np.int64)[words(text)].sum(axis=0).astype(np.float32)
     assert got["1"] == packing.place(rows[None])[0] and got["2"] == packing.place(np.zeros((1, 4), np.float32))[0]
+
+
+def test_a_run_is_looked_up_once_for_all_texts():
+    words, library = packing.WordIds(WORD), Tokenizer.from_file(WORD)
+    texts = ["x<|endoftext|>y  <|endoftext|>", "harbour, Harbour.\n harbour", "", "  a\x1cb\xa0c\x85 ñandú### l'été don't's",
+             "Σίσυφος ΣΑΣ “日本” İ 3²½ ٣", "harbour, <x> a|b >|>", "e\u0301 \x00 \x7f\u2003z ²³"]
+    asked, plain = [], words.split.chunks
+    words.split.chunks = lambda t: asked.append(t) or plain(t)
+    for _ in range(2):
+        got = [ids.tolist() for ids in words.many(pa.array(texts))]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked.count("harbour,") == 1
+    assert [ids.tolist() for ids in words.many(pa.array(["", ""]))] == [[], []] and not list(words.many(pa.array([], pa.string())))
