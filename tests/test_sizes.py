@@ -59,3 +59,18 @@ def test_specs_of_a_small_file_are_dealt_to_all_tasks(spark, sf):
     assert part_specs(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     joined = QUERIES["gain_join"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" not in joined
+
+
+def test_symmetric_matrices_are_summed_by_one_half(spark):
+    from orbtable.operators import matrices as mx
+
+    faces = spark.createDataFrame([("m", 0, 0, 1, 2), ("m", 1, 2, 1, 3), ("n", 0, 5, 5, 4)], "mesh_id string, f long, a long, b long, c long")
+    want = {}
+    for m, _, a, b, c in faces.collect():
+        for u, w in ((a, b), (b, c), (c, a)):
+            for r, k, x in ((u, w, 0.5), (w, u, 0.5), (u, u, -0.5), (w, w, -0.5)):
+                want[m, r, k] = want.get((m, r, k), 0.0) + x
+    out = mx.tutte_laplacian(faces)
+    assert sorted(map(tuple, out.collect())) == sorted((*k, v) for k, v in want.items())
+    raw = mx._edge_matrix(faces, *[F.lit(0.5)] * 3)
+    assert raw.count() == 6 * faces.count() and not raw.where("row > col").count()
