@@ -74,3 +74,19 @@ def test_symmetric_matrices_are_summed_by_one_half(spark):
     assert sorted(map(tuple, out.collect())) == sorted((*k, v) for k, v in want.items())
     raw = mx._edge_matrix(faces, *[F.lit(0.5)] * 3)
     assert raw.count() == 6 * faces.count() and not raw.where("row > col").count()
+
+
+def first_aggregation(df):
+    """The plan from the first aggregation down."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan[plan.rindex("Aggregate"):]
+
+
+def test_both_directions_of_an_edge_meet_as_one(spark):
+    from orbtable.operators import mesh as mo
+
+    faces = spark.createDataFrame([("m", 0, 0, 1, 2), ("m", 1, 2, 1, 3), ("n", 0, 5, 5, 4)], "mesh_id string, f long, a long, b long, c long")
+    out = mo.undirected(mo.half_edges(faces), "u", "w")
+    want = {(m, *e) for m, _, a, b, c in faces.collect() for u, w in ((a, b), (b, c), (c, a)) for e in ((u, w), (w, u))}
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert "least" in first_aggregation(out)
