@@ -149,7 +149,12 @@ def local_delaunay_ring(points: DataFrame, knn: DataFrame) -> DataFrame:
 
 def ring_minus_self(rings: DataFrame) -> DataFrame:
     """Vertices of every local ring without its centre."""
-    return rings.select("cloud_id", "p", F.explode(F.array("a", "b", "c")).alias("u")).where("u <> p").distinct()
+    pairs = rings.select("cloud_id", "p", F.explode(F.array("a", "b", "c")).alias("u")).where("u <> p")
+    # the two directions of a pair share a row of the aggregation, with a bit each
+    way = pairs.groupBy("cloud_id", F.least("p", "u").alias("lo"), F.greatest("p", "u").alias("hi")).agg(
+        F.bit_or(F.when(F.col("p") < F.col("u"), 1).otherwise(2)).alias("way"))
+    up, down = (F.array(F.struct(F.col(a).alias("p"), F.col(b).alias("u"))) for a, b in (("lo", "hi"), ("hi", "lo")))
+    return way.select("cloud_id", F.inline(F.when(F.col("way") == 1, up).when(F.col("way") == 2, down).otherwise(F.concat(up, down))))
 
 
 def induced_mesh(rings: DataFrame) -> DataFrame:

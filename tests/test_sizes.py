@@ -90,3 +90,12 @@ def test_both_directions_of_an_edge_meet_as_one(spark):
     want = {(m, *e) for m, _, a, b, c in faces.collect() for u, w in ((a, b), (b, c), (c, a)) for e in ((u, w), (w, u))}
     assert sorted(map(tuple, out.collect())) == sorted(want)
     assert "least" in first_aggregation(out)
+
+
+def test_both_directions_of_a_ring_meet_as_one(spark):
+    from orbtable.operators import cloud as cl
+
+    rings = spark.createDataFrame([("k", 1, 1, 2, 3), ("k", 2, 2, 1, 3), ("k", 2, 2, 3, 4), ("k", 3, 3, None, 3)], "cloud_id string, p long, a long, b long, c long")
+    out = cl.ring_minus_self(rings)
+    assert sorted(map(tuple, out.collect())) == [("k", 1, 2), ("k", 1, 3), ("k", 2, 1), ("k", 2, 3), ("k", 2, 4)]
+    assert "least" in first_aggregation(out)
