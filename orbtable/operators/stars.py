@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from orbtable.functions.vec import unit_columns, vec
 from orbtable.operators.spatial import knn_join
-from orbtable.session import settle
+from orbtable.session import settle, small_batches
 
 _POINTS = "ids array<bigint>, xs array<double>, ys array<double>, zs array<double>"
 #: Rows of the exchange: a star, a triangle that the receiver should have, a point that it should know.
 STAR, CLAIM, WITNESS = 0, 1, 2
 #: Padded candidates handled at once.
 _BLOCK = 1 << 20
+#: Stars with their messages that a task holds in Python at a time.
+_STARS = 1000
 #: Directions nearer to each other than this are one point.
 APART = 1e-7
 
@@ -200,7 +202,8 @@ def splay(points: DataFrame, k: int = 12, jitter: float = 1e-9) -> DataFrame:
     none = [F.array().cast(t).alias(c) for c, t in (("ids", "array<bigint>"), ("xs", "array<double>"), ("ys", "array<double>"), ("zs", "array<double>"))]
     stars = moved.select("cloud_id", "p", "x", "y", "z", *none)
     while True:
-        said = settle(_round(stars, messages), "splay")
+        with small_batches(stars.sparkSession, _STARS):
+            said = settle(_round(stars, messages), "splay")
         new = said.where(F.col("kind") == STAR)
         rings = stars.select("cloud_id", "p", "x", "y", "z").join(new.drop("kind", "changed"), ["cloud_id", "p"])
         stars = settle(rings.unionByName(stars.join(new.select("cloud_id", "p"), ["cloud_id", "p"], "left_anti")), "stars")

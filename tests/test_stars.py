@@ -82,3 +82,13 @@ def test_large_cloud(spark):
     df = df.select("cloud_id", "p", (r * F.cos("t")).alias("x"), (r * F.sin("t")).alias("y"), "z")
     got = stars.closure(df, stars.sphere_mesh(df)).first()
     assert (got["n"], got["nf"], got["euler"]) == (n, 2 * n - 4, 2)
+
+
+def test_stars_pass_python_in_small_batches(spark, monkeypatch):
+    name, seen, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", [], stars.settle
+    before = spark.conf.get(name)
+    monkeypatch.setattr(stars, "settle", lambda df, label="step": seen.append((label, int(spark.conf.get(name)))) or plain(df, label))
+    pts = list(enumerate(np.random.default_rng(5).normal(size=(12, 3))))
+    faces = stars.sphere_mesh(table(spark, {"k": pts}), 6).collect()
+    assert {(f["a"], f["b"], f["c"]) for f in faces} == brute_hull(pts)
+    assert {n for label, n in seen if label == "splay"} == {1000} and spark.conf.get(name) == before
