@@ -1,6 +1,7 @@
 """The multilevel solver against dense solutions, its convergence on a mesh, and its signs of failure."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from orbtable.operators import iterate as it, matrices as mx, multilevel as ml
@@ -53,3 +54,33 @@ def test_one_task_against_numpy():
     b = rng.normal(size=30)
     np.testing.assert_allclose(ml.pcg_arrays(row, col, a.ravel(), b), np.linalg.solve(a, b), rtol=1e-8)
     assert np.isnan(ml.pcg_arrays(row, col, -a.ravel(), b)).all() and not ml.pcg_arrays(row, col, a.ravel(), 0 * b).any()
+
+
+def test_a_mesh_without_harmonic_map_gets_the_uniform_one(spark):
+    """One mesh of two has a corner at infinity, so its cotangent system has no solution; it must not end up at the pole."""
+    v, f, _ = sphere_mesh(spark, 4, 6)
+    torn = v.select(F.lit("torn").alias("mesh_id"), "v", *[F.when(F.col("v") == 3, F.lit(float("inf"))).otherwise(F.col(c)).alias(c) for c in "xyz"])
+    both, faces = v.unionByName(torn), f.unionByName(f.withColumn("mesh_id", F.lit("torn")))
+    big = both.select("mesh_id").distinct().withColumn("f", F.lit(20).cast("bigint"))
+    got = it.harmonic_map(both, faces, big).toPandas().sort_values(["mesh_id", "v"])
+    want = it.tutte_map(v, f, big.where("mesh_id = 'm'")).toPandas().sort_values("v")
+    np.testing.assert_allclose(got[got.mesh_id == "torn"][it.S], want[it.S], atol=1e-9)
+    assert got[got.mesh_id == "m"][it.S].notna().all().all()
+
+
+def test_a_system_that_is_not_solved_is_an_error(spark):
+    matrix = banded(spark, 120).cache()
+    rhs = matrix.select("mesh_id", F.col("row").alias("v")).distinct().select("mesh_id", "v", F.sin(F.col("v") + 1).alias("b"))
+    with pytest.raises(ArithmeticError, match="not solved: band"):
+        ml.solve_systems(matrix, rhs, ["b"], max_rounds=1, coarse=40)
+    turned = matrix.withColumn("val", F.when(F.col("row") == F.col("col"), -4.2).otherwise(F.col("val")))
+    assert ml.solve_systems(turned, rhs, ["b"]).where("isnan(b)").count() == 120
+    with pytest.raises(ArithmeticError, match="not solved: band"):
+        ml.solve_systems(turned, rhs, ["b"], whole=True)
+
+
+def test_a_row_without_product_counts_as_missed(spark):
+    """A right-hand side at an unknown that the matrix does not hold: nothing solves that row."""
+    matrix = spark.createDataFrame([("m", 0, 0, 2.0)], "mesh_id string, row bigint, col bigint, val double")
+    rhs = spark.createDataFrame([("m", 0, 1e-6), ("m", 1, 1.0)], "mesh_id string, v bigint, b double")
+    assert ml.solve_systems(matrix, rhs, ["b"]).where("isnan(b)").count() == 2
