@@ -3,13 +3,14 @@
 import uuid
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from orbtable import bindings as B
-from orbtable.operators import iterate as it, matrices as mx, mesh as mo, spectral as sp
+from orbtable.operators import iterate as it, matrices as mx, mesh as mo, spatial as spt, spectral as sp
 from orbtable.sources import generate as gen
-from tests.test_spatial import sphere_mesh
+from tests.test_spatial import soup, sphere_mesh
 
 
 def jobs(spark, run):
@@ -51,3 +52,20 @@ def test_pcg_in_tasks_is_the_pcg_by_joins(spark):
         assert len(got) == len(want) == 68 and 2 * n < many
         for c in ("x", "residual"):
             np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-12)
+
+
+def test_pairs_in_tasks_are_the_pairs_by_cells(spark):
+    """Soups of crossing triangles, one with repeated faces and one with a collapsed triangle; no pair of a small mesh moves."""
+    xyz = soup(90, 7)
+    xyz[3:6] = xyz[3]
+    v = spark.createDataFrame(pd.DataFrame({"mesh_id": "m", "v": np.arange(270), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]}))
+    f = spark.createDataFrame(pd.DataFrame({"mesh_id": "m", "f": np.arange(90), "a": np.arange(0, 270, 3), "b": np.arange(1, 270, 3), "c": np.arange(2, 270, 3)}))
+    part = f.where("f < 60").withColumn("mesh_id", F.lit("n"))
+    both = f.unionByName(part).unionByName(part.withColumn("f", F.col("f") + 100))
+    places = v.unionByName(v.withColumn("mesh_id", F.lit("n")))
+    out = spt.self_intersections(places, both)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = rows(out)
+    assert got == rows(spt.self_intersections(places, both, small=0)) == rows(spt.self_intersections(places, both, small=100))
+    assert got[0][1] and got[1][1] and "FlatMapGroupsInPandas" in plan and "pf" not in plan
